@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .series import spread, with_intervals
+from .series import fitted_once, spread, with_intervals
 
 # Fixed value: 5 % point of the KPSS statistic around a level.
 KPSS_LEVEL_5 = 0.463
@@ -41,47 +41,74 @@ def differences_needed(y: np.ndarray, at_most: int = 2) -> int:
 
 
 def _lagged(x: np.ndarray, k: int) -> np.ndarray:
-    return np.concatenate([np.zeros(min(k, len(x))), x[: len(x) - k] if k < len(x) else x[:0]])
+    out = np.zeros(len(x))
+    out[k:] = x[: max(0, len(x) - k)]
+    return out
 
 
-def _filter(x: np.ndarray, ma: np.ndarray) -> np.ndarray:
-    """x divided by the moving-average polynomial, from a zero start."""
-    if not len(ma):
-        return x
-    weights = np.zeros(len(x))
-    weights[0] = 1.0
-    for t in range(1, len(x)):
-        k = min(t, len(ma))
-        weights[t] = -(ma[:k] @ weights[t - k : t][::-1])
-    return np.convolve(weights, x)[: len(x)]
+def _inverse(ma: list[float], n: int) -> np.ndarray | None:
+    """First n weights of one over the moving-average polynomial, None for none."""
+    if not ma:
+        return None
+    weights = [0.0] * len(ma) + [1.0]
+    for _ in range(n - 1):
+        weights.append(-sum(m * w for m, w in zip(ma, reversed(weights))))
+    return np.array(weights[len(ma) : len(ma) + n])
 
 
-def _errors(x: np.ndarray, ar: np.ndarray, ma: np.ndarray) -> np.ndarray:
-    return _filter(x - sum((a * _lagged(x, i) for i, a in enumerate(ar, 1)), np.zeros(len(x))), ma)
+def _filter(x: np.ndarray, inverse: np.ndarray | None) -> np.ndarray:
+    return x if inverse is None else np.convolve(inverse, x)[: len(x)]
 
 
-def _inside(weights: np.ndarray) -> bool:
-    """Whether 1 - w1 z - w2 z^2 ... has all its roots outside the unit circle."""
-    return not len(weights) or bool(np.abs(np.roots(np.concatenate([[1.0], -weights]))).max() < 0.99)
+def _errors(past: list[np.ndarray], ar: np.ndarray, inverse: np.ndarray | None) -> np.ndarray:
+    """One-step errors; ``past`` holds the series and its lags."""
+    direct = past[0].copy()
+    for weight, lagged in zip(ar, past[1:]):
+        direct -= weight * lagged
+    return _filter(direct, inverse)
+
+
+def _inside(weights: list[float]) -> bool:
+    """Whether 1 - w1 z - w2 z^2 ... keeps its roots outside the unit circle.
+
+    Steps the order down; every partial weight met on the way must be below one.
+    """
+    weights = list(weights)
+    while weights:
+        last = weights.pop()
+        if abs(last) >= 0.99:
+            return False
+        weights = [(w + last * v) / (1.0 - last * last) for w, v in zip(weights, reversed(weights))]
+    return True
 
 
 def fit_arma(x: np.ndarray, p: int, q: int, steps: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Weights and errors of a centred series."""
-    params = np.zeros(p + q)
-    errors = _errors(x, params[:p], params[p:])
+    """Weights and errors of a centred series, by Gauss-Newton with halved steps."""
+    n, params = len(x), np.zeros(p + q)
+    past = [_lagged(x, i) for i in range(p + 1)]
+    inverse = _inverse([0.0] * q, n)
+    errors = _errors(past, params[:p], inverse)
+    before = errors @ errors
     for _ in range(steps if p + q else 0):
-        columns = [_filter(_lagged(x, i), params[p:]) for i in range(1, p + 1)]
-        columns += [_filter(_lagged(errors, j), params[p:]) for j in range(1, q + 1)]
-        move = np.linalg.lstsq(np.stack(columns, axis=1), errors, rcond=None)[0]
-        before = errors @ errors
+        slopes = [_filter(lagged, inverse) for lagged in past[1:]]
+        slopes += [_filter(_lagged(errors, j), inverse) for j in range(1, q + 1)]
+        design = np.array(slopes)
+        gram = design @ design.T
+        gram[np.diag_indices(p + q)] *= 1 + 1e-10
+        try:
+            move = np.linalg.solve(gram, design @ errors)
+        except np.linalg.LinAlgError:
+            break
+        last = before
         for halving in range(12):
             trial = params + move / 2**halving
-            if _inside(trial[:p]) and _inside(-trial[p:]):
-                after = _errors(x, trial[:p], trial[p:])
+            if _inside(trial[:p].tolist()) and _inside((-trial[p:]).tolist()):
+                tried = _inverse(trial[p:].tolist(), n)
+                after = _errors(past, trial[:p], tried)
                 if after @ after < before:
-                    params, errors = trial, after
+                    params, errors, inverse, before = trial, after, tried, after @ after
                     break
-        if before - errors @ errors <= 1e-9 * before:
+        if last - before <= 1e-9 * last:
             break
     return params[:p], params[p:], errors
 
@@ -147,7 +174,7 @@ def select_arima(df: DataFrame, keys: list[str], h: int, max_p: int = 2, max_q:
     def fit(y: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([fit_arima(np.asarray(v, dtype=float), h, max_p, max_q) for v in y])
 
-    return spread(df, *keys).withColumn("_fit", fit("y")).select(*df.columns, "_fit.*")
+    return spread(df, *keys).withColumn("_fit", fitted_once(fit)("y")).select(*df.columns, "_fit.*")
 
 
 def arima_forecast(fits: DataFrame, keys: list[str]) -> DataFrame:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .arima import fit_arima
-from .series import spread
+from .series import fitted_once, spread
 from .smoothing import Smoothing, _fit_all, default_grid
 
 
@@ -49,7 +49,7 @@ def smoothing(grid: Iterable[Smoothing] | None = None, name: str = "ets") -> For
             means = fits["level"].to_numpy()[:, None] + damping * fits["trend"].to_numpy()[:, None]
             return pd.Series(list(means))
 
-        return run(y)
+        return fitted_once(run)(y)
 
     return Forecaster(name, forecast, costly=True)
 
@@ -62,7 +62,7 @@ def arima(max_p: int = 2, max_q: int = 2) -> Forecaster:
         def run(values: pd.Series) -> pd.Series:
             return pd.Series([fit_arima(np.asarray(v, dtype=float), h, max_p, max_q)["mean"] for v in values])
 
-        return run(y)
+        return fitted_once(run)(y)
 
     return Forecaster("arima", forecast, costly=True)
 

@@ -6,7 +6,7 @@ import math
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 
 def residual_rows(fits: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -39,7 +39,7 @@ def upper_tail(x: float, freedom: int) -> float:
     return tail + math.exp(-half) * sum(half ** (i - 0.5) / math.gamma(i + 0.5) for i in range(1, freedom // 2 + 1))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi_square_tail(x: pd.Series, freedom: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(a) else upper_tail(a, int(k)) for a, k in zip(x, freedom)], dtype=float)
 

@@ -29,6 +29,11 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(task_count(df.sparkSession), *keys)
 
 
+def fitted_once(udf):
+    """Keep the optimizer from copying a costly fit into the filter it infers for an explode."""
+    return udf.asNondeterministic()
+
+
 def with_intervals(df: DataFrame, mean: Column, variance: Column) -> DataFrame:
     spread_of = F.sqrt(variance)
     return df.withColumns(

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.parsing import ratio
-from .series import spread, with_intervals
+from .series import fitted_once, spread, with_intervals
 
 
 # Pairs of runs (data, unit level, unit trend) whose error products are summed.
@@ -137,8 +137,8 @@ def _run(y: np.ndarray, sizes: np.ndarray, grid: np.ndarray) -> tuple[np.ndarray
     return np.stack([level, slope]), products
 
 
-def _choose(y: np.ndarray, sizes: np.ndarray, grid: list[Smoothing]) -> pd.DataFrame:
-    """Best candidate per series by AICc, earliest first among equals.
+def _choose(y: np.ndarray, sizes: np.ndarray, first: np.ndarray, grid: list[Smoothing]) -> pd.DataFrame:
+    """Best candidate per series by AICc, earliest first among equals; ``y`` is relative to ``first``.
 
     A series too short for any candidate gets the quickest simple one, which
     nearly repeats its last value.
@@ -161,7 +161,9 @@ def _choose(y: np.ndarray, sizes: np.ndarray, grid: list[Smoothing]) -> pd.DataF
     best = np.where(usable.any(axis=1), aicc.argmin(axis=1), quickest)
     pick = np.arange(len(y)), best
     l0, b0 = np.nan_to_num(level0[pick]), np.nan_to_num(trend0[pick])
-    level, slope = (s[0][pick] + l0 * s[1][pick] + b0 * s[2][pick] for s in states)
+    level, slope = (
+        base + s[0][pick] + l0 * s[1][pick] + b0 * s[2][pick] for base, s in zip((first, 0.0), states)
+    )
     chosen = pd.DataFrame([grid[b] for b in best], columns=Smoothing._fields)
     return chosen.assign(
         parameters=[grid[b].parameters for b in best], n=sizes, level=level, trend=slope,
@@ -187,9 +189,8 @@ def _fit_all(values: pd.Series, grid: list[Smoothing], block: int = 500) -> pd.D
         padded = np.zeros((len(part), sizes.max(initial=1)))
         for row, v in zip(padded, part):
             row[: len(v)] = v - v[0]
-        fit = _choose(padded, sizes, grid)
+        fit = _choose(padded, sizes, np.array([v[0] for v in part]), grid)
         fit["residuals"] = [_residuals(r[:n], f) for r, n, f in zip(padded, sizes, fit.itertuples())]
-        fit["level"] += [v[0] for v in part]
         fits.append(fit.drop(columns=["start_level", "start_trend"]))
     return pd.concat(fits, ignore_index=True)
 
@@ -206,7 +207,7 @@ def select_smoothing(df: DataFrame, keys: list[str], grid: Iterable[Smoothing] |
     def fit(y: pd.Series) -> pd.DataFrame:
         return _fit_all(y, candidates)
 
-    return spread(df, *keys).withColumn("_fit", fit("y")).select(*df.columns, "_fit.*")
+    return spread(df, *keys).withColumn("_fit", fitted_once(fit)("y")).select(*df.columns, "_fit.*")
 
 
 def smoothing_forecast(fits: DataFrame, keys: list[str], h: int) -> DataFrame:

@@ -187,33 +187,33 @@ def f04_rolling_origin_errors_of_selected_models(spark, sf):
 
 RUN_RATE = f"""
 ratios AS (
-  SELECT {B}, {P}, {CHARGED}, {BALANCE}, {CHARGED} / nullif({BALANCE}, 0) AS charge_off_share,
+  SELECT {TYPE}, {P}, {CHARGED}, {BALANCE}, {CHARGED} / nullif({BALANCE}, 0) AS charge_off_share,
          {BALANCE} / nullif(lag({BALANCE}) OVER w, 0) - 1 AS balance_growth_mom,
-         row_number() OVER (PARTITION BY {B} ORDER BY {P} DESC) AS recency
-  FROM monthly WINDOW w AS (PARTITION BY {B} ORDER BY {P})
+         row_number() OVER (PARTITION BY {TYPE} ORDER BY {P} DESC) AS recency
+  FROM monthly WINDOW w AS (PARTITION BY {TYPE} ORDER BY {P})
 ),
 rates AS (
-  SELECT {B}, avg(balance_growth_mom) FILTER (recency <= 12) AS g, avg(charge_off_share) FILTER (recency <= 12) AS c,
+  SELECT {TYPE}, avg(balance_growth_mom) FILTER (recency <= 12) AS g, avg(charge_off_share) FILTER (recency <= 12) AS c,
          arg_max({BALANCE}, {P}) AS b, CAST(max({P}) + INTERVAL 1 MONTH AS DATE) AS start
   FROM ratios GROUP BY 1
 ),
 combined AS (
-  SELECT {B}, {P}, {CHARGED}, {BALANCE}, charge_off_share, balance_growth_mom, 'Actual' AS Period FROM ratios
+  SELECT {TYPE}, {P}, {CHARGED}, {BALANCE}, charge_off_share, balance_growth_mom, 'Actual' AS Period FROM ratios
   UNION ALL
-  SELECT {B}, CAST(date_trunc('month', start) + to_months(CAST(k - 1 AS INTEGER)) AS DATE) + CAST(day(start) - 1 AS INTEGER),
+  SELECT {TYPE}, CAST(date_trunc('month', start) + to_months(CAST(k - 1 AS INTEGER)) AS DATE) + CAST(day(start) - 1 AS INTEGER),
          b * pow(1 + g, k) * c, b * pow(1 + g, k), NULL, NULL, 'Forecast' FROM rates CROSS JOIN (SELECT unnest(range(1, 18)) AS k)
 )"""
 
 
 @check(
-    monthly_sql(B), RUN_RATE,
-    sql=f"""SELECT {B}, {MONTH}, Period, round({CHARGED}, 2) + 0.0 AS {CHARGED}, round({BALANCE}, 2) + 0.0 AS {BALANCE},
+    monthly_sql(TYPE), RUN_RATE,
+    sql=f"""SELECT {TYPE}, {MONTH}, Period, round({CHARGED}, 2) + 0.0 AS {CHARGED}, round({BALANCE}, 2) + 0.0 AS {BALANCE},
             round(charge_off_share, 8) + 0.0 AS charge_off_share, round(balance_growth_mom, 8) + 0.0 AS balance_growth_mom,
-            round(sum({CHARGED}) OVER (PARTITION BY {B} ORDER BY {P} ROWS UNBOUNDED PRECEDING), 2) + 0.0 AS cumulative_charge_off
+            round(sum({CHARGED}) OVER (PARTITION BY {TYPE} ORDER BY {P} ROWS UNBOUNDED PRECEDING), 2) + 0.0 AS cumulative_charge_off
             FROM combined""",
 )
 def f05_run_rate_forecast(spark, sf):
-    forecast = run_rate.run_rate_forecast(monthly(spark, sf, BRAND), [BRAND])
+    forecast = run_rate.run_rate_forecast(monthly(spark, sf, TYPE), [TYPE])
     forecast = rounded(forecast, 2, CHARGED, BALANCE, "cumulative_charge_off")
     return rounded(forecast, 8, "charge_off_share", "balance_growth_mom")
 
@@ -340,10 +340,10 @@ def r13_model_forecasts(spark, sf):
 
 
 @check(
-    monthly_sql(B), RUN_RATE,
-    sql=f"""SELECT {B}, round(coalesce(sum({CHARGED}) FILTER (Period = 'Actual'), 0), 2) + 0.0 AS actual_total,
+    monthly_sql(TYPE), RUN_RATE,
+    sql=f"""SELECT {TYPE}, round(coalesce(sum({CHARGED}) FILTER (Period = 'Actual'), 0), 2) + 0.0 AS actual_total,
             round(sum({CHARGED}), 2) + 0.0 AS forecast_total, CAST(max({P}) AS VARCHAR) AS end_period FROM combined GROUP BY 1""",
 )
 def r14_charge_off_totals(spark, sf):
-    forecast = run_rate.run_rate_forecast(monthly(spark, sf, BRAND), [BRAND])
-    return rounded(run_rate.charge_off_totals(forecast, [BRAND]), 2, "actual_total", "forecast_total")
+    forecast = run_rate.run_rate_forecast(monthly(spark, sf, TYPE), [TYPE])
+    return rounded(run_rate.charge_off_totals(forecast, [TYPE]), 2, "actual_total", "forecast_total")

@@ -6,7 +6,7 @@ aggregated first, so only one row per loan-month meets ``part``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from loantide.operators.columns import across
 from loantide.operators.grouping import total
@@ -29,53 +29,57 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _whole(c: str, scale: int) -> Column:
+    return F.rint(F.col(c) * scale).cast("long")
+
+
+def _to_cents(c: Column) -> Column:
+    """Hundredths of a cent to whole cents, halves up."""
+    return F.call_function("div", c + 50, F.lit(100))
+
+
 def _exact_month(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Loan-months with exact decimal amounts and whole-number helpers.
+    """Loan-months with amounts in whole cents, which add up exactly in any order.
 
     Flags are compared by character code: text extremes would force a sort.
     """
-    price = F.col("l_extendedprice").cast("decimal(12,2)")
-    discount = F.col("l_discount").cast("decimal(4,2)")
-    tax = F.col("l_tax").cast("decimal(4,2)")
-    one = F.lit(1).cast("decimal(4,2)")
+    price, discount, tax = _whole("l_extendedprice", 100), _whole("l_discount", 100), _whole("l_tax", 100)
     lines = table(spark, sf_dir, "lineitem")
     months = lines.groupBy("l_partkey", F.last_day(F.col("l_shipdate").cast("date")).alias("period")).agg(
         F.min(F.ascii("l_returnflag")).alias("flag_lo"),
         F.max(F.ascii("l_returnflag")).alias("flag_hi"),
         F.min("l_quantity").cast("int").alias("q_lo"),
         F.max("l_quantity").cast("int").alias("q_hi"),
-        F.sum("l_quantity").cast("decimal(12,0)").alias("q_sum"),
+        F.sum(F.col("l_quantity").cast("long")).alias("q_sum"),
         F.sum(price).alias("price"),
-        F.sum(price * (one - discount)).alias("net"),
+        F.sum(price * (100 - discount)).alias("net"),
         F.sum(price * discount).alias("cut"),
         F.sum(price * tax).alias("tax"),
     )
     parts = table(spark, sf_dir, "part").select(
-        "p_partkey", "p_brand", "p_type", F.col("p_retailprice").cast("decimal(12,2)").alias("retail")
+        "p_partkey", "p_brand", "p_type", _whole("p_retailprice", 100).alias("retail")
     )
-    p, money = F.col("l_partkey"), "decimal(18,2)"
+    p = F.col("l_partkey")
     lo, hi = F.col("q_lo"), F.col("q_hi")
+    repossessed = (F.col("flag_hi") == ord("R")) & (lo >= 40)
     code = (
-        F.when((F.col("flag_lo") == ord("A")) & (hi <= 12), "1")
-        .when(hi == 13, "2")
-        .when(hi == 14, "3")
-        .when((F.col("flag_hi") == ord("R")) & (lo >= 40), "4")
+        F.when((F.col("flag_lo") == ord("A")) & (hi <= 12), "1").when(hi == 13, "2").when(hi == 14, "3").when(repossessed, "4")
     )
-    charged = F.when((F.col("flag_hi") == ord("R")) & (lo >= 40), F.col("cut").cast(money)).when(lo != 30, F.lit(0).cast(money))
+    charged = F.when(repossessed, _to_cents(F.col("cut"))).when(lo != 30, F.lit(0))
     source = F.when(p % 7 == 0, "1").when(p % 7 == 1, "2").when(p % 7 == 2, "98").when(p % 7 != 3, "3")
     return months.join(parts, F.col("p_partkey") == p).select(
         p.alias("loan_no"),
         p.cast("string").alias(LOAN),
         F.col("period").alias(PERIOD),
         code.alias("zeroBalanceCode"),
-        (F.col("retail") * F.col("q_sum")).cast(money).alias("vehicleValueAmount"),
-        F.col("price").cast(money).alias("originalLoanAmount"),
-        F.col("net").cast(money).alias("reportingPeriodActualEndBalanceAmount"),
+        (F.col("retail") * F.col("q_sum")).alias("vehicleValueAmount"),
+        F.col("price").alias("originalLoanAmount"),
+        _to_cents(F.col("net")).alias("reportingPeriodActualEndBalanceAmount"),
         charged.alias("chargedoffPrincipalAmount"),
-        F.when(lo != 17, F.col("tax").cast(money)).alias("actualPrincipalCollectedAmount"),
-        (F.col("price") * F.lit("0.04").cast("decimal(4,2)")).cast(money).alias("scheduledPrincipalAmount"),
-        (F.col("price") * F.lit("0.01").cast("decimal(4,2)")).cast(money).alias("actualInterestCollectedAmount"),
-        ((p % 20 + lo) * F.lit("0.01").cast("decimal(4,2)")).cast(money).alias("paymentToIncomePercentage"),
+        F.when(lo != 17, _to_cents(F.col("tax"))).alias("actualPrincipalCollectedAmount"),
+        _to_cents(F.col("price") * 4).alias("scheduledPrincipalAmount"),
+        _to_cents(F.col("price")).alias("actualInterestCollectedAmount"),
+        (p % 20 + lo).alias("paymentToIncomePercentage"),
         F.when(lo != 25, lo - 1).alias("remainingTermToMaturityNumber"),
         F.when(p % 50 == 0, F.lit(0)).otherwise(380 + (p * 37) % 560).cast("int").alias("obligorCreditScore"),
         (1 + p % 3).cast("string").alias("obligorEmploymentVerificationCode"),
@@ -132,21 +136,32 @@ PANEL = (
 )
 
 
+IN_CENTS = (*AMOUNTS, "paymentToIncomePercentage")
+
+
 def loan_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The typed panel."""
     exact = _exact_month(spark, sf_dir).drop("loan_no", "q_lo")
-    return exact.withColumns({m: F.col(m).cast("double") for m in MEASURES})
+    return exact.withColumns({m: F.col(m) / 100.0 if m in IN_CENTS else F.col(m).cast("double") for m in MEASURES})
+
+
+def _cents_text(c: str) -> Column:
+    return F.concat(F.call_function("div", F.col(c), F.lit(100)).cast("string"), F.lit("."), F.lpad((F.col(c) % 100).cast("string"), 2, "0"))
+
+
+def _day_text(day: Column, padded: bool = True) -> Column:
+    parts = [F.month(day).cast("string"), F.dayofmonth(day).cast("string")]
+    return F.concat_ws("-", *[F.lpad(c, 2, "0") if padded else c for c in parts], F.year(day).cast("string"))
 
 
 def raw_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The panel as filed: all text, with the faults that cleaning must take."""
     exact = _exact_month(spark, sf_dir)
     no, lo, period = F.col("loan_no"), F.col("q_lo"), F.col(PERIOD)
-    text = {m: F.col(m).cast("string") for m in MEASURES}
+    text = {m: _cents_text(m) if m in IN_CENTS else F.col(m).cast("string") for m in MEASURES}
     charged = F.when(lo == 31, "NaN").when(lo == 32, "7d").otherwise(text["chargedoffPrincipalAmount"])
     term = F.when(lo == 33, "-").otherwise(F.concat(F.lit(" "), text["remainingTermToMaturityNumber"], F.lit(" ")))
-    ending = F.when(no % 4 == 0, F.date_format(period, "M-d-yyyy")).otherwise(F.date_format(period, "MM-dd-yyyy"))
-    paid = F.when(no % 13 != 0, F.when(no % 11 == 0, "13-45-2000").otherwise(F.date_format(F.date_sub(period, 5), "MM-dd-yyyy")))
+    paid = F.when(no % 13 != 0, F.when(no % 11 == 0, "13-45-2000").otherwise(_day_text(F.date_sub(period, 5))))
     code = F.when((F.col("zeroBalanceCode") == "1") & (no % 10 == 0), "01").otherwise(F.col("zeroBalanceCode"))
     return exact.withColumns(
         {
@@ -154,9 +169,9 @@ def raw_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
             "chargedoffPrincipalAmount": charged,
             "remainingTermToMaturityNumber": term,
             "zeroBalanceCode": code,
-            "reportingPeriodBeginningDate": F.date_format(F.trunc(period, "month"), "MM-dd-yyyy"),
+            "reportingPeriodBeginningDate": _day_text(F.trunc(period, "month")),
             "interestPaidThroughDate": paid,
-            PERIOD: ending,
+            PERIOD: F.when(no % 4 == 0, _day_text(period, padded=False)).otherwise(_day_text(period)),
         }
     ).drop("loan_no", "q_lo")
 

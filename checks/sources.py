@@ -14,12 +14,11 @@ from loantide.session import new_path
 from loantide.sources import filings, loan_records, storage
 
 from .columns import ACCESSION, accession
-from .forecasts import RUN_RATE
-from .panel import BRAND, PANEL, RAW, loan_month, monthly, monthly_sql, raw_panel, table
+from .forecasts import RUN_RATE, TYPE
+from .panel import PANEL, RAW, loan_month, monthly, monthly_sql, raw_panel, table
 from .registry import check
 
 P = "reportingPeriodEndingDate"
-B = "vehicleManufacturerName"
 DESCRIPTION = "Asset-Backed Issuer Report [Section 13, or 15(d)]"
 LEAVES = (LOAN, PERIOD, "zeroBalanceCode", "chargedoffPrincipalAmount", "remainingTermToMaturityNumber", "vehicleModelName")
 LEAF_SQL = ", ".join(LEAVES)
@@ -73,6 +72,13 @@ def s03_xml_record_scan(spark, sf):
     return loan_records.read_loan_records(spark, path, schema=loan_records.record_schema(LEAVES))
 
 
+@check(RAW, sql=f"SELECT {LEAF_SQL} FROM raw_panel")
+def s03_xml_scan_of_split_files(spark, sf):
+    path = new_path(spark, "records")
+    loan_records.write_loan_records(raw_panel(spark, sf).select(*LEAVES), path)
+    return loan_records.scan_loan_records(spark, path, schema=loan_records.record_schema(LEAVES))
+
+
 @check(RAW, sql=f"SELECT {LEAF_SQL} FROM raw_panel")
 def s04_record_text_widened_to_columns(spark, sf):
     text = F.to_xml(F.struct(*LEAVES), {"rowTag": "assets"})
@@ -143,28 +149,28 @@ def s08_table_export_with_missing_values(spark, sf):
 
 
 @check(
-    monthly_sql(B), RUN_RATE,
-    sql=f"""SELECT {B}, 'Average Change in Outstanding Balance Amount (P12M): '
+    monthly_sql(TYPE), RUN_RATE,
+    sql=f"""SELECT {TYPE}, 'Average Change in Outstanding Balance Amount (P12M): '
             || regexp_replace(regexp_replace(format('{{:.2f}}', round(g * 100, 2) + 0.0), '0+$', ''), '\\.$', '') || '%' AS line FROM rates""",
 )
 def s09_report_line(spark, sf):
-    rates = trailing_rates(balance_ratios(monthly(spark, sf, BRAND), [BRAND]), [BRAND])
+    rates = trailing_rates(balance_ratios(monthly(spark, sf, TYPE), [TYPE]), [TYPE])
     value = storage.plain_number(F.round(F.col("growth_rate") * 100, 2))
     line = storage.report_line("Average Change in Outstanding Balance Amount (P12M): ", value, "%")
-    return rates.select(BRAND, line.alias("line"))
+    return rates.select(TYPE, line.alias("line"))
 
 
 @check(
-    monthly_sql(B), RUN_RATE,
-    sql=f"""SELECT {B}, CAST(CAST(date_trunc('month', start) + to_months(CAST(k - 1 AS INTEGER)) AS DATE)
+    monthly_sql(TYPE), RUN_RATE,
+    sql=f"""SELECT {TYPE}, CAST(CAST(date_trunc('month', start) + to_months(CAST(k - 1 AS INTEGER)) AS DATE)
             + CAST(day(start) - 1 AS INTEGER) AS VARCHAR) AS {P}, CAST(k AS INTEGER) AS step, 'Forecast' AS Period
             FROM rates CROSS JOIN (SELECT unnest(range(1, 18)) AS k)""",
 )
 def s10_table_from_sequences(spark, sf):
-    ends = monthly(spark, sf, BRAND).groupBy(BRAND).agg(next_month(F.max(PERIOD)).alias("start"))
+    ends = monthly(spark, sf, TYPE).groupBy(TYPE).agg(next_month(F.max(PERIOD)).alias("start"))
     steps = ends.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(17))))
     return steps.select(
-        BRAND, monthly_date("start", F.col("step") - 1).alias(PERIOD), "step", F.lit("Forecast").alias("Period")
+        TYPE, monthly_date("start", F.col("step") - 1).alias(PERIOD), "step", F.lit("Forecast").alias("Period")
     )
 
 

@@ -145,7 +145,7 @@ def fit_arima(y: np.ndarray, h: int, max_p: int = 2, max_q: int = 2) -> dict:
         for p in range(max_p + 1):
             for q in range(max_q + 1):
                 k = p + q + constant + 1
-                if n - k - 1 <= 0:
+                if n <= max(3, k + 1):
                     continue
                 ar, ma, errors = fit_arma(w - centre, p, q)
                 sse = max(errors @ errors, 1e-20 * (1.0 + w @ w))

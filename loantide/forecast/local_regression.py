@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .series import spread
+
 MOMENTS = ("s0", "s1", "s2", "s3", "s4", "t0", "t1", "t2")
 
 
@@ -18,11 +20,18 @@ def _determinant(a: Sequence[Column]) -> Column:
 def smooth(df: DataFrame, keys: Sequence[str], x: str, y: str, span: float = 0.75) -> DataFrame:
     """Fitted value at every point of each series, over the nearest ``span`` of its points.
 
-    Each series is one array, so its points meet without pairing rows. Distances
-    are scaled by the local bandwidth, which keeps the 3x3 system well scaled.
+    Each series is one array, so its points meet without pairing rows; values
+    that share an x are averaged first, which bounds the array by the calendar.
+    Distances are scaled by the local bandwidth, which keeps the 3x3 system well
+    scaled.
     """
-    points = F.array_sort(F.collect_list(F.struct(F.col(x).alias("x"), F.col(y).cast("double").alias("y"))))
-    whole = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys).agg(points.alias("_points"))
+    points = F.array_sort(F.collect_list(F.struct(F.col(x).alias("x"), F.col("_y").alias("y"))))
+    averaged = (
+        df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+        .groupBy(*keys, x)
+        .agg(F.avg(F.col(y).cast("double")).alias("_y"))
+    )
+    whole = spread(averaged.groupBy(*keys).agg(points.alias("_points")), *keys)
     nearest = F.greatest(F.lit(1), F.floor(F.size("_points") * F.lit(span) + 1e-5)).cast("int")
     series = F.col("_points")
 

@@ -14,10 +14,16 @@ Z95 = 1.959964
 
 
 def as_arrays(df: DataFrame, series: Sequence[str], period: str, value: str) -> DataFrame:
-    """One row per series: values ``y`` in period order and the last period."""
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(period).alias("t"), F.col(value).cast("double").alias("y"))))
+    """One row per series: values ``y`` in period order and the last period.
+
+    Values of one period are added up first, so an array never holds more
+    entries than the calendar has periods, whatever the table.
+    """
+    ordered = F.array_sort(F.collect_list(F.struct(F.col(period).alias("t"), F.col("_y").alias("y"))))
     return (
-        df.where(F.col(value).isNotNull())
+        df.where(F.col(value).isNotNull() & F.col(period).isNotNull())
+        .groupBy(*series, period)
+        .agg(F.sum(F.col(value).cast("double")).alias("_y"))
         .groupBy(*series)
         .agg(ordered.alias("_points"), F.max(period).alias("last_period"))
         .select(*series, "last_period", F.col("_points.y").alias("y"))
@@ -25,8 +31,12 @@ def as_arrays(df: DataFrame, series: Sequence[str], period: str, value: str) ->
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Share rows over all cores: fitting costs far more than moving the few bytes of a series."""
-    return df.repartition(task_count(df.sparkSession), *keys)
+    """Share rows over all cores: fitting costs far more than moving the few bytes of a series.
+
+    Keyed by a hash of its own, or the planner takes the aggregate's exchange
+    for this one and sizes it by bytes.
+    """
+    return df.repartition(task_count(df.sparkSession), F.xxhash64(*keys))
 
 
 def fitted_once(udf):

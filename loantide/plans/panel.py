@@ -7,9 +7,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions.parsing import if_else, to_day, to_number
 from ..operators.grouping import measure_columns
 from ..operators.series import with_prior_period
-from ..schema import DATES, LOAN, PERIOD, loan_record_schema
+from ..schema import DATES, LOAN, PERIOD
 from ..sources.filings import asset_filings, read_filing_index
-from ..sources.loan_records import read_loan_records
+from ..sources.loan_records import scan_loan_records
 from ..sources.storage import write_snapshot
 
 ZERO_BALANCE = "zeroBalanceCode"
@@ -63,8 +63,7 @@ def ingest_filings(
     partition column, so files the index does not list are not read.
     """
     filings = asset_filings(read_filing_index(spark, index_path), base, exhibit)
-    schema = loan_record_schema().add("accession_number", "string")
-    records = read_loan_records(spark, landing, row_tag, schema)
+    records = scan_loan_records(spark, landing, row_tag)
     return records.join(filings.select("accession_number", "data_file_link"), "accession_number")
 
 

@@ -8,6 +8,11 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+# The JVM leaves methods beyond 8000 bytes uncompiled; wide projections, such as
+# the typing of all measures, are then better split than fused into one stage.
+TUNING = {"spark.sql.codegen.hugeMethodLimit": "8000"}
+
+
 def local_session(cores: int | str = "*", **conf) -> SparkSession:
     """Session for tests and benches; on a cluster the submitter configures its own."""
     builder = (
@@ -20,7 +25,7 @@ def local_session(cores: int | str = "*", **conf) -> SparkSession:
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "8g")
     )
-    for key, value in conf.items():
+    for key, value in {**TUNING, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 

@@ -10,7 +10,7 @@ from loantide.plans.panel import still_active
 from loantide.schema import LOAN, PERIOD
 
 from .panel import BRAND, EXACT, MEASURES, PANEL, RAW, loan_month, monthly, monthly_sql, raw_panel
-from .registry import check, rounded
+from .registry import check, rounded, rounded_means
 
 P = "reportingPeriodEndingDate"
 KEY = f"assetNumber, CAST({P} AS VARCHAR) AS {P}"
@@ -44,14 +44,14 @@ def a03_sum_of_all_measures(spark, sf):
     EXACT,
     sql=f"SELECT {MONTH}, "
     + ", ".join(
-        f"coalesce(CAST(sum({m}) AS DOUBLE), 0) AS {m}_sum, round(CAST(sum({m}) AS DOUBLE) / nullif(count({m}), 0), 4) + 0.0 AS {m}_mean"
+        f"coalesce(CAST(sum({m}) AS DOUBLE), 0) AS {m}_sum, round(CAST(sum({m}) AS DOUBLE) / nullif(count({m}), 0) + 1e-9, 6) + 0.0 AS {m}_mean"
         for m in MEASURES
     )
     + f" FROM loan_exact GROUP BY {P}",
 )
 def a04_sums_and_means(spark, sf):
     table = grouping.sums_and_means(loan_month(spark, sf), [PERIOD], MEASURES)
-    return rounded(rounded(table, 2, *[f"{m}_sum" for m in MEASURES]), 4, *[f"{m}_mean" for m in MEASURES])
+    return rounded_means(rounded(table, 2, *[f"{m}_sum" for m in MEASURES]), 6, *[f"{m}_mean" for m in MEASURES])
 
 
 @check(PANEL, sql=f"SELECT {MONTH}, count(*) AS n FROM loan_month GROUP BY {P}")
@@ -84,11 +84,11 @@ def a07_sum_skipping_missing(spark, sf):
 @check(
     EXACT,
     sql="""SELECT remainingTermToMaturityNumber AS term, round(CAST(sum(actualPrincipalCollectedAmount) AS DOUBLE)
-           / nullif(count(actualPrincipalCollectedAmount), 0), 4) + 0.0 AS mean FROM loan_exact GROUP BY 1""",
+           / nullif(count(actualPrincipalCollectedAmount), 0) + 1e-9, 4) + 0.0 AS mean FROM loan_exact GROUP BY 1""",
 )
 def a08_mean_skipping_missing(spark, sf):
     groups = loan_month(spark, sf).groupBy(F.col("remainingTermToMaturityNumber").cast("int").alias("term"))
-    return rounded(groups.agg(F.avg("actualPrincipalCollectedAmount").alias("mean")), 4, "mean")
+    return rounded_means(groups.agg(F.avg("actualPrincipalCollectedAmount").alias("mean")), 4, "mean")
 
 
 @check(
@@ -132,7 +132,7 @@ def a12_whole_table_aggregate(spark, sf):
 
 @check(
     EXACT,
-    sql="""SELECT income, count(*) AS n, round(CAST(sum(charged) AS DOUBLE) / count(*), 4) + 0.0 AS mean_charged
+    sql="""SELECT income, count(*) AS n, round(CAST(sum(charged) AS DOUBLE) / count(*) + 1e-9, 4) + 0.0 AS mean_charged
            FROM (SELECT assetNumber, arg_max_null(obligorIncomeVerificationLevelCode, reportingPeriodEndingDate) AS income,
                         coalesce(sum(chargedoffPrincipalAmount), 0) AS charged FROM loan_exact GROUP BY 1) GROUP BY 1""",
 )
@@ -142,7 +142,7 @@ def a13_two_level_aggregate(spark, sf):
         grouping.total("chargedoffPrincipalAmount").alias("charged"),
     )
     groups = loans.groupBy("income").agg(F.count(F.lit(1)).alias("n"), F.avg("charged").alias("mean_charged"))
-    return rounded(groups, 4, "mean_charged")
+    return rounded_means(groups, 4, "mean_charged")
 
 
 @check(

@@ -38,3 +38,11 @@ def comparable(df: DataFrame) -> DataFrame:
 
 def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(F.col(c).cast("double"), digits) for c in columns})
+
+
+# Means of cents often end on an exact half, which engines round either way.
+NUDGE = 1e-9
+
+
+def rounded_means(df: DataFrame, digits: int, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(F.col(c) + F.lit(NUDGE), digits) for c in columns})

@@ -7,7 +7,7 @@ from loantide.plans import reports
 from loantide.plans.panel import clean_panel, typed_panel
 
 from .panel import AMOUNTS, BRAND, CLEAN, EXACT, MEASURES, PANEL, RAW, flags, loan_month, monthly, monthly_sql, raw_panel
-from .registry import check, rounded
+from .registry import check, rounded, rounded_means
 
 P = "reportingPeriodEndingDate"
 MONTH = f"CAST({P} AS VARCHAR) AS {P}"
@@ -67,12 +67,12 @@ def r03_loan_summary(spark, sf):
 
 @check(
     EXACT, LOANS, BANDED,
-    sql="""SELECT band, creditScoreBin, count(*) AS n, round(CAST(sum(charged) AS DOUBLE) / count(*), 4) + 0.0
+    sql="""SELECT band, creditScoreBin, count(*) AS n, round(CAST(sum(charged) AS DOUBLE) / count(*) + 1e-9, 4) + 0.0
            AS TotalChargeOffPrincipal FROM banded GROUP BY 1, 2""",
 )
 def r04_charge_off_by_credit_band(spark, sf):
     loans = reports.loan_summary(loan_month(spark, sf))
-    return rounded(reports.charge_off_by_band(loans), 4, "TotalChargeOffPrincipal")
+    return rounded_means(reports.charge_off_by_band(loans), 4, "TotalChargeOffPrincipal")
 
 
 @check(
@@ -81,12 +81,12 @@ def r04_charge_off_by_credit_band(spark, sf):
              CAST(y1 - n AS BIGINT) AS y0, CAST(y1 AS BIGINT) AS y1
            FROM (SELECT *, sum(n) OVER (PARTITION BY band ORDER BY incomeVerification NULLS LAST ROWS UNBOUNDED PRECEDING) AS y1
                  FROM (SELECT band, creditScoreBin, income AS incomeVerification, count(*) AS n,
-                         round(CAST(sum(charged) AS DOUBLE) / count(*), 4) + 0.0 AS TotalChargeOffPrincipal
+                         round(CAST(sum(charged) AS DOUBLE) / count(*) + 1e-9, 4) + 0.0 AS TotalChargeOffPrincipal
                        FROM banded GROUP BY 1, 2, 3))""",
 )
 def r04_charge_off_by_band_and_income(spark, sf):
     loans = reports.loan_summary(loan_month(spark, sf))
-    return rounded(reports.charge_off_by_band_and_income(loans), 4, "TotalChargeOffPrincipal")
+    return rounded_means(reports.charge_off_by_band_and_income(loans), 4, "TotalChargeOffPrincipal")
 
 
 def _mean(c: str) -> str:
@@ -95,8 +95,8 @@ def _mean(c: str) -> str:
 
 @check(
     EXACT,
-    sql=f"""SELECT CAST(term AS DOUBLE) AS remainingTermToMaturity, round(a, 4) + 0.0 AS actualPrincipalCollectedAmount,
-            round(s, 4) + 0.0 AS scheduledPrincipalAmount, round(c, 4) + 0.0 AS totalChargeOffs, round(a - s, 4) + 0.0 AS diff,
+    sql=f"""SELECT CAST(term AS DOUBLE) AS remainingTermToMaturity, round(a + 1e-9, 4) + 0.0 AS actualPrincipalCollectedAmount,
+            round(s + 1e-9, 4) + 0.0 AS scheduledPrincipalAmount, round(c + 1e-9, 4) + 0.0 AS totalChargeOffs, round(a - s + 1e-9, 4) + 0.0 AS diff,
             CASE WHEN a - s < 0 THEN 'Underpaid' WHEN NOT (a - s < 0) THEN 'Overpaid' END AS payment
             FROM (SELECT remainingTermToMaturityNumber AS term, {_mean("actualPrincipalCollectedAmount")} AS a,
                   {_mean("scheduledPrincipalAmount")} AS s, {_mean("chargedoffPrincipalAmount")} AS c
@@ -104,7 +104,7 @@ def _mean(c: str) -> str:
 )
 def r05_payments_by_remaining_term(spark, sf):
     curve = reports.payments_by_remaining_term(loan_month(spark, sf))
-    return rounded(
+    return rounded_means(
         curve, 4, "actualPrincipalCollectedAmount", "scheduledPrincipalAmount", "totalChargeOffs", "diff"
     )
 
@@ -174,7 +174,8 @@ def r11_balance_by_month(spark, sf):
 
 @check(
     RAW,
-    sql="""SELECT value, 'Cumulative Value as of 11/30/2001: $' || format('{:,}', CAST(round(value, 0) AS BIGINT)) AS line
+    sql="""SELECT value, 'Cumulative Value as of 11/30/2001: $' || CASE WHEN value >= 1000000
+             THEN format('{:,}', CAST(round(value, 0) AS BIGINT)) ELSE regexp_replace(format('{:,.1f}', value), '\\.0$', '') END AS line
            FROM (SELECT round(sum(CASE WHEN isnan(TRY_CAST(chargedoffPrincipalAmount AS DOUBLE)) THEN 0
            ELSE TRY_CAST(chargedoffPrincipalAmount AS DOUBLE) END), 2) + 0.0 AS value FROM raw_panel)""",
 )

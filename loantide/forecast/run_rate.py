@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.dates import monthly_date, next_month
 from ..functions.parsing import ratio
-from ..operators.columns import stack_by_name
 from ..operators.series import compounded, last_value, previous, recency, running_total
 from ..schema import PERIOD
 
@@ -26,7 +25,7 @@ def balance_ratios(months: DataFrame, series: Sequence[str]) -> DataFrame:
     )
 
 
-def trailing_rates(ratios: DataFrame, series: Sequence[str], months: int = 12) -> DataFrame:
+def trailing_rates(ratios: DataFrame, series: Sequence[str], months: int = 12, *more: Column) -> DataFrame:
     """Per series the mean of both ratios over its last months, and where it ended."""
     recent = F.col("_recency") <= months
     return (
@@ -37,6 +36,7 @@ def trailing_rates(ratios: DataFrame, series: Sequence[str], months: int = 12) -
             F.avg(F.when(recent, F.col("charge_off_share"))).alias("charge_off_rate"),
             last_value(BALANCE, PERIOD).alias("last_balance"),
             F.max(PERIOD).alias("last_period"),
+            *more,
         )
     )
 
@@ -46,25 +46,24 @@ def run_rate_forecast(
 ) -> DataFrame:
     """Actual and forecast months in one table, with the cumulative charge-off.
 
-    Forecast rows grow out of the one-row-per-series rates, so no join brings
-    the rates back to the months.
+    Each series becomes one row holding its months, as many as the calendar has,
+    next to its rates; the forecast months are appended there. So the months are
+    read once, and neither a join nor a union brings the two parts together.
     """
-    ratios = balance_ratios(months, series)
-    step = F.col("step")
-    future = (
-        trailing_rates(ratios, series, trailing)
-        .withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(h))))
-        .withColumn(BALANCE, F.col("last_balance") * compounded(F.col("growth_rate"), step))
-        .select(
-            *series,
-            monthly_date(next_month("last_period"), step - 1).alias(PERIOD),
-            BALANCE,
-            (F.col(BALANCE) * F.col("charge_off_rate")).alias(CHARGE_OFF),
-            F.lit("Forecast").alias("Period"),
-        )
-    )
-    both = stack_by_name(ratios.withColumn("Period", F.lit("Actual")), future)
-    return both.withColumn("cumulative_charge_off", running_total(CHARGE_OFF, series, PERIOD))
+    ratios = balance_ratios(months, series).withColumn("Period", F.lit("Actual"))
+    fields = [PERIOD, CHARGE_OFF, BALANCE, "charge_off_share", "balance_growth_mom", "Period"]
+    rates = trailing_rates(ratios, series, trailing, F.collect_list(F.struct(*fields)).alias("_actual"))
+    start = next_month("last_period")
+
+    def ahead(step: Column) -> Column:
+        balance = F.col("last_balance") * compounded(F.col("growth_rate"), step)
+        missing = F.lit(None).cast("double")
+        values = (monthly_date(start, step - 1), balance * F.col("charge_off_rate"), balance, missing, missing, F.lit("Forecast"))
+        return F.struct(*[v.alias(f) for v, f in zip(values, fields)])
+
+    both = F.concat("_actual", F.transform(F.sequence(F.lit(1), F.lit(h)), ahead))
+    rows = rates.select(*series, F.inline(both))
+    return rows.withColumn("cumulative_charge_off", running_total(CHARGE_OFF, series, PERIOD))
 
 
 def charge_off_totals(forecast: DataFrame, series: Sequence[str] = ()) -> DataFrame:

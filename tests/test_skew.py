@@ -99,4 +99,4 @@ def test_one_large_file_is_split(spark, tmp_path):
         rows = {int(r.assetNumber): r.note for r in df.collect()}
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", size)
-    assert rows == {i: ("x" * (i % 50) or None) for i in range(20000)} or rows == {i: "x" * (i % 50) for i in range(20000)}
+    assert rows == {i: ("x" * (i % 50)) or None for i in range(20000)}

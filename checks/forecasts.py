@@ -347,3 +347,20 @@ def r13_model_forecasts(spark, sf):
 def r14_charge_off_totals(spark, sf):
     forecast = run_rate.run_rate_forecast(monthly(spark, sf, TYPE), [TYPE])
     return rounded(run_rate.charge_off_totals(forecast, [TYPE]), 2, "actual_total", "forecast_total")
+
+
+def _percent(c: str) -> str:
+    return f"regexp_replace(regexp_replace(format('{{:.2f}}', round({c} * 100, 2) + 0.0), '0+$', ''), '\\.$', '') || '%'"
+
+
+@check(
+    monthly_sql(TYPE), RUN_RATE,
+    f"ends AS (SELECT {TYPE}, sum({CHARGED}) AS total, max({P}) AS finish FROM combined GROUP BY 1)",
+    sql=f"""SELECT r.{TYPE}, 'Average Change in Outstanding Balance Amount (P12M): ' || {_percent("g")} AS growth_line,
+            'Charge-Offs as a % of Outstanding Balance Amount (P12M): ' || {_percent("c")} AS share_line,
+            'Cumulative Value ' || strftime(finish, '%m/%d/%Y') || ': $' || CASE WHEN total >= 1000000
+              THEN format('{{:,}}', CAST(round(total, 0) AS BIGINT)) ELSE regexp_replace(format('{{:,.1f}}', total), '\\.0$', '') END AS total_line
+            FROM rates r JOIN ends e ON e.{TYPE} = r.{TYPE}""",
+)
+def r14_report_lines(spark, sf):
+    return outlook.run_rate_lines(monthly(spark, sf, TYPE), [TYPE])

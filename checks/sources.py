@@ -9,14 +9,15 @@ from loantide.functions.dates import monthly_date, next_month
 from loantide.functions.parsing import to_day
 from loantide.operators.columns import clean_names
 from loantide.plans.panel import ingest_filings, snapshot_panel
+from loantide.plans.reports import monthly_table
 from loantide.schema import FILING_INDEX_COLUMNS, LOAN, PERIOD
 from loantide.session import new_path
 from loantide.sources import filings, loan_records, storage
 
 from .columns import ACCESSION, accession
 from .forecasts import RUN_RATE, TYPE
-from .panel import PANEL, RAW, loan_month, monthly, monthly_sql, raw_panel, table
-from .registry import check
+from .panel import MEASURES, PANEL, RAW, flags, loan_month, monthly, monthly_sql, raw_panel, table
+from .registry import check, rounded, rounded_means
 
 P = "reportingPeriodEndingDate"
 DESCRIPTION = "Asset-Backed Issuer Report [Section 13, or 15(d)]"
@@ -134,12 +135,33 @@ def s07_snapshot_round_trip(spark, sf):
     return storage.read_snapshot(spark, path)
 
 
+MONTHLY_TABLE = ", ".join(
+    f"round(coalesce(sum({m}), 0), 2) + 0.0 AS {m}_sum, round(avg({m}) + 1e-9, 4) + 0.0 AS {m}_mean" for m in MEASURES
+)
+
+
+@check(
+    PANEL, flags("loan_month"),
+    sql=f"""SELECT CAST({P} AS VARCHAR) AS {P}, {MONTHLY_TABLE},
+            count(CASE WHEN remainingTermToMaturityNumber > 0 AND zeroBalanceCode IS NULL THEN 1 END) AS numberActiveLoans,
+            coalesce(CAST(sum(prepaidFlagFirst) AS BIGINT), 0) AS numberNewPrepaidLoans,
+            coalesce(CAST(sum(prepaidFlag) AS BIGINT), 0) AS numberPrepaidLoansTotal FROM flagged GROUP BY {P}""",
+)
+def s08_monthly_table_export(spark, sf):
+    months = monthly_table(loan_month(spark, sf))
+    path = new_path(spark, "export")
+    storage.export_table(months, path)
+    back = storage.read_table(spark, path, months.schema)
+    back = rounded_means(back, 4, *[f"{m}_mean" for m in MEASURES])
+    return rounded(back, 2, *[f"{m}_sum" for m in MEASURES])
+
+
 @check(
     PANEL,
     sql=f"""SELECT CAST({P} AS VARCHAR) AS {P}, zeroBalanceCode, count(*) AS n, CASE WHEN zeroBalanceCode = '4' THEN
             round(sum(chargedoffPrincipalAmount), 2) + 0.0 END AS charged FROM loan_month GROUP BY {P}, zeroBalanceCode""",
 )
-def s08_table_export_with_missing_values(spark, sf):
+def s08_export_with_missing_values(spark, sf):
     code = F.col("zeroBalanceCode")
     charged = F.when(code == "4", F.round(F.sum("chargedoffPrincipalAmount"), 2)).alias("charged")
     groups = loan_month(spark, sf).groupBy(PERIOD, code).agg(F.count(F.lit(1)).alias("n"), charged)

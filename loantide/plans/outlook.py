@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..forecast import arima, backtest, smoothing
 from ..forecast.local_regression import smooth
+from ..forecast.run_rate import run_rate_forecast
 from ..forecast.series import as_arrays
-from ..functions.labels import money_label
+from ..functions.labels import money_label, significant
 from ..operators.columns import stack_by_name
-from ..operators.series import running_total
+from ..operators.series import recency, running_total
 from ..schema import PERIOD
+from ..sources.storage import plain_number, report_line
 from .reports import principal_interest_charge_off
 
 CHARGE_OFF = "chargedoffPrincipalAmount"
@@ -42,6 +44,31 @@ def model_comparison(months: DataFrame, series: Sequence[str], h: int = 17) -> D
     return backtest.accuracy(errors, [*series, "model"])
 
 
+def run_rate_lines(months: DataFrame, series: Sequence[str] = (), h: int = 17, trailing: int = 12) -> DataFrame:
+    """The run-rate forecast as report text: trailing rates and the cumulative value it ends with."""
+    forecast = run_rate_forecast(months, series, h, trailing)
+    actual = F.col("Period") == "Actual"
+    recent = recency([*series, "Period"], PERIOD) <= trailing
+    marked = forecast.withColumn("_recent", actual & recent)
+    rates = marked.groupBy(*series).agg(
+        F.avg(F.when(F.col("_recent"), F.col("balance_growth_mom"))).alias("growth"),
+        F.avg(F.when(F.col("_recent"), F.col("charge_off_share"))).alias("share"),
+        F.sum(CHARGE_OFF).alias("total"),
+        F.max(PERIOD).alias("end"),
+    )
+
+    def percent(c: str) -> Column:
+        return plain_number(F.bround(F.col(c) * 100, 2))
+
+    end = F.concat(F.lit("Cumulative Value "), F.date_format("end", "MM/dd/yyyy"), F.lit(": $"), significant("total"))
+    return rates.select(
+        *series,
+        report_line("Average Change in Outstanding Balance Amount (P12M): ", percent("growth"), "%").alias("growth_line"),
+        report_line("Charge-Offs as a % of Outstanding Balance Amount (P12M): ", percent("share"), "%").alias("share_line"),
+        end.alias("total_line"),
+    )
+
+
 def smoothed_components(months: DataFrame, series: Sequence[str] = (), span: float = 0.75) -> DataFrame:
     """Principal, interest and charge-offs by month in long form, with smoother and axis label."""
     long = principal_interest_charge_off(months, series).withColumn("_day", F.unix_date(PERIOD))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.labels import band_index, band_label, code_label, significant, text_label, thousands
 from ..functions.parsing import if_else, paste, to_number
@@ -136,11 +136,30 @@ def monthly_measures(panel: DataFrame) -> DataFrame:
         F.count_if(code == F.lit("4")).alias("defaults"),
         F.count_if(code == F.lit("1")).alias("prepayments"),
     ]
-    measures = across(measure_columns(panel), total)
+    return with_new_prepayments(panel, [*across(measure_columns(panel), total), *counts])
+
+
+def monthly_table(panel: DataFrame) -> DataFrame:
+    """The monthly table for export: sums and means of every measure, and loan counts."""
+    code, remaining = F.col("zeroBalanceCode"), F.col("remainingTermToMaturityNumber")
+    measures = measure_columns(panel)
+    return with_new_prepayments(
+        panel,
+        [
+            *across(measures, total, "{col}_sum"),
+            *across(measures, F.avg, "{col}_mean"),
+            F.count_if((remaining > 0) & code.isNull()).alias("numberActiveLoans"),
+            total(prepaid_flag()).alias("numberPrepaidLoansTotal"),
+        ],
+    )
+
+
+def with_new_prepayments(panel: DataFrame, aggregates: Sequence[Column]) -> DataFrame:
+    """Aggregates per period together with the payoffs of the period."""
     if "prepaidFlagFirst" in panel.columns:
         first = total("prepaidFlagFirst").alias("numberNewPrepaidLoans")
-        return panel.groupBy(PERIOD).agg(*measures, first, *counts)
-    base = panel.groupBy(PERIOD).agg(*measures, *counts)
+        return panel.groupBy(PERIOD).agg(*aggregates, first)
+    base = panel.groupBy(PERIOD).agg(*aggregates)
     payoffs = new_prepayments(panel).select(
         F.col(PERIOD).alias("_period"), F.col("new_prepaid").alias("numberNewPrepaidLoans")
     )

@@ -33,6 +33,9 @@ TOTAL_MONTH_19 = 127182426.61
 TOTAL_MONTH_36 = 216709056.1961453
 BALANCE_MONTH_36 = 226919914.58401272
 LAST_MONTH = "2025-09-30"
+GROWTH_LINE = "Average Change in Outstanding Balance Amount (P12M): -3.35%"
+SHARE_LINE = "Charge-Offs as a % of Outstanding Balance Amount (P12M): 1.74%"
+TOTAL_LINE = "Cumulative Value 09/30/2025: $216,709,056"
 RATE_LINE = "Charge Offs - % of Total Outstanding Balance Amount (P12M): 1.74214695115508%"
 
 

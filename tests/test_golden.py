@@ -44,6 +44,13 @@ def test_rate_line(spark):
     assert line.first().line == golden.RATE_LINE
 
 
+def test_report_lines(spark):
+    row = outlook.run_rate_lines(golden.table(spark)).first()
+    assert row.growth_line == golden.GROWTH_LINE
+    assert row.share_line == golden.SHARE_LINE
+    assert row.total_line == golden.TOTAL_LINE
+
+
 def test_export_writes_missing_as_na(spark):
     months = golden.table(spark)
     path = new_path(spark, "golden")

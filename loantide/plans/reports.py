@@ -196,12 +196,17 @@ def charge_off_to_date(raw: DataFrame, as_of: str) -> DataFrame:
 
 
 def value_source_records(panel: DataFrame, as_of=None) -> DataFrame:
-    """Loans per source of vehicle value in one month; ``98`` and missing are one source."""
+    """Loans per source of vehicle value in one month; ``98`` and missing are one source.
+
+    Codes are counted before they are labelled, so the label is worked out once
+    per code and not once per loan.
+    """
     chosen = panel if as_of is None else panel.where(F.col(PERIOD) == F.lit(as_of).cast("date"))
+    codes = chosen.groupBy("vehicleValueSourceCode").agg(F.count(F.lit(1)).alias("n"))
     label = code_label("vehicleValueSourceCode", VALUE_SOURCE, VALUE_SOURCE_MISSING)
     return (
-        chosen.groupBy(label.alias("vehicleValueSourceCode"))
-        .agg(F.count(F.lit(1)).alias("records"))
+        codes.groupBy(label.alias("vehicleValueSourceCode"))
+        .agg(F.sum("n").alias("records"))
         .withColumn("records_text", thousands("records"))
     )
 

@@ -8,9 +8,14 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-# The JVM leaves methods beyond 8000 bytes uncompiled; wide projections, such as
-# the typing of all measures, are then better split than fused into one stage.
-TUNING = {"spark.sql.codegen.hugeMethodLimit": "8000"}
+# Recommended on any cluster.
+TUNING = {
+    # The JVM leaves methods beyond 8000 bytes uncompiled; wide projections, such as
+    # the typing of all measures, are then better split than fused into one stage.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Joins whose build side proves small in every partition need no sort of the wide side.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
+}
 
 
 def local_session(cores: int | str = "*", **conf) -> SparkSession:

@@ -100,3 +100,31 @@ def test_one_large_file_is_split(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", size)
     assert rows == {i: ("x" * (i % 50)) or None for i in range(20000)}
+
+
+def test_copies_of_one_loan_month_are_split_in_the_join(spark):
+    """A third of all rows is one loan-month; the join splits its partition over tasks."""
+    month = F.lit(dt.date(2020, 1, 31))
+    rows = spark.range(60000, numPartitions=8).select(
+        F.when(F.col("id") % 3 == 0, "HOT").otherwise(F.concat(F.lit("L"), F.col("id") % 5000)).alias(LOAN),
+        F.when(F.col("id") % 3 == 0, month).otherwise(F.add_months(month, (F.col("id") % 24).cast("int"))).alias(PERIOD),
+        F.lit(None).cast("string").alias("zeroBalanceCode"),
+        F.lit(9.0).alias("remainingTermToMaturityNumber"),
+        F.md5(F.col("id").cast("string")).alias("payload"),
+    )
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        flagged = panel.with_prepayment_flags(rows)
+        assert len(flagged.collect()) == 60000
+        assert "skew=true" in flagged._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

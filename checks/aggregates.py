@@ -187,15 +187,16 @@ def w04_running_sums_of_all(spark, sf):
 
 
 @check(
-    PANEL,
-    sql=f"""SELECT assetNumber, CAST({P} AS VARCHAR) AS {P}, k, round(pow(1 + paymentToIncomePercentage, k), 8) + 0.0 AS factor
-            FROM (SELECT *, CAST(unnest(range(1, 18)) AS INTEGER) AS k FROM loan_month WHERE zeroBalanceCode = '4')""",
+    EXACT,
+    sql="""SELECT assetNumber, k, round(pow(1 + rate, k), 8) + 0.0 AS factor
+           FROM (SELECT assetNumber, CAST(max(paymentToIncomePercentage) AS DOUBLE) AS rate, CAST(unnest(range(1, 18)) AS INTEGER) AS k
+                 FROM loan_exact GROUP BY 1)""",
 )
 def w05_running_product(spark, sf):
-    closed = loan_month(spark, sf).where(F.col("zeroBalanceCode") == "4")
-    steps = closed.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(17))))
-    factor = series.compounded(F.col("paymentToIncomePercentage"), F.col("k")).alias("factor")
-    return rounded(steps.select(LOAN, PERIOD, "k", factor), 8, "factor")
+    """Seventeen months at each loan's highest rate."""
+    rates = loan_month(spark, sf).groupBy(LOAN).agg(F.max("paymentToIncomePercentage").alias("rate"))
+    steps = rates.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(17))))
+    return rounded(steps.select(LOAN, "k", series.compounded(F.col("rate"), F.col("k")).alias("factor")), 8, "factor")
 
 
 @check(

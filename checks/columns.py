@@ -310,24 +310,23 @@ def x14_thousands_text(spark, sf):
 
 @check(
     PANEL,
-    sql=f"""SELECT {KEY}, '$' || format('{{:,}}', CAST(round(floor(originalLoanAmount) / 1000, 1) * 10 AS BIGINT) // 10)
-            || '.' || CAST(CAST(round(floor(originalLoanAmount) / 1000, 1) * 10 AS BIGINT) % 10 AS VARCHAR) || 'k' AS label
-            FROM loan_month WHERE CAST(floor(originalLoanAmount) AS BIGINT) % 100 <> 50""",
+    sql=f"SELECT {KEY}, '$' || format('{{:,.1f}}', floor(originalLoanAmount) * 0.001) || 'k' AS label FROM loan_month",
 )
 def x15_money_label(spark, sf):
-    whole = F.floor("originalLoanAmount")
-    panel = loan_month(spark, sf).where(whole % 100 != 50)
-    return panel.select(LOAN, PERIOD, labels.money_label(whole, suffix="k", digits=1).alias("label"))
+    label = labels.money_label(F.floor("originalLoanAmount"), suffix="k", digits=1)
+    return loan_month(spark, sf).select(LOAN, PERIOD, label.alias("label"))
 
 
 @check(
     PANEL,
-    sql=f"""SELECT assetNumber, CAST({P} AS VARCHAR) AS {P}, CAST(unnest(range(400, 901, 100)) AS INTEGER) AS edge
-            FROM loan_month WHERE zeroBalanceCode = '4'""",
+    sql=f"""SELECT {KEY}, CAST(unnest(range(400, CAST(greatest(400, obligorCreditScore) AS INTEGER) + 1, 50)) AS INTEGER) AS edge
+            FROM loan_month""",
 )
 def x16_numeric_sequence(spark, sf):
-    closed = loan_month(spark, sf).where(F.col("zeroBalanceCode") == "4")
-    return closed.select(LOAN, PERIOD, F.explode(F.sequence(F.lit(400), F.lit(900), F.lit(100))).alias("edge"))
+    """The band edges up to each loan's score."""
+    upto = F.greatest(F.lit(400), F.col("obligorCreditScore").cast("int"))
+    edges = F.sequence(F.lit(400), upto, F.lit(50))
+    return loan_month(spark, sf).select(LOAN, PERIOD, F.explode(edges).alias("edge"))
 
 
 @check(
@@ -354,14 +353,13 @@ def x18_date_shift(spark, sf):
 
 @check(
     PANEL,
-    sql=f"""SELECT assetNumber, chargedoffPrincipalAmount, NULL AS recoveredAmount, 'Charge' AS kind FROM loan_month WHERE zeroBalanceCode = '4'
-            UNION ALL SELECT assetNumber, NULL, originalLoanAmount, 'Recovery' FROM loan_month WHERE zeroBalanceCode = '2'""",
+    sql="""SELECT assetNumber, chargedoffPrincipalAmount, NULL AS originalLoanAmount, 'Charge' AS kind FROM loan_month
+           UNION ALL SELECT assetNumber, NULL, originalLoanAmount, 'Loan' FROM loan_month""",
 )
 def u01_stack_by_name(spark, sf):
-    panel, code = loan_month(spark, sf), F.col("zeroBalanceCode")
-    charges = panel.where(code == "4").select(LOAN, "chargedoffPrincipalAmount", F.lit("Charge").alias("kind"))
-    recovered = F.col("originalLoanAmount").alias("recoveredAmount")
-    return cols.stack_by_name(charges, panel.where(code == "2").select(F.lit("Recovery").alias("kind"), recovered, LOAN))
+    panel = loan_month(spark, sf)
+    charges = panel.select(LOAN, "chargedoffPrincipalAmount", F.lit("Charge").alias("kind"))
+    return cols.stack_by_name(charges, panel.select(F.lit("Loan").alias("kind"), "originalLoanAmount", LOAN))
 
 
 @check(

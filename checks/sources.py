@@ -205,22 +205,21 @@ def filing_number(period):
     f"""filed AS (SELECT *, strptime({P}, '%m-%d-%Y') AS day FROM raw_panel)""",
     sql=f"""SELECT assetNumber, {P}, zeroBalanceCode, chargedoffPrincipalAmount, vehicleModelName,
             '0000012345-' || strftime(day, '%y-%m%d') || '01' AS accession_number,
-            '{BASE}/0000012345' || strftime(day, '%y%m%d') || '01/{EXHIBIT}' AS data_file_link
-            FROM filed WHERE month(day) % 2 = 1""",
+            '{BASE}/0000012345' || strftime(day, '%y%m%d') || '01/{EXHIBIT}' AS data_file_link FROM filed""",
 )
 def r01_ingest_filings(spark, sf):
-    """One filing per month; only odd months are listed as loan data files."""
+    """Index and landed files with one loan data filing per month, next to one report of another form."""
     raw = raw_panel(spark, sf)
     period = to_day(F.col(PERIOD))
-    months = raw.select(period.alias("day")).distinct()
-    blank = F.lit(None).cast("string")
+    filed = raw.select(period.alias("day")).distinct().withColumn("form", F.explode(F.array(F.lit("ABS-EE"), F.lit("10-D"))))
+    number, blank = filing_number(F.col("day")), F.lit(None).cast("string")
     known = {
-        "Form type": F.when(F.month("day") % 2 == 1, "ABS-EE").otherwise("10-D"),
+        "Form type": F.col("form"),
         "Reporting date": F.date_format("day", "M/d/yyyy"),
-        "Accession number": filing_number(F.col("day")),
+        "Accession number": F.when(F.col("form") == "ABS-EE", number).otherwise(F.concat(number, F.lit("X"))),
     }
     index, landing, snapshot = (new_path(spark, n) for n in ("index", "landing", "snapshot"))
-    months.select(*[known.get(c, blank).alias(c) for c in FILING_INDEX_COLUMNS]).write.option("header", True).csv(index)
+    filed.select(*[known.get(c, blank).alias(c) for c in FILING_INDEX_COLUMNS]).write.option("header", True).csv(index)
     landed = raw.withColumn("accession_number", filing_number(period)).hint("rebalance", F.col("accession_number"))
     loan_records.write_loan_records(landed, landing, partition_by=["accession_number"])
     snapshot_panel(ingest_filings(spark, index, landing, BASE, EXHIBIT), snapshot)

@@ -266,9 +266,7 @@ def f07_residual_test_of_fitted_models(spark, sf):
         smoothing.select_smoothing(arrays(spark, sf), [BRAND]).select(BRAND, F.lit("ets").alias("model"), "parameters", "residuals"),
         arima.select_arima(arrays(spark, sf), [BRAND], 1).select(BRAND, F.lit("arima").alias("model"), "parameters", "residuals"),
     )
-    rows = diagnostics.residual_rows(fits, [BRAND, "model"])
-    acf = diagnostics.autocorrelation(rows, [BRAND, "model"], LAGS)
-    return rounded(diagnostics.ljung_box(acf, [BRAND, "model"]), 6, "q", "p_value")
+    return rounded(diagnostics.check_residuals(fits, [BRAND, "model"]), 6, "q", "p_value")
 
 
 def loess_sql(source: str, *keys: str) -> str:

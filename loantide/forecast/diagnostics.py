@@ -9,6 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 
+# Enough for ten lags and for three beyond the weights of any model fitted here.
+LONGEST_LAG = 12
+
+
 def residual_rows(fits: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The ``residuals`` array of fitted series as rows (``t``, ``residual``)."""
     rows = fits.select(*keys, "parameters", F.posexplode("residuals").alias("_t", "residual"))
@@ -53,3 +57,16 @@ def ljung_box(acf: DataFrame, keys: Sequence[str], fitted: int | str = 0) -> Dat
         F.greatest(F.lit(1), F.max("lag") - weights).alias("freedom"),
     )
     return tested.withColumn("p_value", chi_square_tail("q", "freedom"))
+
+
+def check_residuals(fits: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Ljung-Box test of fitted series.
+
+    It covers ten lags or a fifth of the length, whichever is less, but always
+    enough to leave three degrees of freedom.
+    """
+    names = [*keys, "parameters"]
+    acf = autocorrelation(residual_rows(fits, keys), names, LONGEST_LAG)
+    fifth = F.least(F.lit(10), F.bround(F.col("n") / 5, 0))
+    used = acf.where(F.col("lag") <= F.greatest(fifth, F.col("parameters") + 3))
+    return ljung_box(used, names, "parameters").drop("parameters")

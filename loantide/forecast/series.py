@@ -36,7 +36,7 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     Keyed by a hash of its own, or the planner takes the aggregate's exchange
     for this one and sizes it by bytes.
     """
-    return df.repartition(task_count(df.sparkSession), F.xxhash64(*keys))
+    return df.repartition(task_count(df.sparkSession), F.xxhash64(*keys)) if keys else df
 
 
 def fitted_once(udf):

@@ -122,48 +122,44 @@ def monthly_totals(panel: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return panel.groupBy(PERIOD, *by).agg(*across(measure_columns(panel), total))
 
 
-def monthly_measures(panel: DataFrame) -> DataFrame:
+def loan_counts() -> list[Column]:
+    return [
+        F.count_if((F.col("remainingTermToMaturityNumber") > 0) & F.col("zeroBalanceCode").isNull()).alias("numberActiveLoans"),
+        total(prepaid_flag()).alias("numberPrepaidLoansTotal"),
+    ]
+
+
+def monthly_measures(panel: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Measure sums and loan counts per period.
 
     On a panel that carries ``prepaidFlagFirst`` all columns come from one
     aggregate. Without it only loan, period and state are shuffled by loan to
     find the payoffs; the measures are summed where they are read.
     """
-    code, remaining = F.col("zeroBalanceCode"), F.col("remainingTermToMaturityNumber")
-    counts = [
-        F.count_if((remaining > 0) & code.isNull()).alias("numberActiveLoans"),
-        total(prepaid_flag()).alias("numberPrepaidLoansTotal"),
-        F.count_if(code == F.lit("4")).alias("defaults"),
-        F.count_if(code == F.lit("1")).alias("prepayments"),
-    ]
-    return with_new_prepayments(panel, [*across(measure_columns(panel), total), *counts])
+    code = F.col("zeroBalanceCode")
+    ends = [F.count_if(code == F.lit("4")).alias("defaults"), F.count_if(code == F.lit("1")).alias("prepayments")]
+    return with_new_prepayments(panel, [*across(measure_columns(panel), total), *loan_counts(), *ends], by)
 
 
-def monthly_table(panel: DataFrame) -> DataFrame:
+def monthly_table(panel: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """The monthly table for export: sums and means of every measure, and loan counts."""
-    code, remaining = F.col("zeroBalanceCode"), F.col("remainingTermToMaturityNumber")
     measures = measure_columns(panel)
-    return with_new_prepayments(
-        panel,
-        [
-            *across(measures, total, "{col}_sum"),
-            *across(measures, F.avg, "{col}_mean"),
-            F.count_if((remaining > 0) & code.isNull()).alias("numberActiveLoans"),
-            total(prepaid_flag()).alias("numberPrepaidLoansTotal"),
-        ],
-    )
+    values = [*across(measures, total, "{col}_sum"), *across(measures, F.avg, "{col}_mean")]
+    return with_new_prepayments(panel, [*values, *loan_counts()], by)
 
 
-def with_new_prepayments(panel: DataFrame, aggregates: Sequence[Column]) -> DataFrame:
+def with_new_prepayments(panel: DataFrame, aggregates: Sequence[Column], by: Sequence[str] = ()) -> DataFrame:
     """Aggregates per period together with the payoffs of the period."""
+    keys = [PERIOD, *by]
     if "prepaidFlagFirst" in panel.columns:
         first = total("prepaidFlagFirst").alias("numberNewPrepaidLoans")
-        return panel.groupBy(PERIOD).agg(*aggregates, first)
-    base = panel.groupBy(PERIOD).agg(*aggregates)
-    payoffs = new_prepayments(panel).select(
-        F.col(PERIOD).alias("_period"), F.col("new_prepaid").alias("numberNewPrepaidLoans")
+        return panel.groupBy(*keys).agg(*aggregates, first)
+    base = panel.groupBy(*keys).agg(*aggregates)
+    payoffs = new_prepayments(panel, by).select(
+        *[F.col(k).alias(f"_{k}") for k in keys], F.col("new_prepaid").alias("numberNewPrepaidLoans")
     )
-    return base.join(payoffs, F.col(PERIOD).eqNullSafe(F.col("_period"))).drop("_period")
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return base.join(payoffs, same).drop(*[f"_{k}" for k in keys])
 
 
 def cumulative_measures(months: DataFrame, series: Sequence[str] = ()) -> DataFrame:

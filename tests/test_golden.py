@@ -2,7 +2,7 @@ import golden
 import pytest
 from pyspark.sql import functions as F
 
-from loantide.forecast import arima, run_rate, smoothing
+from loantide.forecast import arima, diagnostics, run_rate, smoothing
 from loantide.plans import outlook
 from loantide.schema import PERIOD
 from loantide.session import new_path
@@ -90,3 +90,18 @@ def test_selected_models_are_plausible(spark):
     assert ets.model in ("trend", "damped") and len(ets.residuals) == 19
     fit = arima.select_arima(arrays, ["series_id"], 3).first()
     assert fit.d >= 1 and fit.sigma2 > 0
+
+
+def test_one_series_needs_no_key(spark):
+    months = golden.table(spark)
+    assert outlook.model_forecasts(months, [], 17).count() == 34
+    arrays = outlook.cumulative_charge_off(months, [])
+    for fits in (smoothing.select_smoothing(arrays, []), arima.select_arima(arrays, [], 1)):
+        row = diagnostics.check_residuals(fits, []).first()
+        assert row.freedom >= 3 and 0 <= row.p_value <= 1
+    assert {r.model for r in outlook.model_comparison(months, [], 3).collect()} == {"arima", "ets"}
+    components = months.withColumns(
+        {"actualPrincipalCollectedAmount": F.lit(1.0), "actualInterestCollectedAmount": F.lit(2.0)}
+    )
+    smoothed = outlook.smoothed_components(components)
+    assert smoothed.count() == 57 and smoothed.where("fitted is null").count() == 0

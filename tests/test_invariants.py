@@ -64,3 +64,11 @@ def test_loans_with_flags_are_those_of_the_summary(spark, sf_dir, clean):
     summary = reports.loan_summary(clean).join(flags, LOAN)
     assert summary.where(F.col("prepaid") != F.coalesce("flags", F.lit(0))).count() == 0
     assert loan_month(spark, sf_dir).select(LOAN).distinct().count() == summary.count()
+
+
+def test_measures_by_brand_add_up(spark, sf_dir, clean):
+    whole = reports.monthly_measures(clean)
+    parts = reports.monthly_measures(panel.typed_panel(raw_panel(spark, sf_dir)), [BRAND])
+    names = ["numberActiveLoans", "numberNewPrepaidLoans", "defaults", "prepayments"]
+    added = parts.groupBy(PERIOD).agg(*[F.sum(n).alias(n) for n in names])
+    assert sorted(map(tuple, added.select(PERIOD, *names).collect())) == sorted(map(tuple, whole.select(PERIOD, *names).collect()))

@@ -56,7 +56,8 @@ def smooth(df: DataFrame, keys: Sequence[str], x: str, y: str, span: float = 0.7
     fits = whole.withColumn("_located", located).withColumn(
         "_fits", F.transform("_located", lambda p: F.struct(p.x.alias("x"), p.y.alias("y"), moments(p).alias("m")))
     )
-    rows = fits.select(*keys, F.inline("_fits"))
+    # The outer form keeps the optimizer from testing the array's size by fitting it a second time.
+    rows = fits.select(*keys, F.inline_outer("_fits"))
     m = {name: F.col(f"m.{name}") for name in MOMENTS}
     top = [m["t0"], m["s1"], m["s2"], m["t1"], m["s2"], m["s3"], m["t2"], m["s3"], m["s4"]]
     bottom = [m["s0"], m["s1"], m["s2"], m["s1"], m["s2"], m["s3"], m["s2"], m["s3"], m["s4"]]

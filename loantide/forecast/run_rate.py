@@ -62,7 +62,7 @@ def run_rate_forecast(
         return F.struct(*[v.alias(f) for v, f in zip(values, fields)])
 
     both = F.concat("_actual", F.transform(F.sequence(F.lit(1), F.lit(h)), ahead))
-    rows = rates.select(*series, F.inline(both))
+    rows = rates.select(*series, F.inline_outer(both))
     return rows.withColumn("cumulative_charge_off", running_total(CHARGE_OFF, series, PERIOD))
 
 

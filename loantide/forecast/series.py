@@ -45,13 +45,16 @@ def fitted_once(udf):
 
 
 def with_intervals(df: DataFrame, mean: Column, variance: Column) -> DataFrame:
-    spread_of = F.sqrt(variance)
-    return df.withColumns(
-        {
-            "mean": mean,
-            "lo80": mean - F.lit(Z80) * spread_of,
-            "hi80": mean + F.lit(Z80) * spread_of,
-            "lo95": mean - F.lit(Z95) * spread_of,
-            "hi95": mean + F.lit(Z95) * spread_of,
-        }
+    m, sd = F.col("mean"), F.col("_sd")
+    return (
+        df.withColumns({"mean": mean, "_sd": F.sqrt(variance)})
+        .withColumns(
+            {
+                "lo80": m - F.lit(Z80) * sd,
+                "hi80": m + F.lit(Z80) * sd,
+                "lo95": m - F.lit(Z95) * sd,
+                "hi95": m + F.lit(Z95) * sd,
+            }
+        )
+        .drop("_sd")
     )

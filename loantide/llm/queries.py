@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from loantide.llm import mixing, pii, secrets
+from loantide.llm import line_dedup, mixing, pii, quality, secrets, simhash
 from loantide.llm.common import table
 from loantide.llm.registry import query
 
@@ -79,3 +79,40 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.scan_personal(table(spark, sf_dir, "documents"))
     return _span_digests(found, ("email", "ip", "card", "phone"))
+
+
+@query(
+    sql=r"""
+WITH lines AS (
+    SELECT doc_id, lang, source, n_chars, text, string_split(text, chr(10)) AS ls FROM documents
+), windows AS (
+    SELECT doc_id, p, ls[p] || chr(10) || ls[p + 1] || chr(10) || ls[p + 2] AS w
+    FROM (SELECT doc_id, ls, unnest(range(1, len(ls) - 1)) AS p FROM lines)
+), later AS (
+    SELECT doc_id, p
+    FROM (SELECT doc_id, p, w, row_number() OVER (PARTITION BY w ORDER BY doc_id NULLS LAST, p) AS nth FROM windows)
+    WHERE nth > 1 AND trim(replace(w, chr(10), ' ')) <> ''
+), gone AS (
+    SELECT doc_id, list(DISTINCT q) AS qs
+    FROM (SELECT doc_id, unnest([p, p + 1, p + 2]) AS q FROM later) GROUP BY doc_id
+)
+SELECT l.doc_id, l.lang, l.source, l.n_chars,
+       CASE WHEN g.qs IS NULL THEN l.text
+            ELSE array_to_string([l.ls[i] FOR i IN range(1, len(l.ls) + 1) IF NOT list_contains(g.qs, i)], chr(10))
+       END AS text,
+       coalesce(len(g.qs), 0)::INTEGER AS removed_lines
+FROM lines l LEFT JOIN gone g USING (doc_id)
+"""
+)
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

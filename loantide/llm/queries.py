@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from loantide.llm import line_dedup, mixing, pii, quality, secrets, simhash, vectors
+from loantide.llm import line_dedup, mixing, pii, quality, secrets, simhash, suffixes, vectors
 from loantide.llm.common import table
 from loantide.llm.registry import query
 
@@ -121,3 +121,8 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_passages(table(spark, sf_dir, "documents"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from loantide.llm import line_dedup, mixing, pii, quality, secrets, simhash, suffixes, vectors
+from loantide.llm import decontaminate, line_dedup, mixing, pii, quality, secrets, simhash, suffixes, vectors
 from loantide.llm.common import table
 from loantide.llm.registry import query
 
@@ -126,3 +126,9 @@ def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaks = decontaminate.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return leaks.select("doc_id", "item_id", "start", "similarity", "distance")

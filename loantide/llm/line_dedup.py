@@ -6,9 +6,13 @@ from pyspark.sql import DataFrame, functions as F
 
 
 def drop_repeated_lines(
-    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = 3
+    docs: DataFrame,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    window: int = 3,
+    count_column: str | None = "removed_lines",
 ) -> DataFrame:
-    """The documents with all columns, the text without repeated windows, and ``removed_lines``.
+    """The documents with all columns, the text without repeated windows, and the number of lines removed as ``count_column``.
 
     Every ``window`` consecutive lines of a document form a window. Windows with the same lines repeat each other wherever
     they stand; the first by document (id, NULL last, then text hash) and position stays. The lines covered by any later window are
@@ -16,7 +20,7 @@ def drop_repeated_lines(
     left alone.
 
     Rows alike in id and text are one document: they get the same text, and do not repeat each other. NULL texts stay NULL, with 0
-    removed lines; an empty table gives no rows. A column named ``removed_lines`` is replaced, other names cannot clash.
+    removed lines; an empty table gives no rows. A column named as ``count_column`` is replaced, other names cannot clash.
 
     Windows travel as 128-bit digests, never as text. Counts of a repeated window are aggregated on the map side, and only digests
     that repeat go back to their places; the join on them is one that adaptive execution splits at a frequent
@@ -79,6 +83,6 @@ def drop_repeated_lines(
     columns = [
         new_text.alias(c) if c == text_column else F.col("row").getField(c).alias(c)
         for c in docs.columns
-        if c != "removed_lines"
+        if c != count_column
     ]
-    return met.withColumn("gone", gone).select(*columns, removed.alias("removed_lines"))
+    return met.withColumn("gone", gone).select(*columns, *([removed.alias(count_column)] if count_column else []))

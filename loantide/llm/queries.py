@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from loantide.llm import decontaminate, line_dedup, mixing, pii, quality, secrets, simhash, suffixes, vectors
+from loantide.llm import decontaminate, licenses, line_dedup, mixing, pii, quality, secrets, simhash, suffixes, vectors
 from loantide.llm.common import table
 from loantide.llm.registry import query
 
@@ -132,3 +132,11 @@ def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaks = decontaminate.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return leaks.select("doc_id", "item_id", "start", "similarity", "distance")
+
+
+@query()
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents stand as files under source/lang."""
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("_"))
+    docs = table(spark, sf_dir, "documents").withColumn("path", F.concat_ws("/", part("source"), part("lang"), part("doc_id")))
+    return licenses.license_of_paths(docs, licenses.template_frame(spark))

@@ -34,19 +34,20 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], total: float, c
 
     ``sizes`` has one row per source (source, source_size, rank) with ranks from 0; weights repeat by rank. What a capped source
     leaves is shared anew by weight. A source is capped when its size per weight lies below the common level, so with sources in
-    that order the level is found in one pass of running sums over the sources.
+    that order the first that is not capped has the common level, from running sums over the sources.
     """
     weighted = sizes.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int")))
-    order = Window.orderBy((F.col("source_size") / F.col("w")), "rank")
+    order = Window.orderBy("ratio", "rank")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     share = F.col("source_size").cast("double")
     levels = (
-        weighted.withColumn("capped", F.coalesce(F.sum(share * cap).over(before), F.lit(0.0)))
+        weighted.withColumn("ratio", F.col("source_size") / F.col("w"))
+        .withColumn("capped", F.coalesce(F.sum(share * cap).over(before), F.lit(0.0)))
         .withColumn("rest", F.sum("w").over(every) - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
         .withColumn("level", (F.sum(share).over(every) * total - F.col("capped")) / F.col("rest"))
         .withColumn("open", F.col("level") * F.col("w") <= share * cap)
-        .withColumn("first", F.min(F.when(F.col("open"), F.col("level"))).over(every))
+        .withColumn("first", F.min(F.when(F.col("open"), F.struct("ratio", "rank", "level"))).over(every)["level"])
     )
     target = F.least(share * cap, F.coalesce(F.col("first") * F.col("w"), share * cap))
     return levels.select("source", "source_size", target.alias("target"))

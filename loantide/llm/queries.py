@@ -53,7 +53,8 @@ WITH sized AS (
 ), plan AS (
     SELECT source, source_size,
            least(source_size * 2.0::DOUBLE,
-                 coalesce(min(CASE WHEN level * w <= source_size * 2.0 THEN level END) OVER () * w,
+                 coalesce((SELECT level FROM levels WHERE level * w <= source_size * 2.0
+                           ORDER BY source_size / w, source NULLS LAST LIMIT 1) * w,
                           source_size * 2.0)) AS target
     FROM levels
 ), run AS (

@@ -68,9 +68,9 @@ def mix_sources(
 
     Sources stand in code point order, NULL last. Whole epochs of a source come first: ``epochs`` is the whole part
     of target over source size. The rest is drawn without replacement by exponential keys: a document of weight w
-    gets -ln(u) / w, and the least keys are taken while the running size stays within the rest; the document that crosses it is
-    taken if that ends nearer to the rest (at most half of its size away). Keys come from a digest of seed and id, so
-    reruns agree; equal keys are ordered by size, and rows alike in id and size may stand for each other.
+    gets -ln(u) / w, and the least keys are taken while the running size stays within the rest; of the document that crosses it
+    the words up to the rest are taken. Keys come from a digest of seed and id, so reruns agree; equal keys are
+    ordered by size, and rows alike in id and size may stand for each other.
 
     No source is sorted in one task: running sums over two levels of key bins per source find the bin that
     holds the boundary, and only its documents are ordered. NULL texts have size 0, and a source without words takes 0 of each
@@ -110,14 +110,12 @@ def mix_sources(
 
     rows = _of_source(slim, plan)
     at_cut = "(high = cut_high AND low = cut_low)"
-    below = F.expr("CASE WHEN high < cut_high OR (high = cut_high AND low < cut_low) THEN 1 ELSE 0 END")
+    below = F.expr("CASE WHEN high < cut_high OR (high = cut_high AND low < cut_low) THEN 1 ELSE 0 END") * F.col("size")
     clear = rows.where(f"NOT coalesce({at_cut}, false)").withColumn("drawn", below)
     order = Window.partitionBy("source").orderBy("key", "size", "id").rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("start") + F.coalesce(F.sum("size").over(order), F.lit(0))
-    within = (before + F.col("size") <= F.col("rest")) | (
-        (before < F.col("rest")) & ((F.col("rest") - before) * 2 > F.col("size"))
-    )
-    edge = rows.where(at_cut).withColumn("drawn", within.cast("int"))
+    within = F.least(F.greatest(F.floor(F.col("rest") - before), F.lit(0)), F.col("size"))
+    edge = rows.where(at_cut).withColumn("drawn", within)
     return clear.unionByName(edge).select(
         F.col("id").alias(id_column),
         F.col("source").alias(source_column),
@@ -125,7 +123,7 @@ def mix_sources(
         "source_size",
         "target",
         "epochs",
-        ((F.col("epochs") + F.col("drawn")) * F.col("size")).alias("taken"),
+        (F.col("epochs") * F.col("size") + F.col("drawn")).alias("taken"),
     )
 
 

@@ -65,9 +65,7 @@ WITH sized AS (
     FROM sized s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source
 )
 SELECT doc_id, size, source_size, target,
-       ((epochs + CASE WHEN before + size <= target - epochs * source_size
-              OR (before < target - epochs * source_size AND (target - epochs * source_size - before) * 2 > size)
-              THEN 1 ELSE 0 END) * size)::BIGINT AS taken
+       (epochs * size + least(greatest(floor(target - epochs * source_size - before), 0), size))::BIGINT AS taken
 FROM run
 """
 )

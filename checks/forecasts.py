@@ -151,11 +151,11 @@ origins AS (
   JOIN lengths ON skey = s.{B} WHERE s.t < n
 ),
 forecasts AS (
-  SELECT *, last AS value, 'naive' AS model FROM origins CROSS JOIN (SELECT unnest(range(1, 7)) AS h)
+  SELECT *, last AS value, 'naive' AS model FROM origins CROSS JOIN (SELECT unnest(range(1, 18)) AS h)
   UNION ALL
-  SELECT *, last + h * coalesce((last - first) / nullif(origin - 1, 0), 0), 'drift' FROM origins CROSS JOIN (SELECT unnest(range(1, 7)) AS h)
+  SELECT *, last + h * coalesce((last - first) / nullif(origin - 1, 0), 0), 'drift' FROM origins CROSS JOIN (SELECT unnest(range(1, 18)) AS h)
   UNION ALL
-  SELECT *, level, 'simple' FROM origins CROSS JOIN (SELECT unnest(range(1, 7)) AS h)
+  SELECT *, level, 'simple' FROM origins CROSS JOIN (SELECT unnest(range(1, 18)) AS h)
 ),
 errors AS (
   SELECT f.{B}, model, origin, CAST(h AS INTEGER) AS h, y - value AS error
@@ -166,7 +166,7 @@ errors AS (
 def _errors(spark, sf):
     series = arrays(spark, sf)
     models = (backtest.naive(), backtest.drift(), backtest.smoothing(SIMPLE, "simple"))
-    return stack_by_name(*[backtest.rolling_origin(series, [BRAND], m, 6) for m in models])
+    return stack_by_name(*[backtest.rolling_origin(series, [BRAND], m, 17) for m in models])
 
 
 @check(
@@ -354,9 +354,9 @@ def _percent(c: str) -> str:
 @check(
     monthly_sql(TYPE), RUN_RATE,
     f"ends AS (SELECT {TYPE}, sum({CHARGED}) AS total, max({P}) AS finish FROM combined GROUP BY 1)",
-    sql=f"""SELECT r.{TYPE}, 'Average Change in Outstanding Balance Amount (P12M): ' || {_percent("g")} AS growth_line,
-            'Charge-Offs as a % of Outstanding Balance Amount (P12M): ' || {_percent("c")} AS share_line,
-            'Cumulative Value ' || strftime(finish, '%m/%d/%Y') || ': $' || CASE WHEN total >= 1000000
+    sql=f"""SELECT r.{TYPE}, 'Balance growth, trailing mean: ' || {_percent("g")} AS growth_line,
+            'Charge-off share of balance, trailing mean: ' || {_percent("c")} AS share_line,
+            'Charged off by ' || strftime(finish, '%m/%d/%Y') || ': $' || CASE WHEN total >= 1000000
               THEN format('{{:,}}', CAST(round(total, 0) AS BIGINT)) ELSE regexp_replace(format('{{:,.1f}}', total), '\\.0$', '') END AS total_line
             FROM rates r JOIN ends e ON e.{TYPE} = r.{TYPE}""",
 )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -15,7 +16,11 @@ def check(*ctes: str, sql: str | None = None):
     """Register a query under its name; ``sql`` is its twin, reading the given CTEs."""
 
     def register(fn: Query) -> Query:
-        QUERIES[fn.__name__] = lambda spark, sf_dir: comparable(fn(spark, sf_dir))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            own_folder_where_unset(spark)
+            return comparable(fn(spark, sf_dir))
+
+        QUERIES[fn.__name__] = run
         if sql is not None:
             SQL[fn.__name__] = with_ctes(sql, *ctes)
         return fn
@@ -23,6 +28,13 @@ def check(*ctes: str, sql: str | None = None):
     return register
 
 
+def own_folder_where_unset(spark: SparkSession) -> None:
+    """On a local master without a shared folder, name one of this machine; a cluster has to name its own."""
+    context = spark.sparkContext
+    if not spark.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir() and context.master.startswith("local["):
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="loantide-"))
+
+
 def with_ctes(body: str, *ctes: str) -> str:
     if not ctes:
         return body.strip()

@@ -143,6 +143,11 @@ def r08_monthly_measures(spark, sf):
     return rounded(reports.monthly_measures(typed_panel(raw_panel(spark, sf))), 2, *MEASURES)
 
 
+@check(CLEAN, flags("typed"), sql=f"SELECT {MONTH}, {B}, {MEASURE_SUMS}, {COUNTS} FROM flagged GROUP BY {P}, {B}")
+def r08_monthly_measures_by_brand(spark, sf):
+    return rounded(reports.monthly_measures(typed_panel(raw_panel(spark, sf)), [BRAND]), 2, *MEASURES)
+
+
 @check(PANEL, flags("loan_month"), sql=f"SELECT {MONTH}, {MEASURE_SUMS}, {COUNTS} FROM flagged GROUP BY {P}")
 def r08_monthly_measures_of_flagged_panel(spark, sf):
     """From a panel that already carries both flags."""
@@ -174,13 +179,13 @@ def r11_balance_by_month(spark, sf):
 
 @check(
     RAW,
-    sql="""SELECT value, 'Cumulative Value as of 11/30/2001: $' || CASE WHEN value >= 1000000
+    sql="""SELECT value, 'Charged off to date: $' || CASE WHEN value >= 1000000
              THEN format('{:,}', CAST(round(value, 0) AS BIGINT)) ELSE regexp_replace(format('{:,.1f}', value), '\\.0$', '') END AS line
            FROM (SELECT round(sum(CASE WHEN isnan(TRY_CAST(chargedoffPrincipalAmount AS DOUBLE)) THEN 0
            ELSE TRY_CAST(chargedoffPrincipalAmount AS DOUBLE) END), 2) + 0.0 AS value FROM raw_panel)""",
 )
 def r12_charge_off_to_date(spark, sf):
-    return rounded(reports.charge_off_to_date(raw_panel(spark, sf), "11/30/2001"), 2, "value")
+    return rounded(reports.charge_off_to_date(raw_panel(spark, sf)), 2, "value")
 
 
 @check(

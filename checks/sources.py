@@ -8,19 +8,19 @@ from loantide.forecast.run_rate import balance_ratios, trailing_rates
 from loantide.functions.dates import monthly_date, next_month
 from loantide.functions.parsing import to_day
 from loantide.operators.columns import clean_names
-from loantide.plans.panel import ingest_filings, snapshot_panel
-from loantide.plans.reports import monthly_table
+from loantide.plans.panel import FILED_PERIOD, ingest_filings, snapshot_panel, typed_panel
+from loantide.plans.reports import monthly_table, value_source_records
 from loantide.schema import FILING_INDEX_COLUMNS, LOAN, PERIOD
 from loantide.session import new_path
 from loantide.sources import filings, loan_records, storage
 
 from .columns import ACCESSION, accession
 from .forecasts import RUN_RATE, TYPE
-from .panel import MEASURES, PANEL, RAW, flags, loan_month, monthly, monthly_sql, raw_panel, table
+from .panel import CLEAN, MEASURES, PANEL, RAW, flags, loan_month, monthly, monthly_sql, raw_panel, table
 from .registry import check, rounded, rounded_means
 
 P = "reportingPeriodEndingDate"
-DESCRIPTION = "Asset-Backed Issuer Report [Section 13, or 15(d)]"
+DESCRIPTION = "Loan data [parts A, B]"
 LEAVES = (LOAN, PERIOD, "zeroBalanceCode", "chargedoffPrincipalAmount", "remainingTermToMaturityNumber", "vehicleModelName")
 LEAF_SQL = ", ".join(LEAVES)
 BASE, EXHIBIT = "https://archive.test/data", "exhibit_102.xml"
@@ -172,13 +172,13 @@ def s08_export_with_missing_values(spark, sf):
 
 @check(
     monthly_sql(TYPE), RUN_RATE,
-    sql=f"""SELECT {TYPE}, 'Average Change in Outstanding Balance Amount (P12M): '
+    sql=f"""SELECT {TYPE}, 'Growth a month: '
             || regexp_replace(regexp_replace(format('{{:.2f}}', round(g * 100, 2) + 0.0), '0+$', ''), '\\.$', '') || '%' AS line FROM rates""",
 )
 def s09_report_line(spark, sf):
     rates = trailing_rates(balance_ratios(monthly(spark, sf, TYPE), [TYPE]), [TYPE])
     value = storage.plain_number(F.round(F.col("growth_rate") * 100, 2))
-    line = storage.report_line("Average Change in Outstanding Balance Amount (P12M): ", value, "%")
+    line = storage.report_line("Growth a month: ", value, "%")
     return rates.select(TYPE, line.alias("line"))
 
 
@@ -224,5 +224,50 @@ def r01_ingest_filings(spark, sf):
     loan_records.write_loan_records(landed, landing, partition_by=["accession_number"])
     snapshot_panel(ingest_filings(spark, index, landing, BASE, EXHIBIT), snapshot)
     return storage.read_snapshot(spark, snapshot).select(
-        LOAN, PERIOD, "zeroBalanceCode", "chargedoffPrincipalAmount", "vehicleModelName", "accession_number", "data_file_link"
+        LOAN, F.col(FILED_PERIOD).alias(PERIOD), "zeroBalanceCode", "chargedoffPrincipalAmount", "vehicleModelName",
+        "accession_number", "data_file_link",
+    )
+
+
+@check(
+    RAW,
+    f"""filed AS (SELECT *, strptime({P}, '%m-%d-%Y') AS day FROM raw_panel)""",
+    sql=f"""SELECT assetNumber, {P}, vehicleModelName, paymentToIncomePercentage AS riskNote,
+            obligorEmploymentVerificationCode AS code_1,
+            CASE WHEN zeroBalanceCode IS NOT NULL THEN obligorIncomeVerificationLevelCode END AS code_2,
+            '0000012345-' || strftime(day, '%y-%m%d') || '01' AS accession_number FROM filed""",
+)
+def r01_ingest_filings_with_further_leaves(spark, sf):
+    """Leaves outside the known ones, one of them repeated, and folders named without dashes."""
+    raw = raw_panel(spark, sf)
+    period = to_day(F.col(PERIOD))
+    blank, number = F.lit(None).cast("string"), filing_number(F.col("day"))
+    known = {"Form type": F.lit("ABS-EE"), "Accession number": number}
+    index, landing, snapshot = (new_path(spark, n) for n in ("index", "landing", "snapshot"))
+    days = raw.select(period.alias("day")).distinct()
+    days.select(*[known.get(c, blank).alias(c) for c in FILING_INDEX_COLUMNS]).write.option("header", True).csv(index)
+    once, twice = F.col("obligorEmploymentVerificationCode"), F.col("obligorIncomeVerificationLevelCode")
+    codes = F.when(F.col("zeroBalanceCode").isNull(), F.array(once)).otherwise(F.array(once, twice))
+    folder = F.replace(filing_number(period), F.lit("-"), F.lit(""))
+    landed = raw.select(
+        LOAN, PERIOD, "vehicleModelName", F.col("paymentToIncomePercentage").alias("riskNote"), codes.alias("code"),
+        folder.alias("accession_number"),
+    )
+    loan_records.write_loan_records(landed.hint("rebalance", F.col("accession_number")), landing, partition_by=["accession_number"])
+    snapshot_panel(ingest_filings(spark, index, landing, BASE, EXHIBIT), snapshot)
+    return storage.read_snapshot(spark, snapshot).select(
+        LOAN, F.col(FILED_PERIOD).alias(PERIOD), "vehicleModelName", "riskNote", "code_1", "code_2", "accession_number"
     )
+
+
+@check(
+    CLEAN,
+    sql=f"""SELECT CASE vehicleValueSourceCode WHEN '1' THEN 'Invoice Price' WHEN '2' THEN 'MSRP'
+            WHEN '3' THEN 'Kelley Blue Book' ELSE 'Other' END AS vehicleValueSourceCode, count(*) AS records,
+            format('{{:,}}', count(*)) AS records_text FROM typed WHERE {P} = DATE '2000-04-30' GROUP BY 1""",
+)
+def r15_records_by_value_source_of_snapshot(spark, sf):
+    """From the text snapshot; only the month's folder is read."""
+    path = new_path(spark, "snapshot")
+    snapshot_panel(raw_panel(spark, sf), path)
+    return value_source_records(typed_panel(storage.read_snapshot(spark, path)), "2000-04-30")

@@ -6,11 +6,7 @@ import math
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F, types as T
-
-
-# Enough for ten lags and for three beyond the weights of any model fitted here.
-LONGEST_LAG = 12
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 
 def residual_rows(fits: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -59,14 +55,34 @@ def ljung_box(acf: DataFrame, keys: Sequence[str], fitted: int | str = 0) -> Dat
     return tested.withColumn("p_value", chi_square_tail("q", "freedom"))
 
 
+def array_autocorrelation(fits: DataFrame, keys: Sequence[str], lags: Column) -> DataFrame:
+    """Autocorrelation of each ``residuals`` array at lags 1 to ``lags``, one row each, with its length ``n``.
+
+    Missing residuals are left out before.
+    """
+    kept = fits.withColumn("_r", F.filter("residuals", lambda r: r.isNotNull() & ~F.isnan(r))).withColumn("n", F.size("_r"))
+    add = lambda total, x: total + x
+    mean = F.aggregate("_r", F.lit(0.0), add) / F.col("n")
+    centred = kept.where("n > 0").withColumn("_mean", mean).withColumn("_e", F.transform("_r", lambda r: r - F.col("_mean")))
+    rows = centred.withColumn("lag", F.explode(F.when(lags >= 1, F.sequence(F.lit(1), lags))))
+    left = F.col("n") - F.col("lag")
+    pairs = F.zip_with(F.slice("_e", F.lit(1), F.greatest(left, F.lit(0))), F.slice("_e", F.col("lag") + 1, F.greatest(left, F.lit(0))), lambda a, b: a * b)
+    scale = F.aggregate(F.transform("_e", lambda e: e * e), F.lit(0.0), add)
+    return rows.select(*keys, "n", "lag", F.try_divide(F.aggregate(pairs, F.lit(0.0), add), scale).alias("acf"))
+
+
 def check_residuals(fits: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Ljung-Box test of fitted series.
 
     It covers ten lags or a fifth of the length, whichever is less, but always
-    enough to leave three degrees of freedom.
+    enough to leave three degrees of freedom. The lags follow from each fit; where the residuals are no
+    longer than these lags there is no test, and its columns are NULL.
     """
     names = [*keys, "parameters"]
-    acf = autocorrelation(residual_rows(fits, keys), names, LONGEST_LAG)
-    fifth = F.least(F.lit(10), F.bround(F.col("n") / 5, 0))
-    used = acf.where(F.col("lag") <= F.greatest(fifth, F.col("parameters") + 3))
-    return ljung_box(used, names, "parameters").drop("parameters")
+    n = F.size(F.filter("residuals", lambda r: r.isNotNull() & ~F.isnan(r)))
+    used = F.greatest(F.least(F.lit(10), F.bround(n / 5, 0)).cast("int"), F.col("parameters").cast("int") + 3)
+    short = fits.where(n <= used).select(*keys, F.lit(None).cast("double").alias("q"))
+    tested = ljung_box(array_autocorrelation(fits.where(n > used), names, used), names, "parameters").drop("parameters")
+    return tested.unionByName(
+        short.withColumns({"freedom": F.lit(None).cast("int"), "p_value": F.lit(None).cast("double")}), allowMissingColumns=True
+    )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -15,10 +15,15 @@ CHARGE_OFF = "chargedoffPrincipalAmount"
 BALANCE = "reportingPeriodActualEndBalanceAmount"
 
 
+def by_month(table: DataFrame, series: Sequence[str]) -> DataFrame:
+    """Charge-offs and balance per series and month, added up, so that a series has no more rows than the calendar has months."""
+    return table.groupBy(*series, PERIOD).agg(F.sum(CHARGE_OFF).alias(CHARGE_OFF), F.sum(BALANCE).alias(BALANCE))
+
+
 def balance_ratios(months: DataFrame, series: Sequence[str]) -> DataFrame:
     """Charge-offs as a share of the balance, and month-on-month balance growth."""
     before = previous(BALANCE, series, PERIOD)
-    return months.select(
+    return by_month(months, series).select(
         *series, PERIOD, CHARGE_OFF, BALANCE,
         ratio(F.col(CHARGE_OFF), F.col(BALANCE)).alias("charge_off_share"),
         (ratio(F.col(BALANCE), before) - 1).alias("balance_growth_mom"),
@@ -42,23 +47,24 @@ def trailing_rates(ratios: DataFrame, series: Sequence[str], months: int = 12, *
 
 
 def run_rate_forecast(
-    months: DataFrame, series: Sequence[str] = (), h: int = 17, trailing: int = 12
+    months: DataFrame, series: Sequence[str] = (), h: int = 17, trailing: int = 12, start: Callable[[str], Column] = next_month
 ) -> DataFrame:
     """Actual and forecast months in one table, with the cumulative charge-off.
 
-    Each series becomes one row holding its months, as many as the calendar has,
+    ``start`` gives the first forecast date from the last actual one: a month on, or days
+    with ``lambda last: F.date_add(last, 30)``. Rows of one series and month are added up. Each series becomes one row holding its months, as many as the calendar has,
     next to its rates; the forecast months are appended there. So the months are
     read once, and neither a join nor a union brings the two parts together.
     """
     ratios = balance_ratios(months, series).withColumn("Period", F.lit("Actual"))
     fields = [PERIOD, CHARGE_OFF, BALANCE, "charge_off_share", "balance_growth_mom", "Period"]
     rates = trailing_rates(ratios, series, trailing, F.collect_list(F.struct(*fields)).alias("_actual"))
-    start = next_month("last_period")
+    first = start("last_period")
 
     def ahead(step: Column) -> Column:
         balance = F.col("last_balance") * compounded(F.col("growth_rate"), step)
         missing = F.lit(None).cast("double")
-        values = (monthly_date(start, step - 1), balance * F.col("charge_off_rate"), balance, missing, missing, F.lit("Forecast"))
+        values = (monthly_date(first, step - 1), balance * F.col("charge_off_rate"), balance, missing, missing, F.lit("Forecast"))
         return F.struct(*[v.alias(f) for v, f in zip(values, fields)])
 
     both = F.concat("_actual", F.transform(F.sequence(F.lit(1), F.lit(h)), ahead))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import task_count
 
@@ -13,11 +13,35 @@ Z80 = 1.281552
 Z95 = 1.959964
 
 
+def with_every_month(df: DataFrame, series: Sequence[str], period: str, flows: Sequence[str] = (), levels: Sequence[str] = ()) -> DataFrame:
+    """Rows for the months a series lacks between its first and last one, dated at their ends.
+
+    A flow is 0 in such a month, a level (a running sum, say) the last one known, any other column
+    NULL. Rows of one series and month are added up, rows without a period are left out.
+    """
+    month = F.last_day(F.col(period))
+    known = df.where(F.col(period).isNotNull()).groupBy(*series, month.alias(period)).agg(*[F.sum(c).alias(c) for c in (*flows, *levels)])
+    span = known.groupBy(*series).agg(F.min(period).alias("_first"), F.max(period).alias("_last"))
+    starts = F.sequence(F.trunc("_first", "month"), F.trunc("_last", "month"), F.expr("INTERVAL 1 MONTH"))
+    months = span.select(*[F.col(c).alias(f"_{c}") for c in series], F.explode(starts).alias("_start"))
+    months = months.withColumn("_month", F.last_day("_start"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in series]
+    every = months.join(known, [*same, F.col(period) == F.col("_month")], "left")
+    so_far = Window.partitionBy(*[f"_{c}" for c in series]).orderBy("_month").rowsBetween(Window.unboundedPreceding, 0)
+    return every.select(
+        *[F.col(f"_{c}").alias(c) for c in series],
+        F.col("_month").alias(period),
+        *[F.when(F.col(period).isNull(), F.lit(0)).otherwise(F.col(c)).alias(c) for c in flows],
+        *[F.last(c, ignorenulls=True).over(so_far).alias(c) for c in levels],
+    )
+
+
 def as_arrays(df: DataFrame, series: Sequence[str], period: str, value: str) -> DataFrame:
     """One row per series: values ``y`` in period order and the last period.
 
     Values of one period are added up first, so an array never holds more
-    entries than the calendar has periods, whatever the table.
+    entries than the calendar has periods, whatever the table. Rows without a value or period are
+    left out; :func:`with_every_month` fills the months a series lacks.
     """
     ordered = F.array_sort(F.collect_list(F.struct(F.col(period).alias("t"), F.col("_y").alias("y"))))
     return (
@@ -30,13 +54,13 @@ def as_arrays(df: DataFrame, series: Sequence[str], period: str, value: str) ->
     )
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
+def spread(df: DataFrame, *keys: str, per_core: int = 2) -> DataFrame:
     """Share rows over all cores: fitting costs far more than moving the few bytes of a series.
 
-    Keyed by a hash of its own, or the planner takes the aggregate's exchange
+    The tasks follow the cores, whatever the shuffle setting. Keyed by a hash of its own, or the planner takes the aggregate's exchange
     for this one and sizes it by bytes.
     """
-    return df.repartition(task_count(df.sparkSession), F.xxhash64(*keys)) if keys else df
+    return df.repartition(task_count(df.sparkSession, per_core), F.xxhash64(*keys)) if keys else df
 
 
 def fitted_once(udf):

@@ -51,7 +51,7 @@ def thousands(c, digits: int = 0) -> Column:
 def significant(c, digits: int = 7) -> Column:
     """Number with thousands separators, rounded to significant digits, no trailing zeros."""
     c = F.col(c) if isinstance(c, str) else c
-    whole = F.when(F.abs(c) >= 1, F.floor(F.log10(F.abs(c))) + 1).otherwise(1)
+    whole = F.when(c != 0, F.floor(F.log10(F.abs(c))) + 1).otherwise(1)
     decimals = F.greatest(F.lit(0), F.lit(digits) - whole).cast("int")
     text = F.call_function("format_number", c, decimals)
     trimmed = F.regexp_replace(F.regexp_replace(text, "0+$", ""), r"\.$", "")

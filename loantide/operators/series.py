@@ -20,10 +20,11 @@ def prior_states(df: DataFrame, value: Column, name: str, key: str, period: str,
     Loan-months are aggregated before anything is ordered, so repeated rows
     collapse on the map side and a window partition is bounded by the calendar
     however often one key occurs. Where a loan-month repeats, the value holds
-    if it holds for any of its rows.
+    if it holds for any of its rows. Rows without a period keep their row, but are no
+    month's predecessor and have none.
     """
     states = df.groupBy(key, period).agg(F.max(value).alias("_state"), *aggregates)
-    newest_first = Window.partitionBy(key).orderBy(F.col(period).desc())
+    newest_first = Window.partitionBy(key, F.col(period).isNull()).orderBy(F.col(period).desc())
     return states.withColumn(name, F.lead("_state").over(newest_first)).drop("_state")
 
 

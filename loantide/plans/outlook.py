@@ -44,8 +44,19 @@ def model_comparison(months: DataFrame, series: Sequence[str], h: int = 17) -> D
     return backtest.accuracy(errors, [*series, "model"])
 
 
-def run_rate_lines(months: DataFrame, series: Sequence[str] = (), h: int = 17, trailing: int = 12) -> DataFrame:
-    """The run-rate forecast as report text: trailing rates and the cumulative value it ends with."""
+def run_rate_lines(
+    months: DataFrame,
+    series: Sequence[str] = (),
+    h: int = 17,
+    trailing: int = 12,
+    growth_text: str = "Balance growth, trailing mean: ",
+    share_text: str = "Charge-off share of balance, trailing mean: ",
+    total_text: str = "Charged off by ",
+) -> DataFrame:
+    """The run-rate forecast as report text: trailing rates and the cumulative value it ends with.
+
+    The last line reads ``total_text``, the end date and the value.
+    """
     forecast = run_rate_forecast(months, series, h, trailing)
     actual = F.col("Period") == "Actual"
     recent = recency([*series, "Period"], PERIOD) <= trailing
@@ -60,11 +71,11 @@ def run_rate_lines(months: DataFrame, series: Sequence[str] = (), h: int = 17, t
     def percent(c: str) -> Column:
         return plain_number(F.bround(F.col(c) * 100, 2))
 
-    end = F.concat(F.lit("Cumulative Value "), F.date_format("end", "MM/dd/yyyy"), F.lit(": $"), significant("total"))
+    end = F.concat(F.lit(total_text), F.date_format("end", "MM/dd/yyyy"), F.lit(": $"), significant("total"))
     return rates.select(
         *series,
-        report_line("Average Change in Outstanding Balance Amount (P12M): ", percent("growth"), "%").alias("growth_line"),
-        report_line("Charge-Offs as a % of Outstanding Balance Amount (P12M): ", percent("share"), "%").alias("share_line"),
+        report_line(growth_text, percent("growth"), "%").alias("growth_line"),
+        report_line(share_text, percent("share"), "%").alias("share_line"),
         end.alias("total_line"),
     )
 

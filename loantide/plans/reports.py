@@ -28,17 +28,35 @@ COMPONENTS = ("actualPrincipalCollectedAmount", "actualInterestCollectedAmount",
 
 
 def loan_summary(panel: DataFrame) -> DataFrame:
-    """One row per loan: latest borrower attributes, charge-off total, prepaid months, highest code."""
-    newest = {
-        "creditScore": "obligorCreditScore",
+    """One row per loan: latest borrower attributes, charge-off total, prepaid months, highest code.
+
+    The panel is first hashed by loan and text codes with numeric aggregates only, which needs no
+    sort; the few rows left per loan then meet. Rows of the latest month with the same codes are told apart by
+    score, then by payment share.
+    """
+    slot = lambda c, scale, most: F.coalesce(F.least(F.greatest(F.col(c) * scale, F.lit(0.0)), F.lit(most)), F.lit(-1.0))
+    # Whole days lead; score and share each keep to digits below, so they decide only within a day.
+    rank = (
+        F.coalesce(F.unix_date(PERIOD), F.lit(-40_000)) * F.lit(1e11)
+        + F.floor(slot("obligorCreditScore", 1.0, 9_000.0)) * F.lit(1e7)
+        + F.floor(slot("paymentToIncomePercentage", 1e4, 9e6))
+    )
+    codes = {
         "employmentVerification": "obligorEmploymentVerificationCode",
         "incomeVerification": "obligorIncomeVerificationLevelCode",
-        "paymentToIncome": "paymentToIncomePercentage",
     }
-    return panel.groupBy(LOAN).agg(
-        *latest(newest, PERIOD),
-        total("chargedoffPrincipalAmount").alias("totalChargeOffPrincipal"),
-        total(prepaid_flag()).alias("prepaid"),
+    parts = panel.groupBy(LOAN, "zeroBalanceCode", *codes.values()).agg(
+        F.max(PERIOD).alias("_period"),
+        F.max_by("obligorCreditScore", rank).alias("creditScore"),
+        F.max_by("paymentToIncomePercentage", rank).alias("paymentToIncome"),
+        F.sum("chargedoffPrincipalAmount").alias("_charged"),
+        F.sum(prepaid_flag()).alias("_prepaid"),
+    )
+    newest = {"creditScore": "creditScore", **codes, "paymentToIncome": "paymentToIncome"}
+    return parts.groupBy(LOAN).agg(
+        *latest(newest, "_period"),
+        total("_charged").alias("totalChargeOffPrincipal"),
+        total("_prepaid").alias("prepaid"),
         F.max("zeroBalanceCode").alias("zeroBalanceCode"),
     )
 
@@ -108,10 +126,21 @@ def status_composition(panel: DataFrame) -> DataFrame:
 
 
 def new_prepayments(panel: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Payoffs per period, without carrying the wide panel through a shuffle by loan."""
+    """Payoffs per period, without carrying the wide panel through a shuffle by loan.
+
+    Payoffs count for the groups of their own rows; whether the loan was active before is a
+    matter of the loan, so rows of one loan-month may belong to several groups.
+    """
     closed = F.count_if(F.col("zeroBalanceCode") == F.lit("1")).alias("closed")
-    carried = [F.max(c).alias(c) for c in by]
-    states = prior_states(panel, still_active(), "was_active", LOAN, PERIOD, closed, *carried)
+    if not by:
+        states = prior_states(panel, still_active(), "was_active", LOAN, PERIOD, closed)
+    else:
+        parts = panel.groupBy(LOAN, PERIOD, *by).agg(F.max(still_active()).alias("_active"), closed)
+        prior = prior_states(parts, F.col("_active"), "was_active", LOAN, PERIOD).select(
+            F.col(LOAN).alias("_loan"), F.col(PERIOD).alias("_month"), "was_active"
+        )
+        same = F.col(LOAN).eqNullSafe(F.col("_loan")) & F.col(PERIOD).eqNullSafe(F.col("_month"))
+        states = parts.join(prior, same, "left")
     return states.groupBy(PERIOD, *by).agg(
         total(F.when(F.col("was_active"), F.col("closed"))).alias("new_prepaid")
     )
@@ -159,7 +188,8 @@ def with_new_prepayments(panel: DataFrame, aggregates: Sequence[Column], by: Seq
         *[F.col(k).alias(f"_{k}") for k in keys], F.col("new_prepaid").alias("numberNewPrepaidLoans")
     )
     same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-    return base.join(payoffs, same).drop(*[f"_{k}" for k in keys])
+    met = base.join(payoffs, same, "left").drop(*[f"_{k}" for k in keys])
+    return met.withColumn("numberNewPrepaidLoans", F.coalesce("numberNewPrepaidLoans", F.lit(0)))
 
 
 def cumulative_measures(months: DataFrame, series: Sequence[str] = ()) -> DataFrame:
@@ -185,10 +215,10 @@ def balance_by_month(months: DataFrame) -> DataFrame:
     )
 
 
-def charge_off_to_date(raw: DataFrame, as_of: str) -> DataFrame:
-    """Charge-off total of the text panel as value and report line."""
+def charge_off_to_date(raw: DataFrame, text: str = "Charged off to date: $") -> DataFrame:
+    """Charge-off total of the text panel as value and report line beginning with ``text``."""
     value = raw.agg(total(to_number(F.col("chargedoffPrincipalAmount"))).alias("value"))
-    return value.withColumn("line", report_line(f"Cumulative Value as of {as_of}: $", significant("value")))
+    return value.withColumn("line", report_line(text, significant("value")))
 
 
 def value_source_records(panel: DataFrame, as_of=None) -> DataFrame:

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -36,32 +34,18 @@ def local_session(cores: int | str = "*", **conf) -> SparkSession:
     return builder.getOrCreate()
 
 
-@cache
-def _local_folder(application: str) -> str:
-    return tempfile.mkdtemp(prefix=f"loantide-{application}-")
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
-
-    A temporary folder stands in only for a local master, where driver and
-    executors are one process.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    """Folder every executor can reach, as named by ``spark.checkpoint.dir`` or set as the context's checkpoint folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    return _local_folder(spark.sparkContext.applicationId)
+    return folder.rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def task_count(spark: SparkSession) -> int:
-    """Partitions for CPU-bound work on few bytes, where sizing by bytes would give one."""
-    return max(
-        spark.sparkContext.defaultParallelism,
-        int(spark.conf.get("spark.sql.shuffle.partitions")),
-    )
+def task_count(spark: SparkSession, per_core: int = 2) -> int:
+    """Partitions for CPU-bound work on few bytes, where sizing by bytes would give one and the shuffle setting far too many."""
+    return per_core * spark.sparkContext.defaultParallelism

@@ -36,6 +36,11 @@ LAST_MONTH = "2025-09-30"
 GROWTH_LINE = "Average Change in Outstanding Balance Amount (P12M): -3.35%"
 SHARE_LINE = "Charge-Offs as a % of Outstanding Balance Amount (P12M): 1.74%"
 TOTAL_LINE = "Cumulative Value 09/30/2025: $216,709,056"
+LINE_TEXTS = {
+    "growth_text": "Average Change in Outstanding Balance Amount (P12M): ",
+    "share_text": "Charge-Offs as a % of Outstanding Balance Amount (P12M): ",
+    "total_text": "Cumulative Value ",
+}
 RATE_LINE = "Charge Offs - % of Total Outstanding Balance Amount (P12M): 1.74214695115508%"
 
 

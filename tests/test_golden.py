@@ -45,7 +45,7 @@ def test_rate_line(spark):
 
 
 def test_report_lines(spark):
-    row = outlook.run_rate_lines(golden.table(spark)).first()
+    row = outlook.run_rate_lines(golden.table(spark), **golden.LINE_TEXTS).first()
     assert row.growth_line == golden.GROWTH_LINE
     assert row.share_line == golden.SHARE_LINE
     assert row.total_line == golden.TOTAL_LINE

@@ -197,3 +197,56 @@ def test_local_regression_against_weighted_least_squares(spark):
 def test_values_of_one_period_are_added_up(spark):
     df = spark.createDataFrame([("a", 1, 2.0), ("a", 1, 3.0), ("a", 0, 1.0), ("a", 2, None)], "s string, t int, v double")
     assert as_arrays(df, ["s"], "t", "v").select(F.col("y")).first().y == [1.0, 5.0]
+
+
+def test_residual_test_takes_as_many_lags_as_weights_ask_for(spark):
+    rng = np.random.default_rng(1)
+    noise = [float(v) for v in rng.normal(size=120)]
+    fits = spark.createDataFrame([("a", 20, noise), ("b", 1, noise[:20]), ("c", 5, noise[:5])], "s string, parameters int, residuals array<double>")
+    got = {r.s: r for r in diagnostics.check_residuals(fits, ["s"]).collect()}
+
+    def expected(e, lags):
+        d = np.array(e) - np.mean(e)
+        r = [d[k:] @ d[:-k] / (d @ d) for k in range(1, lags + 1)]
+        return len(e) * (len(e) + 2) * sum(x * x / (len(e) - k) for k, x in enumerate(r, 1))
+
+    assert got["a"].freedom == 3 and got["a"].q == pytest.approx(expected(noise, 23)) and got["a"].p_value > 1e-4
+    assert got["b"].freedom == 3 and got["b"].q == pytest.approx(expected(noise[:20], 4))
+    assert (got["c"].q, got["c"].freedom, got["c"].p_value) == (None, None, None)
+
+
+def test_months_a_series_lacks_are_filled(spark):
+    import datetime as dt
+
+    from loantide.forecast.series import with_every_month
+
+    rows = [("a", 1, 1.0, 10.0), ("a", 2, 2.0, 30.0), ("a", 2, 3.0, 0.0), ("a", 6, 4.0, 70.0), ("b", 3, None, 1.0), (None, 3, 1.0, 1.0)]
+    df = spark.createDataFrame([(s, dt.date(2024, m, 15), f, v) for s, m, f, v in rows], "s string, p date, f double, v double")
+    got = sorted(map(tuple, with_every_month(df, ["s"], "p", ["f"], ["v"]).collect()), key=str)
+    ends = {1: dt.date(2024, 1, 31), 2: dt.date(2024, 2, 29), 3: dt.date(2024, 3, 31), 4: dt.date(2024, 4, 30), 5: dt.date(2024, 5, 31), 6: dt.date(2024, 6, 30)}
+    want = [("a", ends[1], 1.0, 10.0), ("a", ends[2], 5.0, 30.0), *[("a", ends[m], 0.0, 30.0) for m in (3, 4, 5)], ("a", ends[6], 4.0, 70.0)]
+    assert got == sorted([*want, ("b", ends[3], None, 1.0), (None, ends[3], 1.0, 1.0)], key=str)
+
+
+def test_run_rate_adds_up_rows_of_one_month(spark):
+    import datetime as dt
+
+    from loantide.forecast import run_rate
+
+    days = [dt.date(2024, m, 28) for m in range(1, 13)]
+    once = spark.createDataFrame([(d, 10.0 + i, 1000.0 - 10 * i) for i, d in enumerate(days)], f"{run_rate.PERIOD} date, {run_rate.CHARGE_OFF} double, {run_rate.BALANCE} double")
+    often = spark.createDataFrame([(d, (10.0 + i) / 4, (1000.0 - 10 * i) / 4) for i, d in enumerate(days) for _ in range(4)], once.schema)
+    order = lambda df: [tuple(r) for r in df.orderBy(run_rate.PERIOD).collect()]
+    assert order(run_rate.run_rate_forecast(often, h=5)) == order(run_rate.run_rate_forecast(once, h=5))
+    later = run_rate.run_rate_forecast(once, h=2, start=lambda last: F.date_add(last, 30))
+    assert [r[0] for r in order(later)][-2:] == [dt.date(2025, 1, 27), dt.date(2025, 2, 27)]
+
+
+def test_tasks_follow_the_cores(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2000")
+    try:
+        fits = arima.select_arima(arrays(spark, a=[1, 2, 4, 3, 6]), ["s"], 1)
+        assert fits.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

@@ -188,3 +188,55 @@ def test_number_texts(spark):
 def test_paste_writes_missing_as_text(spark):
     df = spark.createDataFrame([("a", None)], "x string, y string")
     assert df.select(parsing.paste("x", "y", sep=" ").alias("v")).first().v == "a NA"
+
+
+def test_undated_rows_are_no_predecessors(spark):
+    df = loan(spark, ("a", 1, "1", 5.0)).unionByName(
+        spark.createDataFrame([("a", None, None, 9.0)], PANEL)
+    )
+    flagged = {r.reportingPeriodEndingDate: r.prepaidFlagFirst for r in panel.with_prepayment_flags(df).collect()}
+    assert flagged == {dt.date(2024, 1, 28): None, None: None}
+
+
+def test_groups_of_one_loan_month_are_kept_apart(spark):
+    """A repeated loan-month whose rows differ in brand, NULL among them."""
+    rows = [("a", 1, None, 5.0, "x", 1.0), ("a", 2, "1", 4.0, "x", 2.0), ("a", 2, "1", 4.0, None, 4.0), ("a", 2, None, 4.0, "y", 8.0), ("b", 2, None, 4.0, None, 16.0)]
+    schema = PANEL + ", vehicleManufacturerName string, chargedoffPrincipalAmount double"
+    df = spark.createDataFrame([(a, dt.date(2024, m, 28), *rest) for a, m, *rest in rows], schema)
+    got = {
+        (r.reportingPeriodEndingDate.month, r.vehicleManufacturerName): (r.chargedoffPrincipalAmount, r.numberNewPrepaidLoans)
+        for r in reports.monthly_measures(df, ["vehicleManufacturerName"]).collect()
+    }
+    assert got == {(1, "x"): (1.0, 0), (2, "x"): (2.0, 1), (2, None): (20.0, 1), (2, "y"): (8.0, 0)}
+    table = reports.monthly_table(df, ["vehicleManufacturerName"])
+    assert table.count() == 4 and table.agg(F.sum("chargedoffPrincipalAmount_sum")).first()[0] == 31.0
+
+
+@pytest.mark.parametrize(
+    "value, digits, text",
+    [
+        (0.0123456789, 7, "0.01234568"), (0.00174214695115508, 15, "0.00174214695115508"), (0.1, 7, "0.1"), (0.012, 7, "0.012"),
+        (1.23456e-6, 4, "0.000001235"), (-0.00123, 2, "-0.0012"), (0.0, 7, "0"), (1234567.8, 7, "1,234,568"), (9.99999999e-4, 3, "0.001"),
+    ],
+)
+def test_significant_digits_below_one(spark, value, digits, text):
+    assert values(of(spark, [value], "double").select(labels.significant("x", digits).alias("v"))) == [text]
+
+
+def test_loan_summary_of_repeated_months(spark):
+    """The latest month decides; among its rows score and share do; a loan without dates keeps a row."""
+    schema = PANEL + ", obligorCreditScore double, obligorEmploymentVerificationCode string, obligorIncomeVerificationLevelCode string, paymentToIncomePercentage double, chargedoffPrincipalAmount double"  # noqa: E501
+    day = lambda m: m and dt.date(2024, m, 28)
+    rows = [
+        ("a", day(1), "4", 9.0, 850.0, "3", "2", 0.9, 1.0), ("a", day(2), None, 9.0, 700.0, "3", "2", 0.1, None),
+        ("a", day(2), None, 9.0, 710.0, "3", "2", 0.2, 2.0), ("a", day(2), None, 9.0, 710.0, "3", "2", 0.3, 2.0),
+        ("b", day(1), "1", 9.0, 600.0, "1", "1", 0.1, 1.0), ("b", day(2), "1", 9.0, None, None, None, None, 1.0),
+        ("c", None, None, 9.0, 500.0, "2", None, 0.5, None),
+    ]
+    frame = spark.createDataFrame(rows, schema)
+    got = {r.assetNumber: tuple(r)[1:] for r in reports.loan_summary(frame).collect()}
+    assert got["a"] == (710.0, "3", "2", 0.3, 5.0, 0, "4")
+    assert got["b"] == (None, None, None, None, 2.0, 2, "1") and got["c"] == (500.0, "2", None, 0.5, 0.0, 0, None)
+    plan = reports.loan_summary(frame)._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("partial_max_by") - 400 :]
+    assert "HashAggregate" in below and "SortAggregate(key=[assetNumber" not in below.split("partial_max_by")[1]

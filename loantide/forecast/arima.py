@@ -34,6 +34,11 @@ def kpss(x: np.ndarray) -> float:
 
 
 def differences_needed(y: np.ndarray, at_most: int = 2) -> int:
+    """Differences until the KPSS test accepts a level.
+
+    The statistic says nothing about four values or fewer, so a series is not differenced once it is that short;
+    a constant one never is.
+    """
     d = 0
     while d < at_most and len(y) > 4 and np.ptp(y) > 0 and kpss(y) > KPSS_LEVEL_5:
         y, d = np.diff(y), d + 1
@@ -41,140 +46,197 @@ def differences_needed(y: np.ndarray, at_most: int = 2) -> int:
 
 
 def _lagged(x: np.ndarray, k: int) -> np.ndarray:
-    out = np.zeros(len(x))
+    """Rows of ``x`` (steps x series) moved on by k steps."""
+    out = np.zeros_like(x)
     out[k:] = x[: max(0, len(x) - k)]
     return out
 
 
-def _inverse(ma: list[float], n: int) -> np.ndarray | None:
-    """First n weights of one over the moving-average polynomial, None for none."""
-    if not ma:
-        return None
-    weights = [0.0] * len(ma) + [1.0]
-    for _ in range(n - 1):
-        weights.append(-sum(m * w for m, w in zip(ma, reversed(weights))))
-    return np.array(weights[len(ma) : len(ma) + n])
+def _filter(x: np.ndarray, ma: np.ndarray) -> np.ndarray:
+    """``x`` (steps x series x any) over the moving-average polynomials ``ma`` (series x q), step by step for all series."""
+    if not ma.shape[1]:
+        return x
+    out, weights = x.copy(), ma.reshape(ma.shape[:1] + (1,) * (x.ndim - 2) + ma.shape[1:])
+    for t in range(1, len(x)):
+        for j in range(1, min(t, ma.shape[1]) + 1):
+            out[t] -= weights[..., j - 1] * out[t - j]
+    return out
+
 
+def _errors(past: np.ndarray, ar: np.ndarray, ma: np.ndarray) -> np.ndarray:
+    """One-step errors (steps x series); ``past`` (lags x steps x series) holds the series and its lags."""
+    return _filter(past[0] - np.einsum("its,si->ts", past[1:], ar), ma)
 
-def _filter(x: np.ndarray, inverse: np.ndarray | None) -> np.ndarray:
-    return x if inverse is None else np.convolve(inverse, x)[: len(x)]
 
+def _inside(weights: np.ndarray) -> np.ndarray:
+    """Which rows 1 - w1 z - w2 z^2 ... keep their roots outside the unit circle.
 
-def _errors(past: list[np.ndarray], ar: np.ndarray, inverse: np.ndarray | None) -> np.ndarray:
-    """One-step errors; ``past`` holds the series and its lags."""
-    direct = past[0].copy()
-    for weight, lagged in zip(ar, past[1:]):
-        direct -= weight * lagged
-    return _filter(direct, inverse)
+    Steps the order down; every partial weight met on the way must be below one.
+    """
+    weights, inside = weights.copy(), np.ones(len(weights), bool)
+    while weights.shape[1]:
+        last, weights = weights[:, -1:], weights[:, :-1]
+        inside &= np.abs(last[:, 0]) < 0.99
+        safe = np.where(np.abs(last) < 0.99, last, 0.0)
+        weights = (weights + safe * weights[:, ::-1]) / (1.0 - safe * safe)
+    return inside
 
 
-def _inside(weights: list[float]) -> bool:
-    """Whether 1 - w1 z - w2 z^2 ... keeps its roots outside the unit circle.
+def fit_arma_batch(x: np.ndarray, p: int, q: int, steps: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights and errors of centred series (steps x series), by Gauss-Newton with halved steps for all of them at once.
 
-    Steps the order down; every partial weight met on the way must be below one.
+    Shorter series stand at the end of their column with zeros before, which is what values before a start count as.
     """
-    weights = list(weights)
-    while weights:
-        last = weights.pop()
-        if abs(last) >= 0.99:
-            return False
-        weights = [(w + last * v) / (1.0 - last * last) for w, v in zip(weights, reversed(weights))]
-    return True
-
-
-def fit_arma(x: np.ndarray, p: int, q: int, steps: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Weights and errors of a centred series, by Gauss-Newton with halved steps."""
-    n, params = len(x), np.zeros(p + q)
-    past = [_lagged(x, i) for i in range(p + 1)]
-    inverse = _inverse([0.0] * q, n)
-    errors = _errors(past, params[:p], inverse)
-    before = errors @ errors
-    for _ in range(steps if p + q else 0):
-        slopes = [_filter(lagged, inverse) for lagged in past[1:]]
-        slopes += [_filter(_lagged(errors, j), inverse) for j in range(1, q + 1)]
-        design = np.array(slopes)
-        gram = design @ design.T
-        gram[np.diag_indices(p + q)] *= 1 + 1e-10
-        try:
-            move = np.linalg.solve(gram, design @ errors)
-        except np.linalg.LinAlgError:
-            break
-        last = before
-        for halving in range(12):
-            trial = params + move / 2**halving
-            if _inside(trial[:p].tolist()) and _inside((-trial[p:]).tolist()):
-                tried = _inverse(trial[p:].tolist(), n)
-                after = _errors(past, trial[:p], tried)
-                if after @ after < before:
-                    params, errors, inverse, before = trial, after, tried, after @ after
-                    break
-        if last - before <= 1e-9 * last:
+    series = x.shape[1]
+    params = np.zeros((series, p + q))
+    past = np.stack([_lagged(x, i) for i in range(p + 1)])
+    errors = past[0].copy()
+    before = np.einsum("ts,ts->s", errors, errors)
+    active = np.flatnonzero(before > 0) if p + q else np.zeros(0, int)
+    for _ in range(steps):
+        if not len(active):
             break
-    return params[:p], params[p:], errors
-
-
-def _project(y: np.ndarray, d: int, centre: float, ar, ma, errors, h: int) -> tuple[np.ndarray, np.ndarray]:
-    """Mean path and cumulated squared error weights for h steps."""
-    x = list(np.diff(y, d) - centre)
-    e = list(errors)
-    for _ in range(h):
-        seen = sum(a * x[-i] for i, a in enumerate(ar, 1) if i <= len(x))
-        shocks = sum(b * e[-j] for j, b in enumerate(ma, 1) if j <= len(e))
-        x.append(seen + shocks)
-        e.append(0.0)
-    path = np.array(x[len(x) - h :]) + centre
-    for level in range(d - 1, -1, -1):
-        path = np.diff(y, level)[-1] + np.cumsum(path)
-    poly = np.concatenate([[1.0], -np.asarray(ar)])
-    for _ in range(d):
-        poly = np.convolve(poly, [1.0, -1.0])
-    weights = np.zeros(h)
+        now, own, known = errors[:, active], params[active], past[:, :, active]
+        slopes = [known[i] for i in range(1, p + 1)] + [_lagged(now, j) for j in range(1, q + 1)]
+        design = _filter(np.stack(slopes, axis=2), own[:, p:])
+        gram = np.einsum("tsi,tsj->sij", design, design)
+        edge = np.arange(p + q)
+        diagonal = gram[:, edge, edge]
+        gram[:, edge, edge] = np.where(diagonal > 0, diagonal * (1 + 1e-10), 1.0) + 1e-12 * diagonal.max(axis=1, keepdims=True)
+        move = np.linalg.solve(gram, np.einsum("tsi,ts->si", design, now)[..., None])[..., 0]
+        last, open_ = before[active], np.arange(len(active))
+        for halving in range(8):
+            trial = own[open_] + move[open_] / 2**halving
+            fine = _inside(trial[:, :p]) & _inside(-trial[:, p:]) & np.isfinite(trial).all(axis=1)
+            tried = open_[fine]
+            after = _errors(known[:, :, tried], trial[fine][:, :p], trial[fine][:, p:])
+            squares = np.einsum("ts,ts->s", after, after)
+            better = squares < before[active[tried]]
+            done = active[tried[better]]
+            params[done], errors[:, done], before[done] = trial[fine][better], after[:, better], squares[better]
+            open_ = np.setdiff1d(open_, tried[better])
+            if not len(open_):
+                break
+        active = active[last - before[active] > 1e-8 * last]
+    return params[:, :p], params[:, p:], errors
+
+
+def fit_arma(x: np.ndarray, p: int, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for one series."""
+    ar, ma, errors = fit_arma_batch(np.asarray(x, float)[:, None], p, q)
+    return ar[0], ma[0], errors[:, 0]
+
+
+def _project(ends: np.ndarray, d: np.ndarray, centre: np.ndarray, ar: np.ndarray, ma: np.ndarray, x: np.ndarray, errors: np.ndarray, h: int):
+    """Mean paths and cumulated squared error weights (series x h); ``ends`` holds the last value after 0, 1 and 2 differences."""
+    rows, p, q = len(d), ar.shape[1], ma.shape[1]
+    x = np.concatenate([np.zeros((p, rows)), x, np.zeros((h, rows))])
+    e = np.concatenate([np.zeros((q, rows)), errors, np.zeros((h, rows))])
+    for t in range(len(x) - h, len(x)):
+        x[t] = sum((ar[:, i - 1] * x[t - i] for i in range(1, p + 1)), np.zeros(rows))
+        s = len(e) - len(x) + t
+        x[t] += sum((ma[:, j - 1] * e[s - j] for j in range(1, q + 1)), np.zeros(rows))
+    path = x[len(x) - h :].T + centre[:, None]
+    poly = np.concatenate([np.ones((rows, 1)), -ar, np.zeros((rows, 2))], axis=1)
+    for level in (1, 0):
+        needed = (d > level)[:, None]
+        path = np.where(needed, ends[:, level, None] + np.cumsum(path, axis=1), path)
+        poly = np.where(needed, poly - np.concatenate([np.zeros((rows, 1)), poly[:, :-1]], axis=1), poly)
+    weights = np.zeros((rows, h))
     for k in range(h):
-        own = 1.0 if k == 0 else (ma[k - 1] if k <= len(ma) else 0.0)
-        weights[k] = own - sum(poly[i] * weights[k - i] for i in range(1, min(k, len(poly) - 1) + 1))
-    return path, np.cumsum(weights**2)
-
-
-def fit_arima(y: np.ndarray, h: int, max_p: int = 2, max_q: int = 2) -> dict:
-    """Best model of one series and its h-step forecast; a very short series is a random walk."""
-    d = differences_needed(y)
-    w = np.diff(y, d)
-    n, best = len(w), None
-    for constant in (True, False) if d < 2 else (False,):
-        centre = w.mean() if constant else 0.0
+        own = np.ones(rows) if k == 0 else (ma[:, k - 1] if k <= q else np.zeros(rows))
+        back = range(1, min(k, poly.shape[1] - 1) + 1)
+        weights[:, k] = own - sum((poly[:, i] * weights[:, k - i] for i in back), np.zeros(rows))
+    return path, np.cumsum(weights**2, axis=1)
+
+
+def fit_block(values: list[np.ndarray], h: int, max_p: int = 5, max_q: int = 5, max_order: int = 5) -> pd.DataFrame:
+    """Best models of many series and their h-step forecasts.
+
+    Orders are those up to ``max_p`` and ``max_q`` with p + q up to ``max_order``; a constant is tried below two
+    differences. An order needs more than max(3, parameters + 2) differenced values; a series too short for any is a
+    random walk, a single value repeats itself.
+    """
+    rows = len(values)
+    d = np.array([differences_needed(y) for y in values])
+    parts = [np.diff(y, k) for y, k in zip(values, d)]
+    n = np.array([len(w) for w in parts])
+    longest = int(n.max())
+    held = np.zeros((longest, rows))
+    for i, w in enumerate(parts):
+        held[longest - len(w) :, i] = w
+    live = np.arange(longest)[:, None] >= longest - n
+    mean = held.sum(axis=0) / n
+    power = np.einsum("ts,ts->s", held, held)
+    best = {
+        "aicc": np.full(rows, np.inf), "p": np.zeros(rows, int), "q": np.zeros(rows, int), "constant": np.zeros(rows, bool),
+        "ar": np.zeros((rows, max_p)), "ma": np.zeros((rows, max_q)), "errors": np.zeros((longest, rows)),
+    }
+    for constant in (True, False):
+        x = np.where(live, held - mean, 0.0) if constant else held
         for p in range(max_p + 1):
-            for q in range(max_q + 1):
+            for q in range(min(max_q, max_order - p) + 1):
                 k = p + q + constant + 1
-                if n <= max(3, k + 1):
+                able = np.flatnonzero((n > max(3, k + 1)) & ((d < 2) | (not constant)))
+                if not len(able):
                     continue
-                ar, ma, errors = fit_arma(w - centre, p, q)
-                sse = max(errors @ errors, 1e-20 * (1.0 + w @ w))
-                aicc = n * np.log(sse / n) + 2 * k + 2 * k * (k + 1) / (n - k - 1)
-                if best is None or aicc < best[0] - 1e-9:
-                    best = aicc, p, q, constant, centre, ar, ma, errors
-    if best is None:
-        d = min(1, len(y) - 1)
-        errors = np.diff(y, d)
-        best = np.inf, 0, 0, False, 0.0, np.zeros(0), np.zeros(0), errors
-        if d == 0:
-            best = (*best[:4], y[0], *best[5:7], np.zeros(1))
-    aicc, p, q, constant, centre, ar, ma, errors = best
-    path, growth = _project(y, d, centre, ar, ma, errors, h)
-    sigma2 = errors @ errors / max(1, len(errors) - p - q - constant)
-    return {
-        "p": p, "d": d, "q": q, "constant": centre, "ar": ar, "ma": ma, "parameters": p + q + int(constant),
-        "sigma2": sigma2, "aicc": aicc, "residuals": errors, "mean": path, "variance": sigma2 * growth,
-    }
-
-
-def select_arima(df: DataFrame, keys: list[str], h: int, max_p: int = 2, max_q: int = 2) -> DataFrame:
-    """Fit the array column ``y`` of every series, with forecast arrays ``mean`` and ``variance``."""
+                ar, ma, errors = fit_arma_batch(x[:, able], p, q)
+                m = n[able]
+                sse = np.maximum(np.einsum("ts,ts->s", errors, errors), 1e-20 * (1.0 + power[able]))
+                aicc = m * np.log(sse / m) + 2 * k + 2 * k * (k + 1) / (m - k - 1)
+                won = aicc < np.where(np.isinf(best["aicc"][able]), np.inf, best["aicc"][able] - 1e-9)
+                to = able[won]
+                best["aicc"][to], best["p"][to], best["q"][to], best["constant"][to] = aicc[won], p, q, constant
+                best["ar"][to], best["ma"][to] = 0.0, 0.0
+                best["ar"][to, :p], best["ma"][to, :q], best["errors"][:, to] = ar[won], ma[won], errors[:, won]
+    # Too short for any order: one difference, or none of a single value.
+    for i in np.flatnonzero(np.isinf(best["aicc"])):
+        d[i] = min(1, len(values[i]) - 1)
+        w = np.diff(values[i], d[i])
+        n[i] = len(w)
+        best["errors"][:, i] = 0.0
+        if d[i]:
+            grown = max(longest, len(w))
+            if grown > longest:
+                pad = ((grown - longest, 0), (0, 0))
+                held, best["errors"], longest = np.pad(held, pad), np.pad(best["errors"], pad), grown
+            held[:, i] = 0.0
+            held[longest - len(w) :, i] = best["errors"][longest - len(w) :, i] = w
+    single = np.array([len(y) == 1 for y in values])
+    centre = np.where(single, [y[0] for y in values], np.where(best["constant"], mean, 0.0))
+    ends = np.array([[np.diff(y, k)[-1] if len(y) > k else 0.0 for k in (0, 1)] for y in values])
+    live = np.arange(longest)[:, None] >= longest - n
+    path, growth = _project(ends, d, centre, best["ar"], best["ma"], np.where(live, held - centre, 0.0), best["errors"], h)
+    parameters = best["p"] + best["q"] + best["constant"]
+    sigma2 = np.einsum("ts,ts->s", best["errors"], best["errors"]) / np.maximum(1, n - parameters)
+    return pd.DataFrame(
+        {
+            "p": best["p"], "d": d, "q": best["q"], "constant": centre,
+            "ar": [a[:k] for a, k in zip(best["ar"], best["p"])], "ma": [m[:k] for m, k in zip(best["ma"], best["q"])],
+            "parameters": parameters, "sigma2": sigma2, "aicc": best["aicc"],
+            "residuals": [best["errors"][longest - k :, i] for i, k in enumerate(n)],
+            "mean": list(path), "variance": list(sigma2[:, None] * growth),
+        }
+    )
+
+
+def fit_all(values: pd.Series, h: int, max_p: int = 5, max_q: int = 5, max_order: int = 5, block: int = 500) -> pd.DataFrame:
+    """Fits of a batch of arrays, some hundred series at a time."""
+    parts = [
+        fit_block([np.asarray(v, dtype=float) for v in values.iloc[at : at + block]], h, max_p, max_q, max_order)
+        for at in range(0, len(values), block)
+    ]
+    return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=[f.split()[0] for f in FIT_SCHEMA.split(", ")])
+
+
+def select_arima(df: DataFrame, keys: list[str], h: int, max_p: int = 5, max_q: int = 5, max_order: int = 5) -> DataFrame:
+    """Fit the array column ``y`` of every series, with forecast arrays ``mean`` and ``variance``; see :func:`fit_block`."""
 
     @F.pandas_udf(FIT_SCHEMA)
     def fit(y: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([fit_arima(np.asarray(v, dtype=float), h, max_p, max_q) for v in y])
+        return fit_all(y, h, max_p, max_q, max_order)
 
-    return spread(df, *keys).withColumn("_fit", fitted_once(fit)("y")).select(*df.columns, "_fit.*")
+    return spread(df, *keys, per_core=1).withColumn("_fit", fitted_once(fit)("y")).select(*df.columns, "_fit.*")
 
 
 def arima_forecast(fits: DataFrame, keys: list[str]) -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .arima import fit_arima
+from .arima import fit_all
 from .series import fitted_once, spread
 from .smoothing import Smoothing, _fit_all, default_grid
 
@@ -54,13 +54,13 @@ def smoothing(grid: Iterable[Smoothing] | None = None, name: str = "ets") -> For
     return Forecaster(name, forecast, costly=True)
 
 
-def arima(max_p: int = 2, max_q: int = 2) -> Forecaster:
+def arima(max_p: int = 5, max_q: int = 5, max_order: int = 5) -> Forecaster:
     """ARIMA, chosen anew at each origin."""
 
     def forecast(y: Column, h: int) -> Column:
         @F.pandas_udf("array<double>")
         def run(values: pd.Series) -> pd.Series:
-            return pd.Series([fit_arima(np.asarray(v, dtype=float), h, max_p, max_q)["mean"] for v in values])
+            return pd.Series(list(fit_all(values, h, max_p, max_q, max_order)["mean"]))
 
         return fitted_once(run)(y)
 

@@ -10,6 +10,13 @@ def next_month(c) -> Column:
     return F.add_months(c, 1)
 
 
+def months_after(c, months) -> Column:
+    """Date some months on; the end of a month goes to the end of a month, other days are clamped."""
+    c = F.col(c) if isinstance(c, str) else c
+    later = F.add_months(c, months)
+    return F.when(c == F.last_day(c), F.last_day(later)).otherwise(later)
+
+
 def monthly_date(start, step) -> Column:
     """``start`` moved on by whole months; a day the month lacks runs over into the next.
 

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..forecast import arima, backtest, smoothing
 from ..forecast.local_regression import smooth
 from ..forecast.run_rate import run_rate_forecast
-from ..forecast.series import as_arrays
+from ..forecast.series import as_arrays, with_every_month
+from ..functions.dates import months_after
 from ..functions.labels import money_label, significant
 from ..operators.columns import stack_by_name
 from ..operators.series import recency, running_total
@@ -21,19 +22,30 @@ CHARGE_OFF = "chargedoffPrincipalAmount"
 
 
 def cumulative_charge_off(months: DataFrame, series: Sequence[str]) -> DataFrame:
-    """Cumulative charge-offs as one array per series."""
-    running = months.select(*series, PERIOD, running_total(CHARGE_OFF, series, PERIOD).alias("cumulative"))
+    """Cumulative charge-offs as one array per series, with the months a series lacks between its first and last."""
+    every = with_every_month(months, series, PERIOD, flows=[CHARGE_OFF])
+    running = every.select(*series, PERIOD, running_total(CHARGE_OFF, series, PERIOD).alias("cumulative"))
     return as_arrays(running, series, PERIOD, "cumulative")
 
 
 def model_forecasts(months: DataFrame, series: Sequence[str], h: int = 17) -> DataFrame:
-    """Forecasts of cumulative charge-offs by both selected models, with intervals."""
-    arrays, keys = cumulative_charge_off(months, series), list(series)
-    by_ets = smoothing.smoothing_forecast(smoothing.select_smoothing(arrays, keys), keys, h)
-    by_arima = arima.arima_forecast(arima.select_arima(arrays, keys, h), keys)
-    return stack_by_name(
-        by_ets.withColumn("method", F.lit("ETS")), by_arima.withColumn("method", F.lit("ARIMA"))
-    )
+    """Forecasts of cumulative charge-offs by both selected models, with intervals and dates."""
+    return stack_by_name(smoothing_forecasts(months, series, h), arima_forecasts(months, series, h))
+
+
+def smoothing_forecasts(months: DataFrame, series: Sequence[str], h: int = 17) -> DataFrame:
+    fits = smoothing.select_smoothing(cumulative_charge_off(months, series), list(series))
+    return dated(smoothing.smoothing_forecast(fits, list(series), h)).withColumn("method", F.lit("ETS"))
+
+
+def arima_forecasts(months: DataFrame, series: Sequence[str], h: int = 17, **orders: int) -> DataFrame:
+    fits = arima.select_arima(cumulative_charge_off(months, series), list(series), h, **orders)
+    return dated(arima.arima_forecast(fits, list(series))).withColumn("method", F.lit("ARIMA"))
+
+
+def dated(forecast: DataFrame) -> DataFrame:
+    """The month of each step, counted from the last one of its series."""
+    return forecast.withColumn(PERIOD, months_after("last_period", F.col("h")))
 
 
 def model_comparison(months: DataFrame, series: Sequence[str], h: int = 17) -> DataFrame:

@@ -250,3 +250,30 @@ def test_tasks_follow_the_cores(spark):
         assert fits.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_batched_fits_equal_single_ones():
+    """Series of different lengths share a batch without touching each other."""
+    rng = np.random.default_rng(12)
+    values = [50 + rng.normal(0, 1, n).cumsum() for n in (1, 2, 3, 5, 9, 17, 40, 83)] + [np.full(9, 2.0), np.arange(12.0) ** 2]
+    whole = arima.fit_block(values, 4, 2, 2)
+    for i, y in enumerate(values):
+        one = arima.fit_block([y], 4, 2, 2).iloc[0]
+        assert (one.p, one.d, one.q) == (whole.p[i], whole.d[i], whole.q[i])
+        assert one["mean"] == pytest.approx(whole["mean"][i]) and one.variance == pytest.approx(whole.variance[i])
+        assert one.residuals == pytest.approx(whole.residuals[i])
+
+
+def test_orders_go_up_to_the_bound():
+    rng, e = np.random.default_rng(5), np.random.default_rng(6).normal(size=600)
+    y = np.zeros(600)
+    for t in range(4, 600):
+        y[t] = 0.8 * y[t - 4] + e[t]
+    fit = arima.fit_block([y, rng.normal(size=600)], 1).iloc[0]
+    assert fit.p == 4 and fit.ar[3] == pytest.approx(0.8, abs=0.08)
+    assert (arima.fit_block([y], 1, max_order=2).iloc[0][["p", "q"]].sum()) <= 2
+
+
+def test_short_series_are_not_differenced():
+    assert arima.differences_needed(np.array([1.0, 2, 4, 8])) == 0
+    assert arima.differences_needed(np.array([1.0, 2, 4, 8, 16, 32, 64, 128, 256])) > 0

@@ -288,14 +288,22 @@ weighted AS (
   SELECT *, dx / CAST(band AS DOUBLE) AS u, pow(1 - pow(abs(dx / CAST(band AS DOUBLE)), 3), 3) AS w FROM banded WHERE abs(dx) < band
 ),
 moments AS (
-  SELECT {", ".join(keys)}, x, y, sum(w) AS s0, sum(w * u) AS s1, sum(w * u * u) AS s2, sum(w * u * u * u) AS s3,
-         sum(w * u * u * u * u) AS s4, sum(w * near_y) AS t0, sum(w * u * near_y) AS t1, sum(w * u * u * near_y) AS t2
-  FROM weighted GROUP BY {", ".join(keys)}, x, y
+  SELECT {", ".join(keys)}, x, y, n, sum(w) AS s0, sum(w * u) AS s1, sum(w * u * u) AS s2, sum(w * u * u * u) AS s3,
+         sum(w * u * u * u * u) AS s4, sum(w * near_y) AS t0, sum(w * u * near_y) AS t1, sum(w * u * u * near_y) AS t2,
+         sum(w * w) AS q0, sum(w * w * u) AS q1, sum(w * w * u * u) AS q2, sum(w * w * u * u * u) AS q3, sum(w * w * u * u * u * u) AS q4
+  FROM weighted GROUP BY {", ".join(keys)}, x, y, n
+),
+inverted AS (
+  SELECT *, (s2 * s4 - s3 * s3) / whole AS a, (s2 * s3 - s1 * s4) / whole AS b, (s1 * s3 - s2 * s2) / whole AS c
+  FROM (SELECT *, nullif(s0 * (s2 * s4 - s3 * s3) + s1 * (s2 * s3 - s1 * s4) + s2 * (s1 * s3 - s2 * s2), 0) AS whole FROM moments)
+),
+fits AS (
+  SELECT *, a * t0 + b * t1 + c * t2 AS fitted,
+         a * a * q0 + 2 * a * b * q1 + (2 * a * c + b * b) * q2 + 2 * b * c * q3 + c * c * q4 AS squares FROM inverted
 ),
 smoothed AS (
-  SELECT *, (t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - s3 * t2) + s2 * (t1 * s3 - s2 * t2))
-          / nullif(s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s3 * s2) + s2 * (s1 * s3 - s2 * s2), 0) AS fitted
-  FROM moments
+  SELECT *, sqrt(sum(pow(y - fitted, 2)) OVER s / (n - 2 * sum(a) OVER s + sum(squares) OVER s) * squares) AS se
+  FROM fits WINDOW s AS (PARTITION BY {", ".join(keys)})
 )"""
 
 
@@ -304,11 +312,38 @@ DAYS = f"CAST(date_diff('day', DATE '1970-01-01', {P}) AS INTEGER)"
 
 @check(
     monthly_sql(B), f"placed_source AS (SELECT {B}, {DAYS} AS x, {CHARGED} AS y FROM monthly)", loess_sql("placed_source", B),
-    sql=f"SELECT {B}, x, y, round(fitted, 4) + 0.0 AS fitted FROM smoothed",
+    sql=f"""SELECT {B}, x, y, CAST(1 AS BIGINT) AS n, round(fitted, 3) + 0.0 AS fitted, round(se, 3) + 0.0 AS se,
+            round(fitted - 1.959964 * se, 3) + 0.0 AS lo, round(fitted + 1.959964 * se, 3) + 0.0 AS hi FROM smoothed""",
 )
 def f08_local_regression(spark, sf):
     months = monthly(spark, sf, BRAND).select(BRAND, F.unix_date(PERIOD).alias("x"), F.col(CHARGED).alias("y"))
-    return rounded(local_regression.smooth(months, [BRAND], "x", "y"), 4, "fitted")
+    return rounded(local_regression.smooth(months, [BRAND], "x", "y"), 3, "fitted", "se", "lo", "hi")
+
+
+GRID = 40
+
+
+@check(
+    monthly_sql(B),
+    f"""points AS (
+  SELECT {B}, {DAYS} AS x, {CHARGED} AS y, min({DAYS}) OVER (PARTITION BY {B}) AS low, max({DAYS}) OVER (PARTITION BY {B}) AS high FROM monthly
+),
+near AS (
+  SELECT {B}, low, (high - low) / CAST({GRID - 1} AS DOUBLE) AS step, g, y,
+         ((x - low) / ((high - low) / CAST({GRID - 1} AS DOUBLE)) - g) / {0.25 * (GRID - 1)} AS u
+  FROM points CROSS JOIN (SELECT unnest(range(0, {GRID})) AS g)
+),
+sums AS (
+  SELECT {B}, low, step, g, sum(w) AS s0, sum(w * u) AS s1, sum(w * u * u) AS s2, sum(w * u * u * u) AS s3, sum(w * u * u * u * u) AS s4,
+         sum(w * y) AS t0, sum(w * u * y) AS t1, sum(w * u * u * y) AS t2
+  FROM (SELECT *, pow(1 - pow(abs(u), 3), 3) AS w FROM near WHERE abs(u) < 1) GROUP BY ALL
+)""",
+    sql=f"""SELECT {B}, round(low + g * step, 4) + 0.0 AS x, round((t0 * (s2 * s4 - s3 * s3) + t1 * (s2 * s3 - s1 * s4) + t2 * (s1 * s3 - s2 * s2))
+            / (s0 * (s2 * s4 - s3 * s3) + s1 * (s2 * s3 - s1 * s4) + s2 * (s1 * s3 - s2 * s2)), 2) + 0.0 AS fitted FROM sums""",
+)
+def f08_local_regression_on_a_grid(spark, sf):
+    months = monthly(spark, sf, BRAND).select(BRAND, F.unix_date(PERIOD).alias("x"), F.col(CHARGED).alias("y"))
+    return rounded(rounded(local_regression.smooth_on_grid(months, [BRAND], "x", "y", GRID), 4, "x"), 2, "fitted")
 
 
 COMPONENTS = ", ".join(f"'{c}'" for c in reports.COMPONENTS)
@@ -318,11 +353,12 @@ COMPONENTS = ", ".join(f"'{c}'" for c in reports.COMPONENTS)
     monthly_sql(B),
     f"""long AS (SELECT {B}, {DAYS} AS x, unnest([{COMPONENTS}]) AS name, unnest([{", ".join(reports.COMPONENTS)}]) AS y FROM monthly)""",
     loess_sql("long", B, "name"),
-    sql=f"""SELECT {B}, name, CAST(DATE '1970-01-01' + x AS VARCHAR) AS {P}, y AS value, round(fitted, 4) + 0.0 AS fitted,
+    sql=f"""SELECT {B}, name, CAST(DATE '1970-01-01' + x AS VARCHAR) AS {P}, y AS value, round(fitted, 3) + 0.0 AS fitted,
+            round(fitted - 1.959964 * se, 3) + 0.0 AS lo, round(fitted + 1.959964 * se, 3) + 0.0 AS hi,
             '$' || format('{{:,}}', CAST(round_even(y * 0.001, 0) AS BIGINT)) AS label FROM smoothed""",
 )
 def r10_principal_interest_charge_off(spark, sf):
-    return rounded(outlook.smoothed_components(monthly(spark, sf, BRAND), [BRAND]), 4, "fitted")
+    return rounded(outlook.smoothed_components(monthly(spark, sf, BRAND), [BRAND]), 3, "fitted", "lo", "hi")
 
 
 def filled_sql(kept: str = "true") -> tuple[str, str]:

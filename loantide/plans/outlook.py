@@ -97,6 +97,6 @@ def smoothed_components(months: DataFrame, series: Sequence[str] = (), span: flo
     long = principal_interest_charge_off(months, series).withColumn("_day", F.unix_date(PERIOD))
     fits = smooth(long, [*series, "name"], "_day", "value", span)
     return fits.select(
-        *series, "name", F.date_from_unix_date("_day").alias(PERIOD), "value", "fitted",
+        *series, "name", F.date_from_unix_date("_day").alias(PERIOD), "value", "fitted", "lo", "hi",
         money_label("value").alias("label"),
     )

@@ -277,3 +277,36 @@ def test_orders_go_up_to_the_bound():
 def test_short_series_are_not_differenced():
     assert arima.differences_needed(np.array([1.0, 2, 4, 8])) == 0
     assert arima.differences_needed(np.array([1.0, 2, 4, 8, 16, 32, 64, 128, 256])) > 0
+
+
+def loess(x, y, x0, span=0.75):
+    """Weights of the values in the fit at x0, by weighted least squares over all of them."""
+    d = np.abs(x - x0)
+    h = np.sort(d)[max(1, int(len(x) * span + 1e-5)) - 1]
+    w = np.where(d < h, (1 - (d / h) ** 3) ** 3, 0)
+    design = np.vander((x - x0) / h, 3, increasing=True)
+    return np.linalg.solve(design.T @ (w[:, None] * design), design.T * w)[0]
+
+
+def test_repeated_x_keep_their_weight_and_the_band_its_width(spark):
+    rng = np.random.default_rng(15)
+    x = np.array([0.0, 1, 2, 3, 4, *[5.0] * 7, 6, 7, 8, 9, 10, 11])
+    y = rng.normal(size=len(x))
+    df = spark.createDataFrame([("a", int(a), float(b)) for a, b in zip(x, y)] + [("a", None, 1.0), ("a", 3, None)], "s string, x int, y double")
+    rows = {r.x: r for r in local_regression.smooth(df, ["s"], "x", "y").collect()}
+    smoother = np.array([loess(x, y, a) for a in x])
+    residuals = y - smoother @ y
+    variance = residuals @ residuals / (len(x) - 2 * np.trace(smoother) + (smoother**2).sum())
+    for a, weights in zip(x, smoother):
+        row, se = rows[int(a)], np.sqrt(variance * weights @ weights)
+        assert row.fitted == pytest.approx(weights @ y) and row.se == pytest.approx(se) and row.n == (7 if a == 5 else 1)
+        assert (row.lo, row.hi) == pytest.approx((weights @ y - 1.959964 * se, weights @ y + 1.959964 * se))
+
+
+def test_grid_of_a_quadratic(spark):
+    """Any number of values at any x; the moments meet after partial aggregation."""
+    df = spark.range(5000).select(F.lit("a").alias("s"), (F.sqrt("id") * 3).alias("x")).withColumn("y", 1 + 2 * F.col("x") - 0.1 * F.col("x") ** 2)
+    grid = local_regression.smooth_on_grid(df, ["s"], "x", "y", 30)
+    rows = grid.collect()
+    assert len(rows) == 30 and all(r.fitted == pytest.approx(1 + 2 * r.x - 0.1 * r.x**2, abs=1e-5) for r in rows)
+    assert "partial_sum" in grid._jdf.queryExecution().executedPlan().toString()

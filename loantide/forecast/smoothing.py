@@ -171,12 +171,14 @@ def _choose(y: np.ndarray, sizes: np.ndarray, first: np.ndarray, grid: list[Smoo
     )
 
 
-def _residuals(y: np.ndarray, fit) -> np.ndarray:
-    level, slope, out = fit.start_level, fit.start_trend, np.empty(len(y))
-    for t, value in enumerate(y):
-        expected = level + fit.phi * slope
-        out[t] = value - expected
-        level, slope = expected + fit.alpha * out[t], fit.phi * slope + fit.beta * out[t]
+def _residuals(y: np.ndarray, fits: pd.DataFrame) -> np.ndarray:
+    """One-step errors of every series (rows of ``y``, padded) under its own model."""
+    alpha, beta, phi, level, slope = (fits[c].to_numpy() for c in ("alpha", "beta", "phi", "start_level", "start_trend"))
+    out = np.empty_like(y)
+    for t in range(y.shape[1]):
+        expected = level + phi * slope
+        out[:, t] = y[:, t] - expected
+        level, slope = expected + alpha * out[:, t], phi * slope + beta * out[:, t]
     return out
 
 
@@ -190,7 +192,7 @@ def _fit_all(values: pd.Series, grid: list[Smoothing], block: int = 500) -> pd.D
         for row, v in zip(padded, part):
             row[: len(v)] = v - v[0]
         fit = _choose(padded, sizes, np.array([v[0] for v in part]), grid)
-        fit["residuals"] = [_residuals(r[:n], f) for r, n, f in zip(padded, sizes, fit.itertuples())]
+        fit["residuals"] = [r[:n] for r, n in zip(_residuals(padded, fit), sizes)]
         fits.append(fit.drop(columns=["start_level", "start_trend"]))
     return pd.concat(fits, ignore_index=True)
 

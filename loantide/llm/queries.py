@@ -117,23 +117,136 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-@query()
+@query(
+    sql=r"""
+WITH RECURSIVE usable AS (
+    SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+    WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.9
+), reached AS (
+    SELECT vec_id AS a, vec_id AS b FROM embeddings
+    UNION
+    SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b
+), groups AS (
+    SELECT a, min(b) AS component_id FROM reached GROUP BY a
+)
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN groups ON a = vec_id
+"""
+)
 def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
-@query()
+@query(
+    sql=r"""
+WITH docs AS (
+    SELECT doc_id, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents
+), windows AS (
+    SELECT doc_id, p, array_to_string(ws[p + 1:p + 50], ' ') AS k
+    FROM (SELECT doc_id, ws, unnest(range(0, len(ws) - 49)) AS p FROM docs)
+), places AS (
+    SELECT doc_id, p, row_number() OVER o AS nth, first_value(doc_id) OVER o AS other
+    FROM windows WINDOW o AS (PARTITION BY k ORDER BY doc_id NULLS LAST, p)
+), stretches AS (
+    SELECT *, sum(CASE WHEN p > before + 50 OR before IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS stretch
+    FROM (SELECT *, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM places WHERE nth > 1)
+)
+SELECT doc_id, min(p)::INTEGER AS start_word, (max(p) + 50)::INTEGER AS end_word, arg_min(other, p) AS other_id
+FROM stretches GROUP BY doc_id, stretch
+"""
+)
 def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeated_passages(table(spark, sf_dir, "documents"))
 
 
-@query()
+@query(
+    sql=r"""
+WITH docs AS (
+    SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS ws FROM documents
+), items AS (
+    SELECT item_id, list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS ws FROM benchmark
+), grams AS (
+    SELECT doc_id, len(ws) AS length, p, array_to_string(ws[p + 1:p + 5], ' ') AS h
+    FROM (SELECT doc_id, ws, unnest(range(0, len(ws) - 4)) AS p FROM docs)
+), item_grams AS (
+    SELECT item_id, len(ws) AS n, q, array_to_string(ws[q + 1:q + 5], ' ') AS h
+    FROM (SELECT item_id, ws, unnest(range(0, len(ws) - 4)) AS q FROM items)
+), spots AS (
+    SELECT DISTINCT doc_id, length, n, greatest(0, least(p - q, length - n)) AS start FROM grams JOIN item_grams USING (h)
+), held AS (
+    SELECT s.doc_id, s.n, s.start, least(s.n, s.length) - 4 AS total, g.h, count(*) AS c
+    FROM spots s JOIN grams g ON g.doc_id = s.doc_id AND g.p BETWEEN s.start AND s.start + s.n - 5 GROUP BY ALL
+), item_counts AS (
+    SELECT item_id, n, h, count(*) AS c FROM item_grams GROUP BY ALL
+), compared AS (
+    SELECT doc_id, item_id, start, sum(least(held.c, item_counts.c)) AS common, total + n - 4 AS sizes
+    FROM held JOIN item_counts USING (n, h) GROUP BY doc_id, item_id, start, total, n
+)
+SELECT doc_id, item_id, start::INTEGER AS start, common / (sizes - common) AS similarity
+FROM compared WHERE common / (sizes - common) >= 0.8
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY common / (sizes - common) DESC, start) = 1
+"""
+)
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twin compares the windows directly; fingerprints have no SQL form."""
     leaks = decontaminate.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return leaks.select("doc_id", "item_id", "start", "similarity", "distance")
+    return leaks.select("doc_id", "item_id", "start", "similarity")
 
 
-@query()
+_TEMPLATE_ROWS = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(licenses.TEMPLATES))
+_WORDS = r"list_filter(string_split_regex(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
+
+
+@query(
+    sql=rf"""
+WITH templates(template, license, text) AS (VALUES {_TEMPLATE_ROWS}
+), template_terms AS (
+    SELECT template, license, term, count(*) AS n FROM (SELECT template, license, unnest({_WORDS.format("text")}) AS term FROM templates) GROUP BY ALL
+), docs AS (
+    SELECT doc_id, text, coalesce(source, '_') || '/' || coalesce(lang, '_') || '/' || coalesce(CAST(doc_id AS VARCHAR), '_') AS path,
+           coalesce(source, '_') || '/' || coalesce(lang, '_') AS directory
+    FROM documents
+), held AS (
+    SELECT term, count(*) AS n FROM (SELECT unnest(list_distinct({_WORDS.format("text")})) AS term FROM docs) GROUP BY term
+), idf AS (
+    SELECT term, ln(((SELECT count(text) FROM docs) + 1) / (coalesce(held.n, 0) + 1)) + 1 AS idf
+    FROM (SELECT DISTINCT term FROM template_terms) LEFT JOIN held USING (term)
+), units AS (
+    SELECT doc_id, 0 AS kind, 0 AS line, text FROM docs
+    UNION ALL
+    SELECT doc_id, 1, unnest(range(0, len(ls))), unnest(ls) FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM docs)
+    UNION ALL
+    SELECT * FROM (SELECT doc_id, 2, unnest(range(0, len(ls))), unnest(ls) AS text
+                   FROM (SELECT doc_id, string_split_regex(text, '\n\s*\n') AS ls FROM docs)) WHERE contains(trim(text), chr(10))
+), terms AS (
+    SELECT doc_id, kind, line, term, count(*) * coalesce(any_value(idf), ln((SELECT count(text) FROM docs) + 1) + 1) AS v
+    FROM (SELECT doc_id, kind, line, unnest({_WORDS.format("text")}) AS term FROM units) LEFT JOIN idf USING (term) GROUP BY doc_id, kind, line, term
+), template_weights AS (
+    SELECT template, license, term, n * idf / sqrt(sum(pow(n * idf, 2)) OVER (PARTITION BY template)) AS w FROM template_terms JOIN idf USING (term)
+), scored AS (
+    SELECT doc_id, kind, line, license, sum(v * w) / any_value(norm) AS similarity
+    FROM (SELECT *, sqrt(sum(v * v) OVER (PARTITION BY doc_id, kind, line)) AS norm FROM terms) JOIN template_weights USING (term)
+    GROUP BY doc_id, kind, line, template, license HAVING sum(v * w) / any_value(norm) >= 0.8
+), own AS (
+    SELECT *, bool_or(kind = 0) OVER (PARTITION BY doc_id) AS whole FROM scored
+    QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY -round(similarity, 9), license, kind, line) = 1
+), files AS (
+    SELECT directory, license, similarity FROM docs JOIN own USING (doc_id) WHERE whole
+    QUALIFY row_number() OVER (PARTITION BY directory ORDER BY similarity DESC, license) = 1
+), above AS (
+    SELECT d.directory, f.directory AS above, f.license, f.similarity
+    FROM (SELECT directory, unnest([array_to_string(string_split(directory, '/')[1:k], '/') FOR k IN range(0, len(string_split(directory, '/')) + 1)]) AS a
+          FROM (SELECT DISTINCT directory FROM docs)) d JOIN files f ON f.directory = d.a
+    QUALIFY row_number() OVER (PARTITION BY d.directory ORDER BY length(f.directory) DESC) = 1
+)
+SELECT docs.doc_id, path, coalesce(own.license, above.license) AS license, round(coalesce(own.similarity, above.similarity), 6) AS similarity,
+       CASE WHEN own.license IS NOT NULL THEN 'own' WHEN above.license IS NOT NULL THEN 'inherited' END AS origin,
+       CASE WHEN own.license IS NOT NULL THEN docs.directory ELSE above.above END AS from_directory
+FROM docs LEFT JOIN own USING (doc_id) LEFT JOIN above ON above.directory = docs.directory
+"""
+)
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents stand as files under source/lang."""
     part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("_"))

@@ -261,9 +261,3 @@ def test_registered():
     numbers = [int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")]
     assert sorted(numbers) == list(range(1, 11)) and set(SQL) <= set(QUERIES)
 
-
-@pytest.mark.parametrize("name", sorted(SQL))
-def test_sql_twins(spark, sf_dir, name):
-    from compare import connect, difference
-
-    assert difference(QUERIES[name](spark, sf_dir), connect(sf_dir), SQL[name]) is None

@@ -91,23 +91,72 @@ def f01_smoothing_with_fixed_weights(spark, sf):
 
 
 SELECTED = f"""
-selected AS (
+selected0 AS (
   SELECT * FROM (SELECT *, n * ln(sse) + 2 * (parameters + 1) + CAST(2 * (parameters + 1) * (parameters + 2) AS DOUBLE)
                         / (n - (parameters + 1) - 1) AS aicc
                  FROM solved JOIN lengths ON skey = {B} AND n = t)
   QUALIFY row_number() OVER (PARTITION BY {B} ORDER BY aicc, id) = 1
 )"""
+REFINED = 3
+
+
+def _clamped(value: str, move: str, step: float, bounds: tuple[float, float], halving: int) -> str:
+    return f"least(greatest({value} + {move} / CAST({2**halving} AS DOUBLE) * CAST({step!r} AS DOUBLE), CAST({bounds[0]!r} AS DOUBLE)), CAST({bounds[1]!r} AS DOUBLE))"
+
+
+def refined_sql(halving: int) -> str:
+    """CTE ``selected<halving>``: the best of the candidates a step around each of the choices before."""
+    r, before = halving, halving - 1
+    names = ("alpha", "beta / alpha", "phi")
+    moved = [_clamped(n, m, s, b, r) for n, m, s, b in zip(names, ("i", "j", "k"), smoothing.STEPS, smoothing.BOUNDS)]
+    zero, one = "CAST(0 AS DOUBLE)", "CAST(1 AS DOUBLE)"
+    return f"""
+near{r} AS (
+  SELECT {B}, row_number() OVER (PARTITION BY {B} ORDER BY i, j, k) AS id, model, a AS alpha, CASE model WHEN 'simple' THEN 0 ELSE a * share END AS beta,
+         f AS phi, parameters
+  FROM (SELECT {B}, model, parameters, i, j, k, {moved[0]} AS a, {moved[1]} AS share, CASE model WHEN 'damped' THEN {moved[2]} ELSE phi END AS f
+        FROM selected{before} CROSS JOIN (SELECT unnest([-1, 0, 1]) AS i) CROSS JOIN (SELECT unnest([-1, 0, 1]) AS j) CROSS JOIN (SELECT unnest([-1, 0, 1]) AS k))
+),
+refold{r} AS (
+  SELECT g.{B}, id, model, alpha, beta, phi, parameters, f.y1, 0 AS t, {zero} AS l_y, {zero} AS b_y, {one} AS l_l, {zero} AS b_l, {zero} AS l_b, {one} AS b_b,
+         {zero} AS s_yy, {zero} AS s_yl, {zero} AS s_yb, {zero} AS s_ll, {zero} AS s_lb, {zero} AS s_bb
+  FROM near{r} g JOIN first_value f ON f.{B} = g.{B}
+  UNION ALL
+  SELECT {B}, id, model, alpha, beta, phi, parameters, y1, t + 1,
+         x_y + alpha * e_y, phi * b_y + beta * e_y, x_l + alpha * e_l, phi * b_l + beta * e_l, x_b + alpha * e_b, phi * b_b + beta * e_b,
+         s_yy + e_y * e_y, s_yl + e_y * e_l, s_yb + e_y * e_b, s_ll + e_l * e_l, s_lb + e_l * e_b, s_bb + e_b * e_b
+  FROM (SELECT *, (y - y1) - x_y AS e_y, 0 - x_l AS e_l, 0 - x_b AS e_b
+        FROM (SELECT f.*, s.y, f.l_y + f.phi * f.b_y AS x_y, f.l_l + f.phi * f.b_l AS x_l, f.l_b + f.phi * f.b_b AS x_b
+              FROM refold{r} f JOIN series s ON s.{B} = f.{B} AND s.t = f.t + 1))
+),
+selected{r} AS (
+  SELECT * FROM (
+    SELECT *, n * ln(sse) + 2 * (parameters + 1) + CAST(2 * (parameters + 1) * (parameters + 2) AS DOUBLE) / (n - (parameters + 1) - 1) AS aicc
+    FROM (SELECT *, y1 + l_y + l0 * l_l + b0 * l_b AS level, b_y + l0 * b_l + b0 * b_b AS trend, greatest(0, s_yy + l0 * s_yl + b0 * s_yb) AS sse
+          FROM (SELECT *, CASE WHEN model = 'simple' THEN -s_yl / s_ll
+                               ELSE (s_yb * s_lb - s_yl * s_bb) / nullif(s_ll * s_bb - s_lb * s_lb, 0) END AS l0,
+                       CASE WHEN model = 'simple' THEN 0 ELSE (s_yl * s_lb - s_yb * s_ll) / nullif(s_ll * s_bb - s_lb * s_lb, 0) END AS b0
+                FROM refold{r} JOIN lengths ON skey = {B} AND n = t)))
+  QUALIFY row_number() OVER (PARTITION BY {B} ORDER BY aicc, id) = 1
+)"""
+
+
+CHOSEN = (
+    SELECTED,
+    *[refined_sql(r) for r in range(1, REFINED + 1)],
+    f"selected AS (SELECT * FROM selected{REFINED})",
+)
 
 
 @check(
-    series_sql(), fold_sql(smoothing.default_grid()), SELECTED,
-    sql=f"""SELECT {B}, model, alpha, beta, phi, round(level, 4) + 0.0 AS level, round(trend, 4) + 0.0 AS trend,
+    series_sql(), fold_sql(smoothing.default_grid()), *CHOSEN,
+    sql=f"""SELECT {B}, model, round(alpha, 6) AS alpha, round(beta, 6) AS beta, round(phi, 6) AS phi, round(level, 4) + 0.0 AS level, round(trend, 4) + 0.0 AS trend,
             round(aicc, 4) + 0.0 AS aicc FROM selected""",
 )
 def f01_smoothing_with_selection(spark, sf):
     fits = smoothing.select_smoothing(arrays(spark, sf), [BRAND])
     chosen = fits.select(BRAND, "model", "alpha", "beta", "phi", "level", "trend", "aicc")
-    return rounded(chosen, 4, "level", "trend", "aicc")
+    return rounded(rounded(chosen, 4, "level", "trend", "aicc"), 6, "alpha", "beta", "phi")
 
 
 @check()
@@ -390,7 +439,7 @@ BANDS = ", ".join(
 
 
 @check(
-    *filled_sql(), fold_sql(smoothing.default_grid()), SELECTED, STEPS,
+    *filled_sql(), fold_sql(smoothing.default_grid()), *CHOSEN, STEPS,
     sql=f"""SELECT {B}, CAST(last_period AS VARCHAR) AS last_period, model, h, round(mean, 2) + 0.0 AS mean, {BANDS},
             CAST(last_day(CAST(last_period + to_months(h) AS DATE)) AS VARCHAR) AS {P}, 'ETS' AS method FROM steps""",
 )

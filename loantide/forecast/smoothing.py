@@ -113,20 +113,25 @@ FIT_SCHEMA = (
 )
 
 
+# Halves of these steps, and halves again, refine alpha, the share beta / alpha, and phi.
+STEPS = (0.05, 0.1, 0.03)
+BOUNDS = ((0.01, 0.99), (0.01, 0.99), (0.8, 0.98))
+
+
 def _run(y: np.ndarray, sizes: np.ndarray, grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """States and error products of every series under every candidate, step by step.
 
-    ``y`` is series x steps, padded; a series past its end keeps its state.
-    Returns states [2, 3, series, candidates] and products [6, series, candidates].
+    ``y`` is series x steps, padded; a series past its end keeps its state. ``grid`` holds alpha, beta and phi, as
+    (1 or series) x candidates x 3. Returns states [2, 3, series, candidates] and products [6, series, candidates].
     """
-    alpha, beta, phi = grid.T
-    rows, candidates = len(y), len(grid)
+    rows, candidates = len(y), grid.shape[1]
     level = np.zeros((3, rows, candidates))
     slope = np.zeros((3, rows, candidates))
     level[1], slope[2] = 1.0, 1.0
     products = np.zeros((6, rows, candidates))
     for t in range(y.shape[1]):
         live = t < sizes
+        alpha, beta, phi = np.moveaxis(grid if len(grid) == 1 else grid[live], 2, 0)
         expected = level[:, live] + phi * slope[:, live]
         errors = -expected
         errors[0] += y[live, t, None]
@@ -137,38 +142,57 @@ def _run(y: np.ndarray, sizes: np.ndarray, grid: np.ndarray) -> tuple[np.ndarray
     return np.stack([level, slope]), products
 
 
-def _choose(y: np.ndarray, sizes: np.ndarray, first: np.ndarray, grid: list[Smoothing]) -> pd.DataFrame:
+def _choose(y: np.ndarray, sizes: np.ndarray, first: np.ndarray, grid: np.ndarray, models: np.ndarray) -> pd.DataFrame:
     """Best candidate per series by AICc, earliest first among equals; ``y`` is relative to ``first``.
 
-    A series too short for any candidate gets the quickest simple one, which
-    nearly repeats its last value.
+    ``grid`` and ``models`` have a row per series, or one for all. A series too short for any candidate gets the quickest
+    simple one, which nearly repeats its last value.
     """
-    weights = np.array([g[1:] for g in grid])
-    states, (yy, yl, yb, ll, lb, bb) = _run(y, sizes, weights)
-    flat = np.array([g.model == "simple" for g in grid])
+    states, (yy, yl, yb, ll, lb, bb) = _run(y, sizes, grid)
+    flat = models == "simple"
+    size = np.select([flat, models == "trend"], [2, 4], 5)
     with np.errstate(divide="ignore", invalid="ignore"):
         det = ll * bb - lb * lb
         level0 = np.where(flat, -yl / ll, (yb * lb - yl * bb) / det)
         trend0 = np.where(flat, 0.0, (yl * lb - yb * ll) / det)
         sse = np.maximum(0.0, yy + level0 * yl + trend0 * yb)
-        k = np.array([g.parameters + 1 for g in grid])
+        k = size + 1
         n = sizes[:, None]
         usable = (n - k - 1 > 0) & np.isfinite(sse)
         sse = np.where(sse <= 1e-12 * np.maximum(yy, 1e-300), 0.0, sse)
         aicc = n * np.log(sse) + 2 * k + 2 * k * (k + 1) / (n - k - 1)
     aicc = np.where(usable, aicc, np.inf)
-    quickest = int(np.argmax(np.where(flat, weights[:, 0], -1.0)))
+    quickest = np.where(flat, grid[..., 0], -1.0).argmax(axis=1)
     best = np.where(usable.any(axis=1), aicc.argmin(axis=1), quickest)
     pick = np.arange(len(y)), best
     l0, b0 = np.nan_to_num(level0[pick]), np.nan_to_num(trend0[pick])
     level, slope = (
         base + s[0][pick] + l0 * s[1][pick] + b0 * s[2][pick] for base, s in zip((first, 0.0), states)
     )
-    chosen = pd.DataFrame([grid[b] for b in best], columns=Smoothing._fields)
-    return chosen.assign(
-        parameters=[grid[b].parameters for b in best], n=sizes, level=level, trend=slope,
-        sse=sse[pick], aicc=aicc[pick], start_level=l0, start_trend=b0,
-    )
+    row = np.arange(len(y)) % len(grid) if len(grid) > 1 else np.zeros(len(y), int)
+    alpha, beta, phi = grid[row, best].T
+    return pd.DataFrame(
+        {
+            "model": models[row, best], "alpha": alpha, "beta": beta, "phi": phi,
+            "parameters": np.broadcast_to(size, grid.shape[:2])[row, best], "n": sizes, "level": level, "trend": slope,
+            "sse": sse[pick], "aicc": aicc[pick], "start_level": l0, "start_trend": b0,
+        }
+    )
+
+
+def _around(fits: pd.DataFrame, halving: int) -> tuple[np.ndarray, np.ndarray]:
+    """Candidates around each series' own: one step of alpha, share and phi either way, where the model has them."""
+    alpha, beta, phi = (fits[c].to_numpy()[:, None] for c in ("alpha", "beta", "phi"))
+    model = fits["model"].to_numpy()[:, None]
+    moves = np.array(np.meshgrid([-1, 0, 1], [-1, 0, 1], [-1, 0, 1], indexing="ij")).reshape(3, -1) / 2**halving
+    near = [
+        np.clip(value + move * step, *bounds)
+        for value, move, step, bounds in zip((alpha, beta / alpha, phi), moves, STEPS, BOUNDS)
+    ]
+    a = near[0]
+    b = np.where(model == "simple", 0.0, a * near[1])
+    f = np.where(model == "damped", near[2], phi)
+    return np.stack([a, b, f], axis=2), np.broadcast_to(model, a.shape)
 
 
 def _residuals(y: np.ndarray, fits: pd.DataFrame) -> np.ndarray:
@@ -182,8 +206,9 @@ def _residuals(y: np.ndarray, fits: pd.DataFrame) -> np.ndarray:
     return out
 
 
-def _fit_all(values: pd.Series, grid: list[Smoothing], block: int = 500) -> pd.DataFrame:
+def _fit_all(values: pd.Series, grid: list[Smoothing], refine: int = 0, block: int = 500) -> pd.DataFrame:
     """Fits of a batch of arrays, some hundred series at a time."""
+    weights, models = np.array([[g[1:] for g in grid]]), np.array([[g.model for g in grid]], dtype=object)
     fits = []
     for begin in range(0, len(values), block):
         part = [np.asarray(v, dtype=float) for v in values.iloc[begin : begin + block]]
@@ -191,23 +216,33 @@ def _fit_all(values: pd.Series, grid: list[Smoothing], block: int = 500) -> pd.D
         padded = np.zeros((len(part), sizes.max(initial=1)))
         for row, v in zip(padded, part):
             row[: len(v)] = v - v[0]
-        fit = _choose(padded, sizes, np.array([v[0] for v in part]), grid)
+        first = np.array([v[0] for v in part])
+        fit = _choose(padded, sizes, first, weights, models)
+        for halving in range(1, refine + 1):
+            near = _choose(padded, sizes, first, *_around(fit, halving))
+            # A series too short for any candidate keeps its first choice.
+            fit = near.where(np.isfinite(fit["aicc"]) & (near["aicc"] <= fit["aicc"]), fit)
         fit["residuals"] = [r[:n] for r, n in zip(_residuals(padded, fit), sizes)]
         fits.append(fit.drop(columns=["start_level", "start_trend"]))
     return pd.concat(fits, ignore_index=True)
 
 
-def select_smoothing(df: DataFrame, keys: list[str], grid: Iterable[Smoothing] | None = None) -> DataFrame:
+def select_smoothing(
+    df: DataFrame, keys: list[str], grid: Iterable[Smoothing] | None = None, refine: int | None = None
+) -> DataFrame:
     """Fit the array column ``y`` by the candidate of least AICc.
 
-    Trying a grid in a JVM fold costs one interpreted step per candidate and
+    The best cell of the grid is refined ``refine`` times: the candidates one step around the last choice are tried, with
+    steps that halve each time, and AICc never grows. By default the own grid is refined three times, a given one
+    not at all. Trying a grid in a JVM fold costs one interpreted step per candidate and
     month; arrays over the grid and over a batch of series share that cost.
     """
     candidates = list(grid or default_grid())
+    passes = (0 if grid else 3) if refine is None else refine
 
     @F.pandas_udf(FIT_SCHEMA)
     def fit(y: pd.Series) -> pd.DataFrame:
-        return _fit_all(y, candidates)
+        return _fit_all(y, candidates, passes)
 
     return spread(df, *keys).withColumn("_fit", fitted_once(fit)("y")).select(*df.columns, "_fit.*")
 

@@ -310,3 +310,16 @@ def test_grid_of_a_quadratic(spark):
     rows = grid.collect()
     assert len(rows) == 30 and all(r.fitted == pytest.approx(1 + 2 * r.x - 0.1 * r.x**2, abs=1e-5) for r in rows)
     assert "partial_sum" in grid._jdf.queryExecution().executedPlan().toString()
+
+
+def test_refinement_only_improves(spark):
+    rng = np.random.default_rng(21)
+    series = {f"s{i}": 50 + rng.normal(0.3 * (i % 3), 1, n).cumsum() for i, n in enumerate((1, 2, 4, 5, 7, 9, 20, 40, 60, 83))}
+    held = arrays(spark, **series)
+    coarse = {r.s: r for r in smoothing.select_smoothing(held, ["s"], refine=0).collect()}
+    fine = {r.s: r for r in smoothing.select_smoothing(held, ["s"]).collect()}
+    assert all(fine[k].aicc <= coarse[k].aicc + 1e-12 for k in series if len(series[k]) > 4)
+    assert sum(fine[k].aicc < coarse[k].aicc - 1e-6 for k in series) >= 4
+    for k, row in fine.items():
+        assert len(row.residuals) == len(series[k]) and 0 < row.alpha < 1 and row.beta <= row.alpha
+        assert sum(e * e for e in row.residuals) == pytest.approx(row.sse, rel=1e-6, abs=1e-9)

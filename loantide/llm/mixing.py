@@ -57,6 +57,7 @@ def mix_sources(
     docs: DataFrame,
     id_column: str = "doc_id",
     source_column: str = "source",
+    text_column: str = "text",
     size: Column | None = None,
     weight: Column | None = None,
     shares: tuple[float, ...] = (3.0, 1.0, 2.0),
@@ -69,16 +70,17 @@ def mix_sources(
     Sources stand in code point order, NULL last. Whole epochs of a source come first: ``epochs`` is the whole part
     of target over source size. The rest is drawn without replacement by exponential keys: a document of weight w
     gets -ln(u) / w, and the least keys are taken while the running size stays within the rest; of the document that crosses it
-    the words up to the rest are taken. Keys come from a digest of seed and id, so reruns agree; equal keys are
-    ordered by size, and rows alike in id and size may stand for each other.
+    the words up to the rest are taken. Keys come from a digest of seed and id (of the text where the id is NULL), so reruns
+    agree; equal keys are ordered by size, and rows alike in id and size may stand for each other.
 
     No source is sorted in one task: running sums over two levels of key bins per source find the bin that
     holds the boundary, and only its documents are ordered. NULL texts have size 0, and a source without words takes 0 of each
-    document; NULL ids share a key. An empty table gives no rows; other columns are not read.
+    document. An empty table gives no rows; other columns are not read.
     """
-    size = word_count() if size is None else size
-    weight = letter_share() if weight is None else weight
-    key = -F.log(uniform(F.col("id").cast("string"), seed)) / F.col("weight")
+    size = word_count(text_column) if size is None else size
+    weight = letter_share(text_column) if weight is None else weight
+    drawn_by = F.coalesce(F.col(id_column).cast("string"), F.md5(F.col(text_column).cast("string").cast("binary")))
+    key = -F.log(uniform(F.col("drawn_by"), seed)) / F.col("weight")
     # Both bins follow the share 1 - exp(-key) that a key of weight 1 has, so that they fill evenly.
     place = (F.lit(1.0) - F.exp(-F.col("key"))) * BINS
     slim = (
@@ -87,11 +89,12 @@ def mix_sources(
             F.col(source_column).alias("source"),
             size.alias("size"),
             weight.cast("double").alias("weight"),
+            drawn_by.alias("drawn_by"),
         )
         .withColumn("key", key)
         .withColumn("high", F.least(F.floor(place), F.lit(BINS - 1)).cast("int"))
         .withColumn("low", F.least(F.floor((place - F.floor(place)) * BINS), F.lit(BINS - 1)).cast("int"))
-        .drop("weight")
+        .drop("weight", "drawn_by")
     )
     slim = stored(slim, "mixing")
     bins = slim.groupBy("source", "high").agg(F.sum("size").alias("size"))

@@ -36,7 +36,7 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH sized AS (
     SELECT doc_id, source,
            coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-           (('0x' || substr(md5('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12))::BIGINT::DOUBLE + 0.5)
+           (('0x' || substr(md5('42:' || coalesce(CAST(doc_id AS VARCHAR), md5(text), '')), 1, 12))::BIGINT::DOUBLE + 0.5)
                / 281474976710656.0 AS u,
            greatest(coalesce(length(translate(text, '0123456789!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~', ''))::DOUBLE
                / nullif(length(text), 0), 0.0), 0.05) AS weight

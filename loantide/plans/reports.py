@@ -216,9 +216,9 @@ def balance_by_month(months: DataFrame) -> DataFrame:
 
 
 def charge_off_to_date(raw: DataFrame, text: str = "Charged off to date: $") -> DataFrame:
-    """Charge-off total of the text panel as value and report line beginning with ``text``."""
+    """Charge-off total of the text panel as value and, in whole cents, as report line beginning with ``text``."""
     value = raw.agg(total(to_number(F.col("chargedoffPrincipalAmount"))).alias("value"))
-    return value.withColumn("line", report_line(text, significant("value")))
+    return value.withColumn("line", report_line(text, significant(F.round("value", 2))))
 
 
 def value_source_records(panel: DataFrame, as_of=None) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from loantide.llm.common import stored
+from loantide.llm.common import drop_stored, stored
 
 #: Words of the gram by which suffixes are selected and sorted.
 GRAM = 12
@@ -108,25 +108,32 @@ def _suffixes(docs: DataFrame, passage: int, gram: int) -> DataFrame:
 
 
 def _windows(docs: DataFrame, wanted: DataFrame, passage: int) -> DataFrame:
-    """Digests of single windows: per wanted (id, content, classes of start, n, class) rows (class, offset, h1, h2)."""
+    """Digests of single windows: per wanted (id, content, classes of start, n, class) rows (class, offset, h1, h2, place)."""
+    schema = T.StructType(
+        [T.StructField(c, T.LongType()) for c in ("g1", "g2", "h1", "h2")]
+        + [T.StructField("offset", T.IntegerType()), T.StructField("start", T.IntegerType())]
+        + [docs.schema["id"], T.StructField("content", T.LongType())]
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, classes in zip(batch.column(0), batch.column(1)):
+            for i, (text, classes) in enumerate(zip(batch.column(0), batch.column(1))):
                 stretches = Stretches((text.as_py() or b"").split())
                 out = []
                 for c in classes.as_py():
-                    offsets = np.arange(c["n"])
-                    h1, h2 = stretches.of(c["start"] + offsets, c["start"] + offsets + passage)
-                    out.append((np.full(c["n"], c["g1"]), np.full(c["n"], c["g2"]), offsets.astype(np.int32), h1, h2))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(x)) for x in zip(*out)], names=["g1", "g2", "offset", "h1", "h2"]
-                )
+                    offsets = np.arange(c["n"], dtype=np.int32)
+                    starts = offsets + np.int32(c["start"])
+                    h1, h2 = stretches.of(starts, starts + passage)
+                    out.append((np.full(c["n"], c["g1"]), np.full(c["n"], c["g2"]), h1, h2, offsets, starts))
+                columns = [pa.array(np.concatenate(x)) for x in zip(*out)]
+                row = pa.array(np.full(len(columns[0]), i))
+                columns += [batch.column(2).take(row), batch.column(3).take(row)]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     met = docs.join(
         wanted, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("content") == F.col("of_content"))
     ).dropDuplicates(["id", "content"])
-    return met.select(F.col("text").cast("binary"), "classes").mapInArrow(run, "g1 long, g2 long, offset int, h1 long, h2 long")
+    return met.select(F.col("text").cast("binary"), "classes", "id", "content").mapInArrow(run, schema)
 
 
 def repeated_passages(
@@ -149,8 +156,9 @@ def repeated_passages(
     suffixes = stored(_suffixes(keyed, passage, gram), "suffixes")
     place = F.struct(F.col("id").isNull().alias("missing"), "id", "content", "start")
     # The sorted suffixes: neighbours with the same first words stay.
-    same = suffixes.groupBy("key").agg(F.count("*").alias("found")).where("found > 1").select("key")
+    same = stored(suffixes.groupBy("key").agg(F.count("*").alias("found")).where("found > 1").select("key"), "keys")
     places = stored(suffixes.join(same, "key"), "suffixes")
+    drop_stored(suffixes)
     classes = (
         places.groupBy("key", "g1", "g2", "n")
         .agg(F.min(place).alias("first"), F.max(place).alias("last"))
@@ -164,29 +172,21 @@ def repeated_passages(
         .groupBy(F.col("first.id").alias("of_id"), F.col("first.content").alias("of_content"))
         .agg(F.collect_list(F.struct("g1", "g2", "n", F.col("first.start").alias("start"))).alias("classes"))
     )
-    windows = stored(
-        _windows(keyed, wanted, passage).join(
-            classes.select("g1", "g2", F.col("first").alias("class_first")), ["g1", "g2"]
-        )
-        .withColumn(
-            "at",
-            F.struct(
-                F.col("class_first.missing").alias("missing"),
-                F.col("class_first.id").alias("id"),
-                F.col("class_first.content").alias("content"),
-                (F.col("class_first.start") + F.col("offset")).alias("start"),
-            ),
-        )
-        .drop("class_first"),
+    windows = stored(_windows(keyed, wanted, passage), "windows")
+    met = stored(
+        windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last"),
         "windows",
-    )
-    met = windows.groupBy("h1", "h2").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first <> last")
+    )
     offsets = (
-        windows.join(met.select("h1", "h2", "first"), ["h1", "h2"])
+        windows.select("g1", "g2", "offset", "h1", "h2").join(met, ["h1", "h2"])
         .groupBy("g1", "g2")
         .agg(F.collect_list(F.struct("offset", "first")).alias("met"))
+    )
+    judged = stored(
+        classes.join(offsets, ["g1", "g2"], "left").select("key", "g1", "g2", "first", "repeated", "met"), "classes"
     )
-    judged = classes.join(offsets, ["g1", "g2"], "left").select("key", "g1", "g2", "first", "repeated", "met")
+    for done in (windows, met, classes):
+        drop_stored(done)
     at = places.withColumn("place", place).join(judged, ["key", "g1", "g2"])
     # The earliest place of each window: among other classes where windows met, else that of its class.
     own = lambda o: F.struct(

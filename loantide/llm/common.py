@@ -86,7 +86,8 @@ def components(links: DataFrame) -> DataFrame:
     before = _signature(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        least = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
+        # Stored, as adaptive execution splits a hub's links only where both sides of a join are plain shuffles.
+        least = stored(both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m")), "links")
         large = (
             both.join(least, "v").where("u > v and u <> m").select(F.col("u").alias("v"), F.col("m").alias("u")).distinct()
         )
@@ -95,6 +96,7 @@ def components(links: DataFrame) -> DataFrame:
         after = stored(lower.withColumnRenamed("m", "u").unionByName(moved).distinct(), "links")
         signature = _signature(after)
         drop_stored(edges)
+        drop_stored(least)
         edges = after
         if signature == before:
             break

@@ -251,7 +251,7 @@ def simhash_components(
     table gives no rows; other columns are not read.
     """
     prints = stored(with_fingerprints(docs, id_column, text_column, length).drop("content"), "prints")
-    named = _component_ids(prints, bits)
+    named = stored(_component_ids(prints, bits), "ids")
     return prints.join(named, "fingerprint").select(
         F.col("id").alias(id_column),
         F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"),
@@ -269,8 +269,10 @@ def drop_near_copies(
     prints = stored(with_fingerprints(docs, id_column, text_column, length), "prints")
     groups = fingerprint_groups(prints, bits)
     order = F.struct(F.col("id").isNull().alias("missing"), "id", "content")
+    # Exact copies meet on the map side, before their fingerprint is looked up.
     kept = (
-        prints.join(groups, "fingerprint").groupBy("group").agg(F.min(order).alias("kept"))
+        prints.groupBy("fingerprint").agg(F.min(order).alias("least"))
+        .join(groups, "fingerprint").groupBy("group").agg(F.min("least").alias("kept"))
         .select(F.col("kept.id").alias("kept_id"), F.col("kept.content").alias("kept_content"))
     )
     rows = docs.select(

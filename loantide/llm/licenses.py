@@ -111,14 +111,15 @@ def find_licenses(
 
     anchored = F.arrays_overlap(words("text"), F.array(*map(F.lit, sorted(anchors)))) if anchors else F.lit(False)
     some = keyed.where(anchored)
-    line = some.select("id", "content", F.posexplode(F.split("text", "\n")).alias("line", "text")).withColumn("kind", F.lit(1))
-    paragraph = (
-        some.select("id", "content", F.posexplode(F.split("text", r"\n\s*\n")).alias("line", "text"))
-        .where(F.trim("text").contains("\n"))
-        .withColumn("kind", F.lit(2))
+    kinds = F.concat(
+        F.array(F.struct(F.lit(0).alias("kind"), F.lit(0).alias("line"), F.col("text"))),
+        F.transform(F.split("text", "\n"), lambda t, i: F.struct(F.lit(1).alias("kind"), i.alias("line"), t.alias("text"))),
+        F.filter(
+            F.transform(F.split("text", r"\n\s*\n"), lambda t, i: F.struct(F.lit(2).alias("kind"), i.alias("line"), t.alias("text"))),
+            lambda u: F.trim(u["text"]).contains("\n"),
+        ),
     )
-    whole = some.select("id", "content", F.lit(0).alias("line"), "text").withColumn("kind", F.lit(0))
-    units = line.unionByName(paragraph).unionByName(whole).where(anchored).distinct()
+    units = some.select("id", "content", F.inline(kinds)).where(anchored).distinct()
     unit = ["id", "content", "kind", "line"]
     counts = (
         units.select(*unit, F.explode(words("text")).alias("term")).groupBy(*unit, "term").agg(F.count("*").alias("n"))

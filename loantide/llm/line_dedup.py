@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from loantide.llm.common import stored
+
 
 def drop_repeated_lines(
     docs: DataFrame,
@@ -59,11 +61,12 @@ def drop_repeated_lines(
         .select("id", "content", "w.start", "w.h1", "w.h2")
     )
     place = F.struct(F.col("id").isNull().alias("missing"), "id", "content", "start")
-    repeated = (
+    repeated = stored(
         windows.groupBy("h1", "h2")
         .agg(F.min(place).alias("first"), F.max(place).alias("last"))
         .where("first <> last")
-        .select("h1", "h2", "first")
+        .select("h1", "h2", "first"),
+        "windows",
     )
     later = windows.join(repeated, ["h1", "h2"]).where(place != F.col("first"))
     covered = (

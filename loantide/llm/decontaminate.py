@@ -62,6 +62,29 @@ def _blocks(radius: int) -> Column:
     )
 
 
+def _least_common(least: float) -> Column:
+    """Shingles that a window of ``n`` words and an item need in common: c / (a + b - c) >= least solved for c."""
+    both = F.least("n", "length") + F.col("n") - 2 * (SHINGLE - 1)
+    return F.greatest(F.lit(1), F.ceil(both * F.lit(least / (1 + least)) - F.lit(1e-9)).cast("int"))
+
+
+def _starts(last: Column) -> Column:
+    """Starts of all windows over ``need`` of the sorted positions ``held``, ascending.
+
+    Each run of ``need`` positions has a range of starts; ends of both kinds ascend, so a range goes on after the one before.
+    """
+    runs = F.size("held") - F.col("need")
+    first = F.slice("held", F.lit(1), runs + 1)
+    before = F.concat(F.array(F.lit(-1)), F.slice("held", F.lit(1), runs))
+    ranges = F.transform(
+        F.arrays_zip(first.alias("a"), F.slice("held", F.col("need"), runs + 1).alias("b"), before.alias("c")),
+        lambda r: F.struct(
+            F.greatest(F.lit(0), r["b"] - F.col("n") + SHINGLE, F.least(r["c"], last) + 1).alias("low"), F.least(r["a"], last).alias("high")
+        ),
+    )
+    return F.flatten(F.transform(F.filter(ranges, lambda r: r["low"] <= r["high"]), lambda r: F.sequence(r["low"], r["high"])))
+
+
 def leaked_items(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -73,10 +96,12 @@ def leaked_items(
 ) -> DataFrame:
     """Items found in documents: one row (id, content, item, start, similarity, distance) per document and item.
 
-    The similarity of a window and an item is the sum of the lesser over the sum of the greater counts of their shingles. A window
-    without a shingle of an item has similarity 0, so the windows looked at are those that align a common shingle: they start where the
-    item would start, moved into the document at its ends; a shorter document is one window. ``start`` counts words; the row shows the
-    most similar window, the first of equals. ``content`` hashes the text: rows alike in id and text are one document.
+    The similarity of a window and an item is the sum of the lesser over the sum of the greater counts of their shingles, whatever their
+    order. Every window inside the document counts; a shorter document is one window. To be similar enough, a window has to hold a
+    known number of shingles of items of its size, so fingerprints are made of the windows that do: this leaves out none that verifies.
+    ``start`` counts words; the row shows the most similar window, of equals the first that aligns a shingle with an item of its size
+    (starts where the item would start, moved into the document at its ends), or else the first. ``content`` hashes the text: rows alike
+    in id and text are one document.
 
     NULL and empty texts hold nothing; items of fewer words than a shingle match nothing; repeated items with one id are one item each by
     text. Empty tables give no rows; other columns are not read. Every shingle of every text is looked up; the benchmark's are
@@ -94,10 +119,21 @@ def leaked_items(
     known = broadcast_if_small(grams.select("h").distinct())
     found = shingles(keyed.withColumn("length", F.size("words")), "words", "id", "content", "length")
     hits = stored(found.join(known, "h", "left_semi").distinct(), "hits")
-    starts = F.greatest(F.lit(0), F.least(F.col("position") - F.col("q"), F.col("length") - F.col("n")))
+    last = F.greatest(F.lit(0), F.col("length") - F.col("n"))
+    starts = F.greatest(F.lit(0), F.least(F.col("position") - F.col("q"), last))
     spots = broadcast_if_small(grams.select("h", "n", F.col("position").alias("q")).distinct())
-    windows = hits.join(spots, "h").select("id", "content", "n", starts.alias("start")).distinct()
-    per_doc = windows.groupBy("id", "content").agg(F.collect_list(F.struct("n", "start")).alias("windows"))
+    regions = (
+        hits.join(spots, "h")
+        .groupBy("id", "content", "length", "n")
+        .agg(F.sort_array(F.collect_set("position")).alias("held"), F.collect_set(starts).alias("aligned"))
+        .withColumn("need", _least_common(least))
+        .where(F.size("held") >= F.col("need"))
+        .select("id", "content", "n", "aligned", _starts(last).alias("all"))
+    )
+    of_kind = lambda name, flag: F.transform(name, lambda s: F.struct(F.col("n"), s.alias("start"), F.lit(flag).alias("aligned")))
+    windows = regions.select("id", "content", "n", F.array_intersect("all", "aligned").alias("a"), F.array_except("all", "aligned").alias("b"))
+    windows = windows.select("id", "content", F.concat(of_kind("a", True), of_kind("b", False)).alias("windows"))
+    per_doc = windows.groupBy("id", "content").agg(F.flatten(F.collect_list("windows")).alias("windows"))
     per_doc = broadcast_if_small(
         stored(per_doc.select(F.col("id").alias("of_id"), F.col("content").alias("of_content"), "windows"), "windows"), 5_000
     )
@@ -105,9 +141,9 @@ def leaked_items(
         keyed.join(per_doc, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("content") == F.col("of_content")))
         .dropDuplicates(["id", "content"])
         .select("id", "content", "words", F.explode("windows").alias("w"))
-        .select("id", "content", "w.n", "w.start", F.slice("words", F.col("w.start") + 1, F.col("w.n")).alias("words"))
+        .select("id", "content", "w.*", F.slice("words", F.col("w.start") + 1, F.col("w.n")).alias("words"))
     )
-    window = ["id", "content", "n", "start"]
+    window = ["id", "content", "n", "start", "aligned"]
     parts = stored(shingles(cut, "words", *window).select(*window, "h"), "shingles")
     prints = stored(fingerprints(parts, *window), "prints")
     indexed = lambda df: df.withColumn("b", F.explode(_blocks(radius))).select("*", "b.*").drop("b")
@@ -134,7 +170,7 @@ def leaked_items(
         .agg(F.sum(F.least("c", "ci")).alias("common"))
     )
     similarity = F.col("common") / (F.col("total") + F.col("item_total") - F.col("common"))
-    best = F.max(F.struct("similarity", (-F.col("start")).alias("back"), (-F.col("distance")).alias("close")))
+    best = F.max(F.struct("similarity", "aligned", (-F.col("start")).alias("back"), (-F.col("distance")).alias("close")))
     return (
         common.withColumn("similarity", similarity)
         .where(F.col("similarity") >= least)

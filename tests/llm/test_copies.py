@@ -233,3 +233,33 @@ def test_leaks(spark, frame, prose, odd):
     assert sorted(str(r.doc_id) for r in clean.collect()) == sorted(str(i) for i, _ in rows if i not in leaked)
     assert decontaminate.leaked_items(frame(rows), bench.where("false")).count() == 0
     assert decontaminate.leaked_items(frame(rows).where("false"), bench).count() == 0
+
+
+def test_leaks_in_any_order(spark, frame, prose):
+    """Every window of every document, where halves are swapped and blocks moved."""
+    sizes = [100, 100, 60, 45, 45]
+    items = [(i, " ".join(f"{w}{i}" if k % 3 else w for k, w in enumerate(prose(700 + i, n).split()))) for i, n in enumerate(sizes)]
+    rows = []
+    for i, text in items:
+        words = text.split()
+        n = len(words)
+        for k, cut in enumerate((n // 2, n // 3, n - 9, 5)):
+            rows.append((10 * i + k, f"{prose(i + k, 60 + 20 * k)} {' '.join(words[cut:] + words[:cut])} {prose(i + 30, 60)}"))
+        rows.append((10 * i + 4, f"{prose(i, 30)} {' '.join(words[: n // 2])} {prose(i + 9, 3)} {' '.join(words[n // 2 :])}"))
+        rows.append((10 * i + 5, " ".join(words[n // 2 :] + words[: n // 2 - 2])))
+    want = {}
+    for i, t in rows:
+        words = split(t)
+        for item, text in items:
+            other = split(text)
+            theirs = grams(other)
+            for s in range(max(0, len(words) - len(other)) + 1):
+                mine = grams(words[s : s + len(other)])
+                similarity = sum((mine & theirs).values()) / sum((mine | theirs).values())
+                if similarity >= 0.8:
+                    want[i, item] = max(similarity, want.get((i, item), 0))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.leaked_items(frame(rows), bench).collect()}
+    assert got == pytest.approx(want)
+    assert want[0, 0] == pytest.approx(0.92), "two halves of 50 words, swapped"
+    assert 0 not in {r.doc_id for r in decontaminate.drop_contaminated(frame(rows), bench).collect()}

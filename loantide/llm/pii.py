@@ -1,7 +1,7 @@
 """Personal data: base patterns, and terms that give protected values away.
 
 A protected value is an e-mail, address, card or phone number found by its pattern. Over the whole corpus, a term
-near a value reveals it by their pointwise mutual information; divided by the value's information content this
+in the documents of a value reveals it by their pointwise mutual information; divided by the value's information content this
 is the share of the value that the term discloses. Terms whose share reaches a threshold are generalised, or
 removed beyond a second one.
 """
@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from loantide.llm.common import stored
+from loantide.llm.common import broadcast_if_small, stored
 
 KINDS = ("email", "ip", "card", "phone", "term")
 
@@ -72,36 +72,22 @@ def value_of(kind: str, text: str) -> str:
     return f"{kind}:{text.lower() if kind in ('email', 'ip') else _SIGNS.sub('', text)}"
 
 
-def terms_near(text: str, spans: list[tuple[str, int, int]], reach: int) -> list[tuple[str, str, int, int]]:
-    """(value, term, start, end) of up to ``reach`` terms on either side of each value; no term lies inside a span."""
-    words = [(m.start(), m.end()) for m in _TERM.finditer(text)]
+def free_terms(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """(term, start, end) of every term of the text that does not lie inside a span."""
     held = sorted({(a, b) for _, a, b in spans})
     free, i = [], 0
-    for a, b in words:
+    for m in _TERM.finditer(text):
+        a, b = m.span()
         while i < len(held) and held[i][1] <= a:
             i += 1
         if not any(x < b and a < y for x, y in held[i : i + 4]):
-            free.append((a, b))
-    starts = [a for a, _ in free]
+            free.append((m.group().lower(), a, b))
+    return free
 
 
-    near = []
-    for kind, a, b in spans:
-        value, after = value_of(kind, text[a:b]), bisect_left(starts, b)
-        before = bisect_left(starts, a)
-        for x, y in free[max(0, before - reach) : before] + free[after : after + reach]:
-            near.append((value, text[x:y].lower(), x, y))
-    return near
-
-
-_NEAR = T.ArrayType(
+_TERMS = T.ArrayType(
     T.StructType(
-        [
-            T.StructField("value", T.StringType()),
-            T.StructField("term", T.StringType()),
-            T.StructField("start", T.IntegerType()),
-            T.StructField("end", T.IntegerType()),
-        ]
+        [T.StructField("term", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]
     )
 )
 _SPAN_FIELDS = [
@@ -110,37 +96,39 @@ _SPAN_FIELDS = [
     T.StructField("end", T.IntegerType()),
 ]
 _ARROW_SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-_ARROW_NEAR = pa.list_(
-    pa.struct([("value", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
-)
+_ARROW_TERMS = pa.list_(pa.struct([("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
-def _scanned(docs: DataFrame, id_column: str, text_column: str, reach: int) -> DataFrame:
-    """Id, a hash of the text, base spans and the terms near them, per row."""
+def _scanned(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """Id, a hash of the text, base spans, their values and, where there are any, all terms outside of them, per row."""
     schema = T.StructType(
         [
             T.StructField("id", docs.schema[id_column].dataType),
             T.StructField("content", T.LongType()),
             T.StructField("spans", T.ArrayType(T.StructType(_SPAN_FIELDS))),
-            T.StructField("near", _NEAR),
+            T.StructField("values", T.ArrayType(T.StringType())),
+            T.StructField("terms", _TERMS),
         ]
     )
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans, near = [], []
+            spans, values, terms = [], [], []
             for cell in batch.column(2):
                 text = cell.as_py() or ""
                 found = find_personal(text)
                 spans.append([{"kind": k, "start": a, "end": b} for k, a, b in found])
-                near.append(
-                    [{"value": v, "term": t, "start": a, "end": b} for v, t, a, b in terms_near(text, found, reach)]
-                    if found
-                    else []
-                )
+                values.append(sorted({value_of(k, text[a:b]) for k, a, b in found}))
+                terms.append([{"term": t, "start": a, "end": b} for t, a, b in free_terms(text, found)] if found else [])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(spans, _ARROW_SPANS), pa.array(near, _ARROW_NEAR)],
-                names=["id", "content", "spans", "near"],
+                [
+                    batch.column(0),
+                    batch.column(1),
+                    pa.array(spans, _ARROW_SPANS),
+                    pa.array(values, pa.list_(pa.string())),
+                    pa.array(terms, _ARROW_TERMS),
+                ],
+                names=["id", "content", "spans", "values", "terms"],
             )
 
     text = docs[text_column].cast("string")
@@ -154,52 +142,76 @@ def term_documents(docs: DataFrame, text_column: str) -> DataFrame:
 
 
 def disclosure(near: DataFrame, terms: DataFrame, documents: Column, support: int) -> DataFrame:
-    """Share of each protected value that a term near it discloses: one row (value, term, share).
+    """Share of each protected value that a term beside it discloses: one row (value, term, share).
 
     ``near`` has a row (doc, value, term) per meeting. With n documents, n(v) of them holding the value, n(t)
-    the term and n(v, t) both near each other, the information content is log(n / n(v)), the mutual information
+    the term and n(v, t) both, the information content is log(n / n(v)), the mutual information
     log(n * n(v, t) / (n(v) * n(t))), and the share their quotient; a value in all documents has no content and share 0.
     Pairs met in fewer than ``support`` documents give no evidence.
     """
     met = near.select("doc", "value", "term").distinct()
     values = met.select("doc", "value").distinct().groupBy("value").agg(F.count("*").alias("n_value"))
-    pairs = met.groupBy("value", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
+    return _shares(met.groupBy("value", "term").agg(F.count("*").alias("n_both")), values, terms, documents, support)
+
+
+def _shares(pairs: DataFrame, values: DataFrame, terms: DataFrame, documents: Column, support: int) -> DataFrame:
+    """:func:`disclosure` of counted rows (value, term, n_both), (value, n_value) and (term, n_term)."""
     content = F.log(documents / F.col("n_value"))
     mutual = F.log(documents * F.col("n_both") / (F.col("n_value") * F.greatest("n_term", "n_both")))
     share = F.when(content > 0, mutual / content).otherwise(0.0)
-    return pairs.join(terms, "term").join(values, "value").select("value", "term", share.alias("share"))
+    enough = pairs.where(F.col("n_both") >= support)
+    return enough.join(terms, "term").join(values, "value").select("value", "term", share.alias("share"))
 
 
 def scan_personal(
     docs: DataFrame,
     id_column: str = "doc_id",
     text_column: str = "text",
-    reach: int = 8,
     support: int = 3,
     threshold: float = 0.8,
     removal: float = 0.95,
 ) -> DataFrame:
     """One row per document: its id and ``spans``, an array of (kind, start, end, share, action).
 
-    Base kinds have share 1 and action ``remove``. Kind ``term`` marks terms within ``reach`` terms of a value that
-    disclose at least ``threshold`` of it: action ``generalise``, or ``remove`` from ``removal`` on. Spans stand by
-    kind as in ``KINDS``, then start.
+    Base kinds have share 1 and action ``remove``. A term and a value meet in every document that holds both, however far apart. Kind
+    ``term`` marks each occurrence, outside base spans, of a term that discloses at least ``threshold`` of a value of the document:
+    action ``generalise``, or ``remove`` from ``removal`` on. Spans stand by kind as in ``KINDS``, then start.
 
     Every text is read whole and every count covers all rows; a NULL text counts as empty. Rows alike in id and text
-    count as one document and get the same spans; a NULL id is an id like any other. Texts are not shuffled: only
-    the terms near values are, keyed by value and term with counts aggregated on the map side, so a value in a third
-    of all documents costs one row per task. An empty table gives no rows; other columns are not read.
+    count as one document and get the same spans; a NULL id is an id like any other. Of the documents that hold values the terms are
+    shuffled, and the meetings are counted by value and term on the map side, so a value in a third of all documents
+    costs a row per task and term. As n(v, t) is at most n(v) and n(t), a share needs n(t) <= n ** (1 - threshold) * n(v) ** threshold; pairs
+    beyond that or below ``support`` are not formed. An empty table gives no rows; other columns are not read.
     """
-    scanned = stored(_scanned(docs, id_column, text_column, reach), "personal")
+    scanned = stored(_scanned(docs, id_column, text_column), "personal")
     doc = F.struct("id", "content").alias("doc")
-    near = scanned.where(F.size("near") > 0).select(doc, F.explode("near").alias("n")).select("doc", "n.*")
     total = docs.select(F.count("*").cast("double").alias("n")).first()["n"]
-    terms = term_documents(docs, text_column)
+    total = max(total, 1.0)
+    with_values = scanned.where(F.size("values") > 0)
+    holding = stored(with_values.select(doc, F.explode("values").alias("value")).distinct(), "personal")
+    values = stored(
+        holding.groupBy("value").agg(F.count("*").alias("n_value")).where(F.col("n_value") >= support), "personal"
+    )
+    held = stored(holding.join(broadcast_if_small(values), "value"), "personal")
+    most = F.lit(total ** (1 - threshold) * (1 + 1e-9)) * F.pow("n_value", F.lit(threshold))
+    widest = values.select(F.max(most).alias("most")).first()["most"] or 0.0
+    terms = stored(
+        term_documents(docs, text_column).where((F.col("n_term") >= support) & (F.col("n_term") <= widest)), "personal"
+    )
+    some = broadcast_if_small(terms)
+    occurrences = with_values.select(doc, F.explode("terms").alias("t")).select("doc", "t.*")
+    beside = stored(occurrences.select("doc", "term").join(some, "term").distinct(), "personal")
+    pairs = (
+        held.join(beside, "doc").where(F.col("n_term") <= most).groupBy("value", "term").agg(F.count("*").alias("n_both"))
+    )
     shares = stored(
-        disclosure(near, terms, F.lit(max(total, 1.0)), support).where(F.col("share") >= threshold), "personal"
+        _shares(pairs, values, terms, F.lit(total), support).where(F.col("share") >= threshold), "personal"
+    )
+    told = stored(
+        held.join(broadcast_if_small(shares), "value").groupBy("doc", "term").agg(F.max("share").alias("share")), "personal"
     )
     hits = (
-        near.join(shares, ["value", "term"])
+        occurrences.join(broadcast_if_small(told), ["doc", "term"])
         .groupBy("doc", "start", "end")
         .agg(F.max("share").alias("share"))
         .groupBy("doc")

@@ -126,3 +126,13 @@ def test_share_is_information(spark):
     shares = {r.term: r.share for r in pii.disclosure(near, terms, F.lit(64.0), 2).collect()}
     assert shares["a"] == pytest.approx(1.0) and shares["b"] == pytest.approx(0.5)
     assert pii.disclosure(near, terms, F.lit(64.0), 5).count() == 0
+
+
+def test_terms_far_from_values(frame, prose):
+    """A term nine words and more off discloses a value, and no occurrence of it stays in a document of the value."""
+    told = [(i or None, f"Zorblat {prose(i, 30)} mail kim.l@host.example now {prose(i + 50, 30)} zorblat {prose(i, 9)} ZORBLAT") for i in range(4)]
+    other = [(10 + i, f"{prose(100 + i, 40)} mail sent now") for i in range(30)]
+    found = {r.doc_id: r.spans for r in pii.scan_personal(frame(told + other)).collect()}
+    for i, text in told:
+        assert [text[s.start : s.end] for s in found[i] if s.kind == "term"] == ["Zorblat", "zorblat", "ZORBLAT"]
+    assert all(not found[i] for i, _ in other)

@@ -135,10 +135,12 @@ def _scanned(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return docs.select(docs[id_column], F.xxhash64(text), text).mapInArrow(scan, schema)
 
 
-def term_documents(docs: DataFrame, text_column: str) -> DataFrame:
-    """Number of documents that hold each term, over the whole corpus."""
+def term_documents(docs: DataFrame, text_column: str, share: Column | None = None) -> DataFrame:
+    """Number of documents that hold each term, over the whole corpus; a row counts as ``share`` of a document."""
     words = F.array_distinct(F.split(F.lower(F.col(text_column).cast("string")), _NOT_TERM))
-    return docs.select(F.explode(words).alias("term")).where("term <> ''").groupBy("term").agg(F.count("*").alias("n_term"))
+    counted = F.count("*") if share is None else F.round(F.sum("share")).cast("long")
+    rows = docs.select((F.lit(1.0) if share is None else share).alias("share"), F.explode(words).alias("term"))
+    return rows.where("term <> ''").groupBy("term").agg(counted.alias("n_term"))
 
 
 def disclosure(near: DataFrame, terms: DataFrame, documents: Column, support: int) -> DataFrame:
@@ -178,15 +180,20 @@ def scan_personal(
     action ``generalise``, or ``remove`` from ``removal`` on. Spans stand by kind as in ``KINDS``, then start.
 
     Every text is read whole and every count covers all rows; a NULL text counts as empty. Rows alike in id and text
-    count as one document and get the same spans; a NULL id is an id like any other. Of the documents that hold values the terms are
+    count as one document, each with its part of one in the counts of terms, and get the same spans; a NULL id is an id like any other. Of the documents that hold values the terms are
     shuffled, and the meetings are counted by value and term on the map side, so a value in a third of all documents
     costs a row per task and term. As n(v, t) is at most n(v) and n(t), a share needs n(t) <= n ** (1 - threshold) * n(v) ** threshold; pairs
     beyond that or below ``support`` are not formed. An empty table gives no rows; other columns are not read.
     """
     scanned = stored(_scanned(docs, id_column, text_column), "personal")
     doc = F.struct("id", "content").alias("doc")
-    total = docs.select(F.count("*").cast("double").alias("n")).first()["n"]
-    total = max(total, 1.0)
+    copies = stored(scanned.groupBy("id", "content").agg(F.count("*").alias("copies")), "personal")
+    total = max(float(copies.count()), 1.0)
+    repeated = copies.where("copies > 1").select(F.col("id").alias("copy_id"), F.col("content").alias("copy_content"), "copies")
+    text = docs[text_column].cast("string")
+    texts = docs.select(docs[id_column].alias("id"), F.xxhash64(text).alias("content"), text.alias("text")).join(
+        broadcast_if_small(repeated), F.col("id").eqNullSafe(F.col("copy_id")) & (F.col("content") == F.col("copy_content")), "left"
+    )
     with_values = scanned.where(F.size("values") > 0)
     holding = stored(with_values.select(doc, F.explode("values").alias("value")).distinct(), "personal")
     values = stored(
@@ -196,7 +203,7 @@ def scan_personal(
     most = F.lit(total ** (1 - threshold) * (1 + 1e-9)) * F.pow("n_value", F.lit(threshold))
     widest = values.select(F.max(most).alias("most")).first()["most"] or 0.0
     terms = stored(
-        term_documents(docs, text_column).where((F.col("n_term") >= support) & (F.col("n_term") <= widest)), "personal"
+        term_documents(texts, "text", 1.0 / F.coalesce("copies", F.lit(1))).where((F.col("n_term") >= support) & (F.col("n_term") <= widest)), "personal"
     )
     some = broadcast_if_small(terms)
     occurrences = with_values.select(doc, F.explode("terms").alias("t")).select("doc", "t.*")

@@ -136,3 +136,13 @@ def test_terms_far_from_values(frame, prose):
     for i, text in told:
         assert [text[s.start : s.end] for s in found[i] if s.kind == "term"] == ["Zorblat", "zorblat", "ZORBLAT"]
     assert all(not found[i] for i, _ in other)
+
+
+def test_repeated_rows_change_no_span(frame, prose):
+    rows = [(i or None, f"{prose(i, 30)} mail zorblat kim.l@host.example now {prose(i + 50, 30)}") for i in range(4)]
+    rows += [(10 + i, f"{prose(100 + i, 40)} mail sent now") for i in range(30)]
+    once = {r.doc_id: r.spans for r in pii.scan_personal(frame(rows)).collect()}
+    assert any(s.kind == "term" for s in once[1])
+    for some in (rows * 7, rows[:4] * 50 + rows[4:]):
+        again = pii.scan_personal(frame(some)).collect()
+        assert len(again) == len(some) and all(r.spans == once[r.doc_id] for r in again)

@@ -41,6 +41,8 @@ NAME_WEIGHTS = {
     "auth": 0.7,
     "key": 0.6,
 }
+#: Weight from which a name is strongly sensitive: quoted literals with white space count too.
+STRONG = 0.9
 _SENSITIVE = ("passw", "passphrase", "pwd", "secret", "token", "key", "credential", "auth")
 _PLACEHOLDER = re.compile(r"example|sample|change_?me|placeholder|dummy|your|todo|^[x*.]+$|^<.*>$|^\$\{.*\}$|^%\(.*\)", re.I)
 _TERM = r"\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'|[^\s,;\"'+(){}\[\]<>]++"
@@ -59,9 +61,9 @@ def name_score(name: str) -> float:
     return max((NAME_WEIGHTS.get(w, 0.0) for w in words), default=0.0)
 
 
-def literal_score(value: str) -> float:
-    """0 to 1: short, spaced or placeholder text scores 0; else the entropy per character against 3.5 bits."""
-    if len(value) < 8 or _PLACEHOLDER.search(value) or any(c.isspace() for c in value):
+def literal_score(value: str, spaced: bool = False) -> float:
+    """0 to 1: short or placeholder text, and spaced text unless allowed, scores 0; else the entropy per character against 3.5 bits."""
+    if len(value) < 8 or _PLACEHOLDER.search(value) or not spaced and any(c.isspace() for c in value):
         return 0.0
     n = len(value)
     entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
@@ -79,23 +81,30 @@ def _pairs(text: str) -> Iterator[tuple[str, list[tuple[int, int, bool]]]]:
 
 
 def literal_spans(text: str, threshold: float) -> list[tuple[int, int, float]]:
-    """Literals that reach a sensitive name, straight or through constants."""
-    held: dict[str, list[tuple[int, int]]] = {}
+    """Literals that reach a sensitive name, straight or through constants; strongly sensitive names take spaced ones too."""
+    held: dict[str, dict[tuple[int, int], None]] = {}
     found: dict[tuple[int, int], float] = {}
     pairs = list(_pairs(text))
-    for again in (False, True):  # the second pass sees names that are assigned further down
-        for name, terms in pairs:
-            parts: list[tuple[int, int]] = []
+    seen: set[tuple[int, tuple[tuple[int, int], ...]]] = set()
+    before = -1
+    while len(seen) > before:  # later passes see names that are assigned further down, until an assignment takes nothing new
+        before = len(seen)
+        for at, (name, terms) in enumerate(pairs):
+            parts: dict[tuple[int, int], None] = {}
             for start, end, quoted in terms:
                 word = text[start:end]
                 if not quoted and word in held and _NAME.match(word):
-                    parts += [p for p in held[word] if p not in parts][: 64 - len(parts)]
+                    parts.update(held[word])
                 else:
-                    parts.append((start, end))
+                    parts[start, end] = None
             held[name] = parts
+            state = (at, tuple(parts))
+            if state in seen:
+                continue
+            seen.add(state)
             weight = name_score(name)
             if weight and parts:
-                score = weight * literal_score("".join(text[a:b] for a, b in parts))
+                score = weight * literal_score("".join(text[a:b] for a, b in parts), weight >= STRONG)
                 if score >= threshold:
                     for part in parts:
                         found[part] = max(score, found.get(part, 0.0))

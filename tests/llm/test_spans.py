@@ -146,3 +146,17 @@ def test_repeated_rows_change_no_span(frame, prose):
     for some in (rows * 7, rows[:4] * 50 + rows[4:]):
         again = pii.scan_personal(frame(some)).collect()
         assert len(again) == len(some) and all(r.spans == once[r.doc_id] for r in again)
+
+
+def test_literals_are_whole():
+    assert literals('password = "correct horse battery staple"') == {"correct horse battery staple"}
+    assert literals('passphrase: "correct horse battery staple"') == {"correct horse battery staple"}
+    assert literals('sort_key = "correct horse battery staple"\npassword = "your password here"') == set()
+    assert literals('password = a\na = b\nb = "hJ8kQ2xZ7pLm"') == {"hJ8kQ2xZ7pLm"}
+    chain = "\n".join(f"n{i} = n{i + 1}" for i in range(40))
+    assert literals(f'token = n0\n{chain}\nn40 = "hJ8kQ2xZ7pLm"') == {"hJ8kQ2xZ7pLm"}
+    many = [f"hJ8kQ{i}xZ" for i in range(100)]
+    assert literals("secret = " + " + ".join(f'"{m}"' for m in many)) == set(many)
+    named = "\n".join(f'c{i} = "{m}"' for i, m in enumerate(many))
+    assert literals(f"{named}\nsecret = " + " + ".join(f"c{i}" for i in range(100))) == set(many)
+    assert literals("a = b\nb = a\ntoken = a") == set()

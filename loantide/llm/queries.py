@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from loantide.llm import decontaminate, licenses, line_dedup, mixing, pii, quality, secrets, simhash, suffixes, vectors
+from loantide.llm import decontaminate, licenses, line_dedup, mixing, pii, prefixes, quality, secrets, simhash, spelling, suffixes, vectors
 from loantide.llm.common import table
 from loantide.llm.registry import query
 
@@ -252,3 +252,89 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("_"))
     docs = table(spark, sf_dir, "documents").withColumn("path", F.concat_ws("/", part("source"), part("lang"), part("doc_id")))
     return licenses.license_of_paths(docs, licenses.template_frame(spark))
+
+
+# crc32 of a blob column ``b`` by the usual table of 256 remainders, which CTE ``crc`` makes from its polynomial.
+_CRC = """crc AS (
+    SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY i) AS remainders
+    FROM range(256) r(i)
+)"""
+_CRC_OF = """xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(octet_length({0})), lambda i: ('0x' || substr(hex({0}), 2 * i + 1, 2))::BIGINT)),
+    lambda c, x: xor(c // 256, remainders[xor(c % 256, x) + 1])), 4294967295)"""
+
+
+@query(
+    sql=rf"""
+WITH RECURSIVE {_CRC}, runs AS (
+    SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS k
+    FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS run FROM documents) GROUP BY ALL
+), hashed AS (
+    SELECT run, k, {_CRC_OF.format("b")} AS h
+    FROM (SELECT run, k, encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run) AS b FROM runs WHERE length(run) >= 5), crc
+), words AS (
+    SELECT word, sum(k)::BIGINT AS n
+    FROM (SELECT CASE WHEN h % 97 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, k FROM hashed)
+    WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3
+), holes AS (
+    SELECT word, n, i, left(word, i) AS head, substr(word, i + 2) AS tail FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM words)
+), near AS (
+    SELECT a.word, a.n, b.word AS other, b.n AS m FROM holes a JOIN holes b ON a.head = b.head AND a.tail = b.tail AND a.word <> b.word
+    UNION
+    SELECT h.word, h.n, w.word, w.n FROM holes h JOIN words w ON w.word = h.head || h.tail
+    UNION
+    SELECT w.word, w.n, h.word, h.n FROM holes h JOIN words w ON w.word = h.head || h.tail
+), best AS (
+    SELECT word, count(*) AS n_near, arg_min({{'other': other, 'm': m}}, {{'less': -m, 'o': encode(other)}}) AS top, any_value(n) AS n FROM near GROUP BY word
+), formed AS (
+    SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN top.m >= 2 * w.n THEN top.other END AS form, CASE WHEN top.m >= 2 * w.n THEN top.m END AS form_n
+    FROM words w LEFT JOIN best USING (word)
+), led AS (
+    SELECT word, word AS at FROM formed
+    UNION ALL
+    SELECT l.word, f.form FROM led l JOIN formed f ON f.word = l.at WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, l.at AS root, f.n, f.n_near, f.form_n
+FROM formed f JOIN led l USING (word) JOIN formed g ON g.word = l.at AND g.form IS NULL
+"""
+)
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, sf_dir, "documents"))
+
+
+@query(
+    sql=rf"""
+WITH {_CRC}, own AS (
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS d,
+           coalesce(role, '') AS role, coalesce(text, '') AS text
+    FROM conversations WHERE conv_id IS NOT NULL
+), plans AS (
+    SELECT conv_id, conv_id - conv_id % 20 AS base, {_CRC_OF.format("encode(CAST(conv_id AS VARCHAR))")} % 4 AS h FROM (SELECT DISTINCT conv_id FROM own), crc
+), rebuilt AS (
+    SELECT p.conv_id, o.d, role, text FROM plans p JOIN own o ON o.conv_id = p.base WHERE o.d <= h
+    UNION ALL
+    SELECT conv_id, d + 1000000, role, text FROM plans JOIN own USING (conv_id) WHERE d > h
+), turns AS (
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY d) AS d, sha256(role || chr(0) || text) AS t,
+           len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM rebuilt
+), prefixes AS (
+    SELECT conv_id, d, string_agg(t, '') OVER (PARTITION BY conv_id ORDER BY d) AS k, words FROM turns
+    UNION ALL
+    SELECT conv_id, 0, '', 0 FROM plans
+), hashed AS (
+    SELECT conv_id, d, sha256(k) AS k, words, max(d) OVER (PARTITION BY conv_id) = d AS last,
+           lag(sha256(k)) OVER (PARTITION BY conv_id ORDER BY d) AS parent FROM prefixes
+), nodes AS (
+    SELECT d, k, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+           sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (last), '')) AS ends_sha256 FROM hashed GROUP BY d, k
+), counted AS (
+    SELECT n.*, (SELECT count(*) FROM nodes c WHERE c.d = n.d + 1 AND c.parent = n.k) AS n_children FROM nodes n
+), above AS (
+    SELECT h.d, h.k, sum((c.n_convs - 1) * c.words) AS saved_tokens, count(*) FILTER (c.n_children = 0) AS n_leaves
+    FROM counted c JOIN hashed h ON h.conv_id = c.conv_id AND h.d <= c.d GROUP BY h.d, h.k
+)
+SELECT n.conv_id, n.d::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, a.n_leaves, a.saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM counted n JOIN above a USING (d, k) LEFT JOIN nodes p ON p.d = n.d - 1 AND p.k = n.parent
+"""
+)
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.conversation_trie(table(spark, sf_dir, "conversations"))

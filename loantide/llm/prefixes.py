@@ -192,16 +192,17 @@ def insert_all(turns: DataFrame, lengths: DataFrame) -> tuple[DataFrame, DataFra
     pending = stored(
         lengths.where("length > 0").select("conv_id", "length", F.lit(0).alias("low"), F.lit(None).cast("long").alias("at")), "pending"
     )
-    paths = ends = edges = None
+    paths = ends = None
     rounds = 0
     while True:
         count, span = pending.agg(F.count("*"), F.max(F.col("length") - F.col("low"))).first()
         if not count:
             break
         rounds += 1
-        if edges is None:
+        if paths is None:
             exits = pending
         else:
+            edges = stored(_edges(_breaks(paths, ends), paths, turns), "edges")
             state = pending.select("*", F.col("length").alias("high"), F.lit(None).cast("struct<rep:bigint,low:int,high:int>").alias("edge"))
             for step in range(1, int(span).bit_length() + 1):
                 state = _searched(state, edges, turns)
@@ -221,10 +222,9 @@ def insert_all(turns: DataFrame, lengths: DataFrame) -> tuple[DataFrame, DataFra
         gone = exits.where("low = length").select("conv_id", F.col("at").alias("rep"), F.col("low").alias("depth"))
         gone = gone.unionByName(grown.select(F.col("rep").alias("conv_id"), "rep", F.col("length").alias("depth")))
         paths = grown if paths is None else paths.unionByName(grown)
-        ends = stored(gone if ends is None else ends.unionByName(gone), "ends")
+        ends = gone if ends is None else ends.unionByName(gone)
         rest = exits.where("low < length").join(grown.select(F.col("rep").alias("conv_id")), "conv_id", "left_anti")
         pending = stored(rest.select("conv_id", "length", "low", "at"), "pending")
-        edges = stored(_edges(_breaks(paths, ends), paths, turns), "edges")
     empty = "rep long, up long, start int, length int, round int"
     spark = turns.sparkSession
     return (

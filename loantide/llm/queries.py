@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from loantide.llm import decontaminate, licenses, line_dedup, mixing, pii, prefixes, quality, secrets, simhash, spelling, suffixes, vectors
+from loantide.llm import decontaminate, licenses, line_dedup, lm_scores, mixing, pii, prefixes, quality, secrets, simhash, spelling, suffixes, vectors
 from loantide.llm.common import table
 from loantide.llm.registry import query
 
@@ -338,3 +338,8 @@ FROM counted n JOIN above a USING (d, k) LEFT JOIN nodes p ON p.d = n.d - 1 AND
 )
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixes.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+@query()
+def op11_language_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores.score_documents(table(spark, sf_dir, "documents"))

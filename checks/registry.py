@@ -56,5 +56,5 @@ def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
 NUDGE = 1e-9
 
 
-def rounded_means(df: DataFrame, digits: int, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.round(F.col(c) + F.lit(NUDGE), digits) for c in columns})
+def rounded_means(df: DataFrame, digits: int, *columns: str, nudge: float = NUDGE) -> DataFrame:
+    return df.withColumns({c: F.round(F.col(c) + F.lit(nudge), digits) for c in columns})

@@ -11,11 +11,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .arima import fit_all
 from .series import fitted_once, spread
-from .smoothing import Smoothing, _fit_all, default_grid
+from .smoothing import Smoothing, default_grid, fit_prefixes
 
 
 class Forecaster(NamedTuple):
-    """Array of values in, array of ``h`` forecasts out, as a column function."""
+    """Array of values in, array of ``h`` forecasts out, as a column function.
+
+    A costly one takes the whole series and returns an array of such arrays, one for each prefix of at least one and
+    less than all values, so prefixes can share work.
+    """
 
     name: str
     forecast: Callable[[Column, int], Column]
@@ -37,17 +41,20 @@ def drift() -> Forecaster:
     return Forecaster("drift", forecast)
 
 
-def smoothing(grid: Iterable[Smoothing] | None = None, name: str = "ets") -> Forecaster:
-    """Exponential smoothing, chosen anew at each origin."""
+def smoothing(grid: Iterable[Smoothing] | None = None, name: str = "ets", refine: int | None = None) -> Forecaster:
+    """Exponential smoothing, chosen and refined anew at each origin, as :func:`loantide.forecast.smoothing.select_smoothing` does."""
     candidates = list(grid or default_grid())
+    passes = (0 if grid else 3) if refine is None else refine
 
     def forecast(y: Column, h: int) -> Column:
-        @F.pandas_udf("array<double>")
+        @F.pandas_udf("array<array<double>>")
         def run(values: pd.Series) -> pd.Series:
-            fits = _fit_all(values, candidates)
-            damping = np.cumsum(fits["phi"].to_numpy()[:, None] ** np.arange(1, h + 1), axis=1)
-            means = fits["level"].to_numpy()[:, None] + damping * fits["trend"].to_numpy()[:, None]
-            return pd.Series(list(means))
+            paths = []
+            for fits in fit_prefixes(list(values), candidates, passes):
+                fits = fits.iloc[:-1]
+                damping = np.cumsum(fits["phi"].to_numpy(float)[:, None] ** np.arange(1, h + 1), axis=1)
+                paths.append(list(fits["level"].to_numpy(float)[:, None] + damping * fits["trend"].to_numpy(float)[:, None]))
+            return pd.Series(paths)
 
         return fitted_once(run)(y)
 
@@ -55,12 +62,15 @@ def smoothing(grid: Iterable[Smoothing] | None = None, name: str = "ets") -> For
 
 
 def arima(max_p: int = 5, max_q: int = 5, max_order: int = 5) -> Forecaster:
-    """ARIMA, chosen anew at each origin."""
+    """ARIMA, chosen anew at each origin; the prefixes of all series of a batch are fitted together."""
 
     def forecast(y: Column, h: int) -> Column:
-        @F.pandas_udf("array<double>")
+        @F.pandas_udf("array<array<double>>")
         def run(values: pd.Series) -> pd.Series:
-            return pd.Series(list(fit_all(values, h, max_p, max_q, max_order)["mean"]))
+            prefixes = pd.Series([v[:n] for v in values for n in range(1, len(v))], dtype=object)
+            means = list(fit_all(prefixes, h, max_p, max_q, max_order)["mean"]) if len(prefixes) else []
+            ends = np.cumsum([0] + [max(0, len(v) - 1) for v in values])
+            return pd.Series([means[a:b] for a, b in zip(ends, ends[1:])])
 
         return fitted_once(run)(y)
 
@@ -73,20 +83,18 @@ def rolling_origin(df: DataFrame, keys: Sequence[str], forecaster: Forecaster, h
     One row per origin and step, which is the error table itself; steps past
     the end of the series have a NULL error.
     """
-    origins = (
-        df.where(F.size("y") > 1)
-        .withColumn("origin", F.explode(F.sequence(F.lit(1), F.size("y") - 1)))
-        .select(
-            *keys, "origin",
-            F.slice("y", F.lit(1), F.col("origin")).alias("_known"),
-            F.slice("y", F.col("origin") + 1, F.lit(h)).alias("_future"),
-        )
-    )
+    whole = df.where(F.size("y") > 1)
     if forecaster.costly:
-        origins = spread(origins, *keys, "origin")
-    forecasts = origins.withColumn("_forecast", forecaster.forecast(F.col("_known"), h))
-    return forecasts.select(
-        *keys, "origin", "_future", F.posexplode("_forecast").alias("_step", "forecast")
+        # One row per series and task: the forecasts of all prefixes come from one pass.
+        fitted = spread(whole, *keys, per_core=1).withColumn("_forecasts", forecaster.forecast(F.col("y"), h))
+        origins = fitted.select(*keys, "y", F.posexplode("_forecasts").alias("_at", "_forecast")).withColumn("origin", F.col("_at") + 1)
+    else:
+        origins = whole.withColumn("origin", F.explode(F.sequence(F.lit(1), F.size("y") - 1)))
+        known = F.slice("y", F.lit(1), F.col("origin"))
+        origins = origins.withColumn("_forecast", forecaster.forecast(known, h))
+    future = F.slice("y", F.col("origin") + 1, F.lit(h))
+    return origins.select(
+        *keys, "origin", future.alias("_future"), F.posexplode("_forecast").alias("_step", "forecast")
     ).select(
         *keys, "origin", (F.col("_step") + 1).alias("h"),
         (F.get("_future", F.col("_step")) - F.col("forecast")).alias("error"),

@@ -10,7 +10,7 @@ data from a zero state and on zero data from each unit state.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -118,15 +118,16 @@ STEPS = (0.05, 0.1, 0.03)
 BOUNDS = ((0.01, 0.99), (0.01, 0.99), (0.8, 0.98))
 
 
-def _run(y: np.ndarray, sizes: np.ndarray, grid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """States and error products of every series under every candidate, step by step.
+def _steps(y: np.ndarray, sizes: np.ndarray, grid: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """States and error products of every series under every candidate, after each step.
 
     ``y`` is series x steps, padded; a series past its end keeps its state. ``grid`` holds alpha, beta and phi, as
-    (1 or series) x candidates x 3. Returns states [2, 3, series, candidates] and products [6, series, candidates].
+    (1 or series) x candidates x 3. Yields states [2, 3, series, candidates] and products [6, series, candidates], which the
+    next step overwrites. What stands after a step is the fit of the series up to there.
     """
     rows, candidates = len(y), grid.shape[1]
-    level = np.zeros((3, rows, candidates))
-    slope = np.zeros((3, rows, candidates))
+    states = np.zeros((2, 3, rows, candidates))
+    level, slope = states
     level[1], slope[2] = 1.0, 1.0
     products = np.zeros((6, rows, candidates))
     for t in range(y.shape[1]):
@@ -139,16 +140,24 @@ def _run(y: np.ndarray, sizes: np.ndarray, grid: np.ndarray) -> tuple[np.ndarray
         slope[:, live] = phi * slope[:, live] + beta * errors
         for i, (a, b) in enumerate(((0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2))):
             products[i, live] += errors[a] * errors[b]
-    return np.stack([level, slope]), products
+        yield states, products
 
 
 def _choose(y: np.ndarray, sizes: np.ndarray, first: np.ndarray, grid: np.ndarray, models: np.ndarray) -> pd.DataFrame:
-    """Best candidate per series by AICc, earliest first among equals; ``y`` is relative to ``first``.
+    """Best candidate per series by AICc; ``y`` is relative to ``first``. See :func:`_judged`."""
+    *_, last = _steps(y, sizes, grid)
+    return _judged(*last, sizes, first, grid, models)
+
+
+def _judged(
+    states: np.ndarray, products: np.ndarray, sizes: np.ndarray, first: np.ndarray, grid: np.ndarray, models: np.ndarray
+) -> pd.DataFrame:
+    """Best candidate per series by AICc, earliest first among equals, from states and products after ``sizes`` steps.
 
     ``grid`` and ``models`` have a row per series, or one for all. A series too short for any candidate gets the quickest
     simple one, which nearly repeats its last value.
     """
-    states, (yy, yl, yb, ll, lb, bb) = _run(y, sizes, grid)
+    yy, yl, yb, ll, lb, bb = products
     flat = models == "simple"
     size = np.select([flat, models == "trend"], [2, 4], 5)
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -164,12 +173,12 @@ def _choose(y: np.ndarray, sizes: np.ndarray, first: np.ndarray, grid: np.ndarra
     aicc = np.where(usable, aicc, np.inf)
     quickest = np.where(flat, grid[..., 0], -1.0).argmax(axis=1)
     best = np.where(usable.any(axis=1), aicc.argmin(axis=1), quickest)
-    pick = np.arange(len(y)), best
+    pick = np.arange(len(sizes)), best
     l0, b0 = np.nan_to_num(level0[pick]), np.nan_to_num(trend0[pick])
     level, slope = (
         base + s[0][pick] + l0 * s[1][pick] + b0 * s[2][pick] for base, s in zip((first, 0.0), states)
     )
-    row = np.arange(len(y)) % len(grid) if len(grid) > 1 else np.zeros(len(y), int)
+    row = np.arange(len(sizes)) if len(grid) > 1 else np.zeros(len(sizes), int)
     alpha, beta, phi = grid[row, best].T
     return pd.DataFrame(
         {
@@ -206,27 +215,83 @@ def _residuals(y: np.ndarray, fits: pd.DataFrame) -> np.ndarray:
     return out
 
 
+def _refined(near: pd.DataFrame, fit: pd.DataFrame) -> pd.DataFrame:
+    """The better of both choices; a series too short for any candidate, or fitted without error, keeps its first one."""
+    return near.where(np.isfinite(fit["aicc"]) & (near["aicc"] <= fit["aicc"]), fit)
+
+
+def _padded(values: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Series as rows relative to their first values, their lengths, and these values."""
+    part = [np.asarray(v, dtype=float) for v in values]
+    sizes = np.array([len(v) for v in part])
+    padded = np.zeros((len(part), sizes.max(initial=1)))
+    for row, v in zip(padded, part):
+        row[: len(v)] = v - v[0]
+    return padded, sizes, np.array([v[0] for v in part])
+
+
 def _fit_all(values: pd.Series, grid: list[Smoothing], refine: int = 0, block: int = 500) -> pd.DataFrame:
     """Fits of a batch of arrays, some hundred series at a time."""
-    weights, models = np.array([[g[1:] for g in grid]]), np.array([[g.model for g in grid]], dtype=object)
+    weights, models = _as_arrays(grid)
     fits = []
     for begin in range(0, len(values), block):
-        part = [np.asarray(v, dtype=float) for v in values.iloc[begin : begin + block]]
-        sizes = np.array([len(v) for v in part])
-        padded = np.zeros((len(part), sizes.max(initial=1)))
-        for row, v in zip(padded, part):
-            row[: len(v)] = v - v[0]
-        first = np.array([v[0] for v in part])
+        padded, sizes, first = _padded(list(values.iloc[begin : begin + block]))
         fit = _choose(padded, sizes, first, weights, models)
         for halving in range(1, refine + 1):
-            near = _choose(padded, sizes, first, *_around(fit, halving))
-            # A series too short for any candidate keeps its first choice.
-            fit = near.where(np.isfinite(fit["aicc"]) & (near["aicc"] <= fit["aicc"]), fit)
+            fit = _refined(_choose(padded, sizes, first, *_around(fit, halving)), fit)
         fit["residuals"] = [r[:n] for r, n in zip(_residuals(padded, fit), sizes)]
         fits.append(fit.drop(columns=["start_level", "start_trend"]))
     return pd.concat(fits, ignore_index=True)
 
 
+def _as_arrays(grid: list[Smoothing]) -> tuple[np.ndarray, np.ndarray]:
+    return np.array([[g[1:] for g in grid]]), np.array([[g.model for g in grid]], dtype=object)
+
+
+def fit_prefixes(values: list, grid: list[Smoothing], refine: int = 0, block: int = 100) -> list[pd.DataFrame]:
+    """For each array the fits of all its prefixes, one row per length from 1 on, as if each were fitted alone.
+
+    Prefixes share their recursions: the states after a step are the fit of the prefix that ends there, so a candidate runs over a series once
+    for all prefixes that try it. Neighbouring prefixes mostly choose alike, so refinement too runs once per distinct choice.
+    """
+    weights, models = _as_arrays(grid)
+    out = []
+    for begin in range(0, len(values), block):
+        padded, sizes, first = _padded(values[begin : begin + block])
+        series = np.repeat(np.arange(len(sizes)), sizes)
+        length = np.concatenate([np.arange(1, n + 1) for n in sizes])
+        steps = []
+        for t, (states, products) in enumerate(_steps(padded, sizes, weights), 1):
+            live = np.flatnonzero(sizes >= t)
+            found = _judged(states[:, :, live], products[:, live], np.full(len(live), t), first[live], weights, models)
+            steps.append(found.assign(series=live))
+        fit = pd.concat(steps, ignore_index=True).sort_values(["series", "n"], kind="stable", ignore_index=True)
+        for halving in range(1, refine + 1):
+            choice = fit.groupby(["series", "model", "alpha", "beta", "phi"], sort=False)
+            run = choice.ngroup().to_numpy()
+            heads = choice.head(1)
+            own = heads["series"].to_numpy()
+            around, kinds = _around(heads, halving)
+            # A run ends with the longest prefix that made its choice.
+            until = np.zeros(len(own), int)
+            np.maximum.at(until, run, length)
+            at_step = pd.Series(np.arange(len(fit))).groupby(length).indices
+            near = []
+            for t, (states, products) in enumerate(_steps(padded[own], until, around), 1):
+                wanted = at_step.get(t)
+                if wanted is not None:
+                    rows = run[wanted]
+                    candidates, names = around[rows], kinds[rows]
+                    if len(rows) == 1:  # a single row of candidates counts as one for all, which is the same
+                        candidates, names = candidates[:1], names[:1]
+                    found = _judged(states[:, :, rows], products[:, rows], np.full(len(rows), t), first[own[rows]], candidates, names)
+                    near.append(found.assign(series=series[wanted]).set_index(wanted))
+            near = pd.concat(near).sort_index()
+            fit = _refined(near[fit.columns], fit)
+        out += [part.drop(columns="series").reset_index(drop=True) for _, part in fit.groupby("series")]
+    return out
+
+
 def select_smoothing(
     df: DataFrame, keys: list[str], grid: Iterable[Smoothing] | None = None, refine: int | None = None
 ) -> DataFrame:

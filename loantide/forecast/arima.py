@@ -105,16 +105,22 @@ def fit_arma_batch(x: np.ndarray, p: int, q: int, steps: int = 30) -> tuple[np.n
         gram[:, edge, edge] = np.where(diagonal > 0, diagonal * (1 + 1e-10), 1.0) + 1e-12 * diagonal.max(axis=1, keepdims=True)
         move = np.linalg.solve(gram, np.einsum("tsi,ts->si", design, now)[..., None])[..., 0]
         last, open_ = before[active], np.arange(len(active))
-        for halving in range(8):
-            trial = own[open_] + move[open_] / 2**halving
-            fine = _inside(trial[:, :p]) & _inside(-trial[:, p:]) & np.isfinite(trial).all(axis=1)
-            tried = open_[fine]
-            after = _errors(known[:, :, tried], trial[fine][:, :p], trial[fine][:, p:])
+        # The whole step first; where it does not improve, all halvings side by side, of which the longest that does counts.
+        for halvings in (np.ones(1), 0.5 ** np.arange(1, 8)):
+            trial = own[open_, None] + move[open_, None] * halvings[:, None]
+            trial = trial.reshape(-1, p + q)
+            tried = np.repeat(open_, len(halvings))
+            fine = np.flatnonzero(_inside(trial[:, :p]) & _inside(-trial[:, p:]) & np.isfinite(trial).all(axis=1))
+            trial, tried = trial[fine], tried[fine]
+            after = _errors(known[:, :, tried], trial[:, :p], trial[:, p:])
             squares = np.einsum("ts,ts->s", after, after)
-            better = squares < before[active[tried]]
-            done = active[tried[better]]
-            params[done], errors[:, done], before[done] = trial[fine][better], after[:, better], squares[better]
-            open_ = np.setdiff1d(open_, tried[better])
+            better = np.flatnonzero(squares < before[active[tried]])
+            moved, first = np.unique(tried[better], return_index=True)
+            taken, done = better[first], active[moved]
+            params[done], errors[:, done], before[done] = trial[taken], after[:, taken], squares[taken]
+            left = np.ones(len(active), bool)
+            left[moved] = False
+            open_ = open_[left[open_]]
             if not len(open_):
                 break
         active = active[last - before[active] > 1e-8 * last]

@@ -17,13 +17,14 @@ from .smoothing import Smoothing, default_grid, fit_prefixes
 class Forecaster(NamedTuple):
     """Array of values in, array of ``h`` forecasts out, as a column function.
 
-    A costly one takes the whole series and returns an array of such arrays, one for each prefix of at least one and
-    less than all values, so prefixes can share work.
+    One with ``prefixes`` takes the whole series and returns an array of such arrays, one for each prefix of at least one and
+    less than all values, so prefixes share work. A costly one is spread over all cores, origin by origin.
     """
 
     name: str
     forecast: Callable[[Column, int], Column]
     costly: bool = False
+    prefixes: bool = False
 
 
 def naive() -> Forecaster:
@@ -58,19 +59,16 @@ def smoothing(grid: Iterable[Smoothing] | None = None, name: str = "ets", refine
 
         return fitted_once(run)(y)
 
-    return Forecaster(name, forecast, costly=True)
+    return Forecaster(name, forecast, prefixes=True)
 
 
 def arima(max_p: int = 5, max_q: int = 5, max_order: int = 5) -> Forecaster:
-    """ARIMA, chosen anew at each origin; the prefixes of all series of a batch are fitted together."""
+    """ARIMA, chosen anew at each origin; all origins of a task are fitted together."""
 
     def forecast(y: Column, h: int) -> Column:
-        @F.pandas_udf("array<array<double>>")
+        @F.pandas_udf("array<double>")
         def run(values: pd.Series) -> pd.Series:
-            prefixes = pd.Series([v[:n] for v in values for n in range(1, len(v))], dtype=object)
-            means = list(fit_all(prefixes, h, max_p, max_q, max_order)["mean"]) if len(prefixes) else []
-            ends = np.cumsum([0] + [max(0, len(v) - 1) for v in values])
-            return pd.Series([means[a:b] for a, b in zip(ends, ends[1:])])
+            return pd.Series(list(fit_all(values, h, max_p, max_q, max_order)["mean"]))
 
         return fitted_once(run)(y)
 
@@ -84,12 +82,14 @@ def rolling_origin(df: DataFrame, keys: Sequence[str], forecaster: Forecaster, h
     the end of the series have a NULL error.
     """
     whole = df.where(F.size("y") > 1)
-    if forecaster.costly:
-        # One row per series and task: the forecasts of all prefixes come from one pass.
+    if forecaster.prefixes:
+        # One row per series: the forecasts of all its prefixes come from one pass.
         fitted = spread(whole, *keys, per_core=1).withColumn("_forecasts", forecaster.forecast(F.col("y"), h))
         origins = fitted.select(*keys, "y", F.posexplode("_forecasts").alias("_at", "_forecast")).withColumn("origin", F.col("_at") + 1)
     else:
         origins = whole.withColumn("origin", F.explode(F.sequence(F.lit(1), F.size("y") - 1)))
+        if forecaster.costly:
+            origins = spread(origins, *keys, "origin", per_core=1)
         known = F.slice("y", F.lit(1), F.col("origin"))
         origins = origins.withColumn("_forecast", forecaster.forecast(known, h))
     future = F.slice("y", F.col("origin") + 1, F.lit(h))

@@ -323,3 +323,19 @@ def test_refinement_only_improves(spark):
     for k, row in fine.items():
         assert len(row.residuals) == len(series[k]) and 0 < row.alpha < 1 and row.beta <= row.alpha
         assert sum(e * e for e in row.residuals) == pytest.approx(row.sse, rel=1e-6, abs=1e-9)
+
+
+def test_prefixes_share_their_recursions():
+    """Fits of all prefixes from one pass equal those of each prefix alone, refinement included."""
+    import pandas as pd
+
+    rng = np.random.default_rng(31)
+    values = [50 + rng.normal(0.3 * (i % 3), 1, n).cumsum() for i, n in enumerate((1, 2, 5, 9, 24, 40))] + [np.full(9, 3.0), np.arange(10.0)]
+    grid = smoothing.default_grid()
+    for refine in (0, 3):
+        for y, fits in zip(values, smoothing.fit_prefixes(values, grid, refine, block=3)):
+            assert list(fits["n"]) == list(range(1, len(y) + 1))
+            alone = smoothing._fit_all(pd.Series([y[:n] for n in range(1, len(y) + 1)]), grid, refine)
+            assert list(fits["model"]) == list(alone["model"])
+            for column in ("alpha", "beta", "phi", "level", "trend", "sse", "aicc"):
+                assert list(fits[column].astype(float)) == pytest.approx(list(alone[column].astype(float)), rel=1e-12, abs=1e-12), column

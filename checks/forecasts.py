@@ -166,6 +166,49 @@ def f02_arima_with_selection(spark, sf):
     return rounded(fits.select(BRAND, "p", "d", "q", "parameters", "sigma2", "aicc"), 4, "sigma2", "aicc")
 
 
+ARMA = {"ar(1)": (0.5, 0.0), "arma(1,1)": (0.5, 0.3), "ma(1)": (0.0, 0.4)}
+# The filter with two states, on values and on ones; the state's covariance starts in its closed form.
+FILTER = f"""
+weights(model, f, m) AS (VALUES {", ".join(f"('{k}', CAST({f} AS DOUBLE), CAST({m} AS DOUBLE))" for k, (f, m) in ARMA.items())}),
+steps AS (
+  SELECT {B}, t - 1 AS t, x FROM (SELECT {B}, t, y - lag(y) OVER (PARTITION BY {B} ORDER BY t) AS x FROM series) WHERE x IS NOT NULL
+),
+fold AS (
+  SELECT {B}, model, f, m, 0 AS t, CAST(0 AS DOUBLE) AS a0, CAST(0 AS DOUBLE) AS a1, CAST(0 AS DOUBLE) AS o0, CAST(0 AS DOUBLE) AS o1,
+         (1 + 2 * f * m + m * m) / (1 - f * f) AS p00, m AS p01, m * m AS p11,
+         CAST(0 AS DOUBLE) AS yy, CAST(0 AS DOUBLE) AS yo, CAST(0 AS DOUBLE) AS oo, CAST(0 AS DOUBLE) AS logs
+  FROM (SELECT DISTINCT {B} FROM steps) CROSS JOIN weights
+  UNION ALL
+  SELECT {B}, model, f, m, t + 1, f * (a0 + v) + a1 + k1 * v, CAST(0 AS DOUBLE), f * (o0 + w) + o1 + k1 * w, CAST(0 AS DOUBLE),
+         q11 + 1, m, m * m, yy + v * v / p00, yo + v * w / p00, oo + w * w / p00, logs + ln(p00)
+  FROM (SELECT *, x - a0 AS v, 1 - o0 AS w, p01 / p00 AS k1, p11 - p01 * p01 / p00 AS q11
+        FROM (SELECT g.*, s.x FROM fold g JOIN steps s ON s.{B} = g.{B} AND s.t = g.t + 1))
+),
+ended AS (SELECT * FROM fold WHERE t > 1 QUALIFY row_number() OVER (PARTITION BY {B}, model ORDER BY t DESC) = 1)"""
+
+
+@check(
+    series_sql(), FILTER,
+    sql=f"""SELECT {B}, model, CAST(t AS INTEGER) AS n, round(yo / oo, 3) + 0.0 AS constant, round((yy - yo * yo / oo) / t / 1000, 3) + 0.0 AS sigma2,
+            round(-0.5 * (t * (ln(2 * pi() * (yy - yo * yo / oo) / t) + 1) + logs), 5) + 0.0 AS log_likelihood FROM ended""",
+)
+def f02_exact_likelihood(spark, sf):
+    """Of the monthly steps, under fixed weights, with mean and variance of greatest likelihood."""
+    series = arrays(spark, sf)
+    found = stack_by_name(*[
+        arima.exact_likelihood(series, [BRAND], [f], [m], d=1).withColumn("model", F.lit(name)) for name, (f, m) in ARMA.items()
+    ])
+    found = found.where("n > 1").select(BRAND, "model", "n", "constant", (F.col("sigma2") / 1000).alias("sigma2"), "log_likelihood")
+    return rounded(rounded(found, 3, "constant", "sigma2"), 5, "log_likelihood")
+
+
+@check()
+def f02_arima_by_exact_likelihood(spark, sf):
+    """No twin: the weights come from an iterative search; the filter has one (f02_exact_likelihood)."""
+    fits = arima.select_arima(arrays(spark, sf), [BRAND], 17, max_p=2, max_q=2, max_order=3, method="exact")
+    return rounded(fits.select(BRAND, "p", "d", "q", "parameters", "sigma2", "aicc"), 4, "sigma2", "aicc")
+
+
 @check(
     series_sql(), fold_sql(FIXED),
     f"""steps AS (

@@ -1,8 +1,8 @@
-"""ARIMA with order selection, fitted by conditional least squares.
+"""ARIMA with order selection, fitted by conditional least squares or exact likelihood.
 
-Differences by the KPSS level test, orders by AICc over a small grid, weights
-by Gauss-Newton on the one-step errors (Hyndman & Khandakar 2008). Values
-before the start count as zero after centring, so all orders share one sample.
+Differences by the KPSS level test, orders by AICc over a small grid (Hyndman & Khandakar 2008). Conditional weights come
+by Gauss-Newton on the one-step errors; values before the start count as zero after centring, so all orders share one
+sample. Exact ones start there and maximise the likelihood of :mod:`.likelihood`.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from .likelihood import Filtered, maximised
 from .series import fitted_once, spread, with_intervals
 
 # Fixed value: 5 % point of the KPSS statistic around a level.
@@ -226,21 +227,102 @@ def fit_block(values: list[np.ndarray], h: int, max_p: int = 5, max_q: int = 5,
     )
 
 
-def fit_all(values: pd.Series, h: int, max_p: int = 5, max_q: int = 5, max_order: int = 5, block: int = 500) -> pd.DataFrame:
+def fit_block_exactly(values: list[np.ndarray], h: int, max_p: int = 5, max_q: int = 5, max_order: int = 5) -> pd.DataFrame:
+    """Like :func:`fit_block`, with weights, mean, variance and AICc of the exact likelihood.
+
+    Series of one differenced length are filtered together. The rule for short series is the same; those too short for any order are fitted as
+    there.
+    """
+    rows = len(values)
+    d = np.array([differences_needed(y) for y in values])
+    parts = [np.diff(y, k) for y, k in zip(values, d)]
+    out = fit_block(values, h, max_p, max_q, max_order)
+    best, chosen = np.full(rows, np.inf), {}
+    n = np.array([len(w) for w in parts])
+    for length in np.unique(n):
+        same = np.flatnonzero(n == length)
+        x = np.stack([parts[i] for i in same], axis=1)
+        for constant in (True, False):
+            centred = x - x.mean(axis=0) if constant else x
+            for p in range(max_p + 1):
+                for q in range(min(max_q, max_order - p) + 1):
+                    k = p + q + constant + 1
+                    able = np.flatnonzero((length > max(3, k + 1)) & ((d[same] < 2) | (not constant)) & ((x * x).sum(axis=0) > 0))
+                    if not len(able):
+                        continue
+                    ar, ma, _ = fit_arma_batch(centred[:, able], p, q)
+                    ar, ma, found = maximised(x[:, able], ar, ma, np.full(len(able), constant))
+                    aicc = -2 * found.log_likelihood + 2 * k + 2 * k * (k + 1) / (length - k - 1)
+                    path = found.path(h)
+                    for j in np.flatnonzero(np.isfinite(aicc) & (aicc < best[same[able]] - 1e-9)):
+                        i = same[able[j]]
+                        best[i] = aicc[j]
+                        mean, variance = _integrated(values[i], int(d[i]), path[j], ar[j], ma[j], found.sigma2[j])
+                        chosen[i] = {
+                            "p": p, "q": q, "constant": found.mean[j], "ar": ar[j], "ma": ma[j], "parameters": p + q + constant,
+                            "sigma2": found.sigma2[j], "aicc": aicc[j], "residuals": found.errors[:, j], "mean": mean, "variance": variance,
+                        }
+    rows = out.to_dict("records")
+    return pd.DataFrame([row | chosen.get(i, {}) for i, row in enumerate(rows)], columns=out.columns)
+
+
+def _integrated(y: np.ndarray, d: int, path: np.ndarray, ar: np.ndarray, ma: np.ndarray, sigma2: float) -> tuple[np.ndarray, np.ndarray]:
+    """Means and variances of the values from means of their differences."""
+    ends = np.array([[np.diff(y, k)[-1] if len(y) > k else 0.0 for k in (0, 1)]])
+    nothing = np.zeros((1, 1))
+    _, growth = _project(ends, np.array([d]), np.zeros(1), ar[None], ma[None], nothing, nothing, len(path))
+    for level in range(d - 1, -1, -1):
+        path = ends[0, level] + np.cumsum(path)
+    return path, sigma2 * growth[0]
+
+
+def exact_likelihood(df: DataFrame, keys: list[str], ar: list[float], ma: list[float], d: int = 0, mean: bool = True) -> DataFrame:
+    """Exact log-likelihood of the array column ``y``, differenced ``d`` times, under given weights: n, constant, sigma2, log_likelihood.
+
+    The mean (0 if ``mean`` is false) and variance are those of greatest likelihood. Series with fewer than two differenced values give NULLs.
+    """
+
+    @F.pandas_udf("n int, constant double, sigma2 double, log_likelihood double")
+    def run(values: pd.Series) -> pd.DataFrame:
+        rows = []
+        for y in values:
+            x = np.diff(np.asarray(y, float), d)
+            if len(x) < 2:
+                rows.append((len(x), None, None, None))
+                continue
+            found = Filtered(x[:, None], np.array([ar], float), np.array([ma], float), np.array([mean]))
+            rows.append((len(x), found.mean[0], found.sigma2[0], found.log_likelihood[0]))
+        return pd.DataFrame(rows, columns=["n", "constant", "sigma2", "log_likelihood"])
+
+    return spread(df, *keys, per_core=1).withColumn("_fit", fitted_once(run)("y")).select(*df.columns, "_fit.*")
+
+
+#: How weights are found.
+METHODS = {"conditional": fit_block, "exact": fit_block_exactly}
+
+
+def fit_all(
+    values: pd.Series, h: int, max_p: int = 5, max_q: int = 5, max_order: int = 5, block: int = 500, method: str = "conditional"
+) -> pd.DataFrame:
     """Fits of a batch of arrays, some hundred series at a time."""
     parts = [
-        fit_block([np.asarray(v, dtype=float) for v in values.iloc[at : at + block]], h, max_p, max_q, max_order)
+        METHODS[method]([np.asarray(v, dtype=float) for v in values.iloc[at : at + block]], h, max_p, max_q, max_order)
         for at in range(0, len(values), block)
     ]
     return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=[f.split()[0] for f in FIT_SCHEMA.split(", ")])
 
 
-def select_arima(df: DataFrame, keys: list[str], h: int, max_p: int = 5, max_q: int = 5, max_order: int = 5) -> DataFrame:
-    """Fit the array column ``y`` of every series, with forecast arrays ``mean`` and ``variance``; see :func:`fit_block`."""
+def select_arima(
+    df: DataFrame, keys: list[str], h: int, max_p: int = 5, max_q: int = 5, max_order: int = 5, method: str = "conditional"
+) -> DataFrame:
+    """Fit the array column ``y`` of every series, with forecast arrays ``mean`` and ``variance``; see :func:`fit_block`.
+
+    ``method`` is ``conditional`` (least squares) or ``exact`` (likelihood).
+    """
 
     @F.pandas_udf(FIT_SCHEMA)
     def fit(y: pd.Series) -> pd.DataFrame:
-        return fit_all(y, h, max_p, max_q, max_order)
+        return fit_all(y, h, max_p, max_q, max_order, method=method)
 
     return spread(df, *keys, per_core=1).withColumn("_fit", fitted_once(fit)("y")).select(*df.columns, "_fit.*")
 

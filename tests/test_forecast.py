@@ -339,3 +339,79 @@ def test_prefixes_share_their_recursions():
             assert list(fits["model"]) == list(alone["model"])
             for column in ("alpha", "beta", "phi", "level", "trend", "sse", "aicc"):
                 assert list(fits[column].astype(float)) == pytest.approx(list(alone[column].astype(float)), rel=1e-12, abs=1e-12), column
+
+
+def arma_density(x, ar, ma, mean, sigma2):
+    """Log density of the multivariate normal whose covariances are those of the process, from its long moving-average form."""
+    psi = np.zeros(4000)
+    for k in range(len(psi)):
+        psi[k] = (k == 0) + (ma[k - 1] if 0 < k <= len(ma) else 0) + sum(a * psi[k - i] for i, a in enumerate(ar, 1) if k >= i)
+    n = len(x)
+    gamma = np.array([psi[: len(psi) - k] @ psi[k:] for k in range(n)])
+    cov = sigma2 * gamma[np.abs(np.subtract.outer(np.arange(n), np.arange(n)))]
+    e = x - mean
+    return -0.5 * (n * np.log(2 * np.pi) + np.linalg.slogdet(cov)[1] + e @ np.linalg.solve(cov, e))
+
+
+@pytest.mark.parametrize("ar, ma", [((), ()), ((0.6,), ()), ((), (0.5,)), ((0.5,), (-0.4,)), ((1.1, -0.3), (0.4, 0.2)), ((), (0.3, -0.2, 0.1)), ((0.2, 0.1, -0.5), ())])
+def test_exact_likelihood_equals_the_normal_density(spark, ar, ma):
+    from loantide.forecast.likelihood import Filtered
+
+    x = np.random.default_rng(4).normal(2, 3, 14)
+    for with_mean in (True, False):
+        found = Filtered(np.stack([x, x[::-1] + 1], axis=1), np.array([ar, ar]), np.array([ma, ma]), np.array([with_mean] * 2))
+        for j, own in enumerate((x, x[::-1] + 1)):
+            exact = arma_density(own, ar, ma, found.mean[j], found.sigma2[j])
+            assert found.log_likelihood[j] == pytest.approx(exact, rel=1e-9)
+            for other in (found.sigma2[j] * 1.01, found.sigma2[j] * 0.99):
+                assert arma_density(own, ar, ma, found.mean[j], other) < exact
+            if with_mean:
+                assert max(arma_density(own, ar, ma, found.mean[j] + m, found.sigma2[j]) for m in (-0.01, 0.01)) < exact
+    row = arima.exact_likelihood(arrays(spark, a=np.cumsum(x), b=[1.0]), ["s"], list(ar), list(ma), d=1).orderBy("s").collect()
+    alone = Filtered(x[1:, None], np.array([ar]), np.array([ma]), np.array([True]))
+    assert row[0].log_likelihood == pytest.approx(alone.log_likelihood[0]) and row[1].log_likelihood is None
+
+
+def test_free_numbers_map_inside_the_circle_and_back():
+    from loantide.forecast.likelihood import free_of, weights_of
+
+    free = np.random.default_rng(2).uniform(-2, 2, (200, 4))
+    weights = weights_of(free)
+    assert free_of(weights) == pytest.approx(free, rel=1e-6, abs=1e-6)
+    for w in weights:
+        assert np.abs(np.roots(np.concatenate([[1.0], -w]))).max() < 1
+
+
+def test_exact_fits_find_the_weights_and_improve_on_conditional_ones():
+    from loantide.forecast.likelihood import Filtered
+
+    e = np.random.default_rng(11).normal(size=400)
+    y = np.zeros(400)
+    for t in range(1, 400):
+        y[t] = 0.7 * y[t - 1] + e[t] + 0.4 * e[t - 1]
+    short = y[:30] + 5
+    fits = arima.fit_block_exactly([y, short], 6, 2, 2, 3)
+    assert (fits.p[0], fits.d[0]) == (1, 0) and fits.ar[0][0] == pytest.approx(0.7, abs=0.1) and fits.ma[0][0] == pytest.approx(0.4, abs=0.12)
+    for series, order in ((y, (1, 1)), (short, (1, 1)), (short, (2, 1))):
+        x = series[:, None]
+        ar, ma, _ = arima.fit_arma_batch(x - x.mean(), *order)
+        conditional = Filtered(x, ar, ma, np.array([True])).log_likelihood[0]
+        a, m, found = arima.maximised(x, ar, ma, np.array([True]))
+        assert found.log_likelihood[0] >= conditional
+        for i in range(sum(order)):  # no weight can be moved to advantage
+            for move in (-1e-3, 1e-3):
+                own = np.concatenate([a, m], axis=1)
+                own[0, i] += move
+                assert Filtered(x, own[:, : order[0]], own[:, order[0] :], np.array([True])).log_likelihood[0] <= found.log_likelihood[0] + 1e-6
+    # A random walk repeats its last value; its intervals grow with the root of the step.
+    walk = np.cumsum(np.random.default_rng(3).normal(size=60))
+    row = arima.fit_block_exactly([walk], 4, 0, 0, 0).iloc[0]
+    steps = row.sigma2 * np.arange(1, 5)
+    assert row.d == 1 and row.variance == pytest.approx(steps) and row["mean"] == pytest.approx(walk[-1] + row.constant * np.arange(1, 5))
+
+
+def test_exact_fits_of_short_and_constant_series(spark):
+    held = arrays(spark, a=[5], b=[1, 2], c=[2.0] * 9, d=[1, 4, 2, 8, 5, 7, 1, 3, 9, 4, 6], e=[3, 3, 3])
+    rows = {r.s: r for r in arima.select_arima(held, ["s"], 3, 1, 1, 2, method="exact").collect()}
+    assert len(rows) == 5 and all(len(r["mean"]) == 3 and all(np.isfinite(r["mean"])) for r in rows.values())
+    assert rows["a"]["mean"] == [5, 5, 5] and rows["c"]["mean"] == [2, 2, 2]

@@ -44,6 +44,8 @@ NAME_WEIGHTS = {
 #: Weight from which a name is strongly sensitive: quoted literals with white space count too.
 STRONG = 0.9
 _SENSITIVE = ("passw", "passphrase", "pwd", "secret", "token", "key", "credential", "auth")
+_PLACEHOLDER_WORD = re.compile(r"example|sample|change_?me|placeholder|dummy|your|todo", re.I)
+_FILLER = re.compile(r"[x*.]*$", re.I)
 _PLACEHOLDER = re.compile(r"example|sample|change_?me|placeholder|dummy|your|todo|^[x*.]+$|^<.*>$|^\$\{.*\}$|^%\(.*\)", re.I)
 _TERM = r"\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'|[^\s,;\"'+(){}\[\]<>]++"
 _PAIR = re.compile(
@@ -80,34 +82,144 @@ def _pairs(text: str) -> Iterator[tuple[str, list[tuple[int, int, bool]]]]:
         yield m.group(1), terms
 
 
+class _Value:
+    """What the score of a concatenation needs, from its parts in order: length, letters, and whether it looks like a placeholder."""
+
+    __slots__ = ("length", "letters", "spaced", "named", "filler", "head", "tail")
+
+    def __init__(self) -> None:
+        self.length, self.letters, self.spaced, self.named, self.filler, self.head, self.tail = 0.0, Counter(), False, False, True, "", ""
+
+    def add_text(self, part: str) -> None:
+        self.length += len(part)
+        self.letters.update(part)
+        self.spaced |= any(c.isspace() for c in part)
+        self.named |= _PLACEHOLDER_WORD.search(part) is not None
+        self.filler &= _FILLER.match(part) is not None
+        self.head, self.tail = (self.head + part[:2])[:2], (self.tail + part[-1:])[-1:]
+
+    def add(self, other: _Value) -> None:
+        self.length += other.length
+        self.letters.update(other.letters)
+        self.spaced |= other.spaced
+        self.named |= other.named
+        self.filler &= other.filler
+        self.head, self.tail = (self.head + other.head)[:2], (self.tail + other.tail)[-1:]
+        if self.length > 1e12:  # doubled over and over; only the shares of letters count
+            self.length /= 1e12
+            self.letters = Counter({c: n / 1e12 for c, n in self.letters.items()})
+            self.length = max(self.length, 8.0)
+
+    def score(self, spaced: bool) -> float:
+        """As :func:`literal_score` of the whole."""
+        wrapped = (self.head[:1], self.tail) == ("<", ">") or (self.head, self.tail) == ("${", "}") or self.head == "%("
+        if self.length < 8 or self.named or self.filler or wrapped or self.spaced and not spaced:
+            return 0.0
+        total = sum(self.letters.values())
+        return min(1.0, -sum(c / total * math.log2(c / total) for c in self.letters.values() if c) / 3.5)
+
+
+def _assignments(text: str) -> tuple[list[str], list[list]]:
+    """Names, and for each assignment its terms: spans of literals, and numbers of the assignments that names stand for.
+
+    A name stands for its latest assignment above, or, where there is none, for its last one below.
+    """
+    pairs = list(_pairs(text))
+    last = {name: at for at, (name, _) in enumerate(pairs)}
+    latest: dict[str, int] = {}
+    terms = []
+    for at, (name, own) in enumerate(pairs):
+        found: dict = {}
+        for start, end, quoted in own:
+            word = text[start:end]
+            if not quoted and word in last and _NAME.match(word):
+                found[latest.get(word, last[word])] = None
+            else:
+                found[start, end] = None
+        terms.append(list(found))
+        latest[name] = at
+    return [name for name, _ in pairs], terms
+
+
+def _groups(terms: list[list], roots: list[int]) -> tuple[list[list[int]], dict[int, int]]:
+    """Assignments that the roots reach, in groups that refer to one another, referred ones first; and the group of each (Tarjan 1972)."""
+    number: dict[int, int] = {}
+    low: dict[int, int] = {}
+    group: dict[int, int] = {}
+    groups: list[list[int]] = []
+    open_: list[int] = []
+    for root in roots:
+        if root in number:
+            continue
+        walk = [(root, iter(terms[root]))]
+        number[root] = low[root] = len(number)
+        open_.append(root)
+        while walk:
+            at, rest = walk[-1]
+            for to in rest:
+                if isinstance(to, int):
+                    if to not in number:
+                        number[to] = low[to] = len(number)
+                        open_.append(to)
+                        walk.append((to, iter(terms[to])))
+                        break
+                    if to not in group:
+                        low[at] = min(low[at], number[to])
+            else:
+                walk.pop()
+                if walk:
+                    low[walk[-1][0]] = min(low[walk[-1][0]], low[at])
+                if low[at] == number[at]:
+                    members = []
+                    while not members or members[-1] != at:
+                        members.append(open_.pop())
+                        group[members[-1]] = len(groups)
+                    groups.append(sorted(members))
+    return groups, group
+
+
 def literal_spans(text: str, threshold: float) -> list[tuple[int, int, float]]:
-    """Literals that reach a sensitive name, straight or through constants; strongly sensitive names take spaced ones too."""
-    held: dict[str, dict[tuple[int, int], None]] = {}
+    """Literals that reach a sensitive name, straight or through constants; strongly sensitive names take spaced ones too.
+
+    Names form a graph of assignments. Those that refer to one another in a circle share all their literals. Each assignment that a sensitive name
+    needs is valued once, from the values of what it refers to, and each literal takes the greatest score of the names that it reaches: the
+    work follows the text's length, however constants are chained.
+    """
+    names, terms = _assignments(text)
+    weights = {name: name_score(name) for name in set(names)}
+    roots = [at for at, name in enumerate(names) if weights[name] and terms[at]]
+    groups, group = _groups(terms, roots)
+    values: list[_Value] = []
+    for number, members in enumerate(groups):
+        value = _Value()
+        for at in members:
+            for term in terms[at]:
+                if not isinstance(term, int):
+                    value.add_text(text[term[0] : term[1]])
+                elif group[term] != number:
+                    value.add(values[group[term]])
+        values.append(value)
+    scored: dict[int, float] = {}
+    for at in roots:
+        weight = weights[names[at]]
+        score = weight * values[group[at]].score(weight >= STRONG)
+        if score >= threshold:
+            scored[group[at]] = max(score, scored.get(group[at], 0.0))
     found: dict[tuple[int, int], float] = {}
-    pairs = list(_pairs(text))
-    seen: set[tuple[int, tuple[tuple[int, int], ...]]] = set()
-    before = -1
-    while len(seen) > before:  # later passes see names that are assigned further down, until an assignment takes nothing new
-        before = len(seen)
-        for at, (name, terms) in enumerate(pairs):
-            parts: dict[tuple[int, int], None] = {}
-            for start, end, quoted in terms:
-                word = text[start:end]
-                if not quoted and word in held and _NAME.match(word):
-                    parts.update(held[word])
-                else:
-                    parts[start, end] = None
-            held[name] = parts
-            state = (at, tuple(parts))
-            if state in seen:
+    seen: set[int] = set()
+    for start, score in sorted(scored.items(), key=lambda x: -x[1]):
+        walk = [start]
+        while walk:
+            number = walk.pop()
+            if number in seen:
                 continue
-            seen.add(state)
-            weight = name_score(name)
-            if weight and parts:
-                score = weight * literal_score("".join(text[a:b] for a, b in parts), weight >= STRONG)
-                if score >= threshold:
-                    for part in parts:
-                        found[part] = max(score, found.get(part, 0.0))
+            seen.add(number)
+            for at in groups[number]:
+                for term in terms[at]:
+                    if isinstance(term, int):
+                        walk.append(group[term])
+                    else:
+                        found.setdefault(term, score)
     return [(a, b, s) for (a, b), s in found.items()]
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -160,3 +161,83 @@ def test_literals_are_whole():
     named = "\n".join(f'c{i} = "{m}"' for i, m in enumerate(many))
     assert literals(f"{named}\nsecret = " + " + ".join(f"c{i}" for i in range(100))) == set(many)
     assert literals("a = b\nb = a\ntoken = a") == set()
+
+
+def literals_by_force(text, threshold=0.5):
+    """Names resolved by walking the assignments from each sensitive one, over and over."""
+    from loantide.llm import secrets
+
+    pairs = list(secrets._pairs(text))
+
+    def target(at, word):
+        above = [i for i in range(at) if pairs[i][0] == word]
+        every = [i for i in range(len(pairs)) if pairs[i][0] == word]
+        return above[-1] if above else every[-1] if every else None
+
+    def reached(at):
+        seen, walk, parts = set(), [at], set()
+        while walk:
+            i = walk.pop()
+            if i not in seen:
+                seen.add(i)
+                for a, b, quoted in pairs[i][1]:
+                    to = None if quoted or not secrets._NAME.match(text[a:b]) else target(i, text[a:b])
+                    if to is None:
+                        parts.add((a, b))
+                    else:
+                        walk.append(to)
+        return parts
+
+    found = {}
+    for at, (name, _) in enumerate(pairs):
+        weight = secrets.name_score(name)
+        parts = sorted(reached(at))
+        if weight and parts:
+            score = weight * secrets.literal_score("".join(text[a:b] for a, b in parts), weight >= secrets.STRONG)
+            if score >= threshold:
+                for part in parts:
+                    found[part] = max(score, found.get(part, 0.0))
+    return found
+
+
+def test_literals_equal_brute_force_on_graphs_of_names():
+    from loantide.llm import secrets
+
+    rng = random.Random(6)
+    names = ["password", "a", "b", "c", "api_key", "note", "tokenizer", "db.secret", "limit"]
+    compared = 0
+    for _ in range(300):
+        lines = []
+        for _ in range(rng.randint(1, 12)):
+            # At most one name on the right, so that no literal is met twice on the way.
+            terms = [rng.choice(names)] if rng.random() < 0.6 else []
+            terms += ['"%s"' % "".join(rng.choices("abcdefghijk0123456789", k=rng.randint(1, 14))) for _ in range(rng.randint(not terms, 2))]
+            lines.append(f"{rng.choice(names)} = {' + '.join(terms)}")
+        text = "\n".join(lines)
+        got = {(a, b): s for a, b, s in secrets.literal_spans(text, 0.5)}
+        want = literals_by_force(text)
+        assert set(got) == set(want), text
+        assert all(got[k] == pytest.approx(want[k]) for k in want), text
+        compared += len(want)
+    assert compared > 300
+
+
+def test_chains_of_constants_take_time_in_proportion():
+    """A megabyte of each shape that chains constants."""
+    import time
+    import tracemalloc
+
+    from loantide.llm import secrets
+
+    chain = "".join(f"token_a{i} = token_a{i + 1}\n" for i in range(40_000)) + 'token_a40000 = "q8Zr2LkT9wXc4Vb7"\n'
+    grown = 's = "q8Zr2LkT"\n' + 's = s + "ab1"\n' * 70_000 + "password = s\n"
+    doubled = 'k0 = "q8Zr2LkT9wXc4Vb7"\n' + "".join(f"k{i + 1} = k{i} + k{i // 2}\n" for i in range(50_000)) + "secret = k50000\n"
+    circle = "".join(f"token_a{i} = token_a{(i + 1) % 30_000} + \"z{i % 9}\"\n" for i in range(30_000))
+    for text, spans in ((chain, 1), (grown, 70_001), (doubled, 1), (circle, 30_000)):
+        begin = time.perf_counter()
+        assert len(secrets.literal_spans(text, 0.3)) == spans
+        assert time.perf_counter() - begin < 20
+    tracemalloc.start()
+    secrets.literal_spans(chain, 0.3)
+    assert tracemalloc.get_traced_memory()[1] < 200e6
+    tracemalloc.stop()

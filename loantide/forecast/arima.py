@@ -83,37 +83,34 @@ def _inside(weights: np.ndarray) -> np.ndarray:
     return inside
 
 
-def fit_arma_batch(x: np.ndarray, p: int, q: int, steps: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Weights and errors of centred series (steps x series), by Gauss-Newton with halved steps for all of them at once.
+def gauss_newton(errors: np.ndarray, k: int, design, errors_at, inside, steps: int = 30) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (series x k, from zeros) and errors (steps x series) of least squares, with halved steps for all series at once.
 
-    Shorter series stand at the end of their column with zeros before, which is what values before a start count as.
+    ``design(rows, errors, weights)`` gives the negated slopes (steps x rows x k), ``errors_at(rows, weights)`` the errors, ``inside(weights)``
+    says which weights may be taken.
     """
-    series = x.shape[1]
-    params = np.zeros((series, p + q))
-    past = np.stack([_lagged(x, i) for i in range(p + 1)])
-    errors = past[0].copy()
+    params, errors = np.zeros((errors.shape[1], k)), errors.copy()
     before = np.einsum("ts,ts->s", errors, errors)
-    active = np.flatnonzero(before > 0) if p + q else np.zeros(0, int)
+    active = np.flatnonzero(before > 0) if k else np.zeros(0, int)
     for _ in range(steps):
         if not len(active):
             break
-        now, own, known = errors[:, active], params[active], past[:, :, active]
-        slopes = [known[i] for i in range(1, p + 1)] + [_lagged(now, j) for j in range(1, q + 1)]
-        design = _filter(np.stack(slopes, axis=2), own[:, p:])
-        gram = np.einsum("tsi,tsj->sij", design, design)
-        edge = np.arange(p + q)
+        now, own = errors[:, active], params[active]
+        slopes = design(active, now, own)
+        gram = np.einsum("tsi,tsj->sij", slopes, slopes)
+        edge = np.arange(k)
         diagonal = gram[:, edge, edge]
         gram[:, edge, edge] = np.where(diagonal > 0, diagonal * (1 + 1e-10), 1.0) + 1e-12 * diagonal.max(axis=1, keepdims=True)
-        move = np.linalg.solve(gram, np.einsum("tsi,ts->si", design, now)[..., None])[..., 0]
+        move = np.linalg.solve(gram, np.einsum("tsi,ts->si", slopes, now)[..., None])[..., 0]
         last, open_ = before[active], np.arange(len(active))
         # The whole step first; where it does not improve, all halvings side by side, of which the longest that does counts.
         for halvings in (np.ones(1), 0.5 ** np.arange(1, 8)):
             trial = own[open_, None] + move[open_, None] * halvings[:, None]
-            trial = trial.reshape(-1, p + q)
+            trial = trial.reshape(-1, k)
             tried = np.repeat(open_, len(halvings))
-            fine = np.flatnonzero(_inside(trial[:, :p]) & _inside(-trial[:, p:]) & np.isfinite(trial).all(axis=1))
+            fine = np.flatnonzero(inside(trial) & np.isfinite(trial).all(axis=1))
             trial, tried = trial[fine], tried[fine]
-            after = _errors(known[:, :, tried], trial[:, :p], trial[:, p:])
+            after = errors_at(active[tried], trial)
             squares = np.einsum("ts,ts->s", after, after)
             better = np.flatnonzero(squares < before[active[tried]])
             moved, first = np.unique(tried[better], return_index=True)
@@ -125,6 +122,26 @@ def fit_arma_batch(x: np.ndarray, p: int, q: int, steps: int = 30) -> tuple[np.n
             if not len(open_):
                 break
         active = active[last - before[active] > 1e-8 * last]
+    return params, errors
+
+
+def fit_arma_batch(x: np.ndarray, p: int, q: int, steps: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights and errors of centred series (steps x series), by Gauss-Newton.
+
+    Shorter series stand at the end of their column with zeros before, which is what values before a start count as.
+    """
+    past = np.stack([_lagged(x, i) for i in range(p + 1)])
+
+    def design(rows: np.ndarray, now: np.ndarray, own: np.ndarray) -> np.ndarray:
+        slopes = [past[i][:, rows] for i in range(1, p + 1)] + [_lagged(now, j) for j in range(1, q + 1)]
+        return _filter(np.stack(slopes, axis=2), own[:, p:])
+
+    params, errors = gauss_newton(
+        x, p + q, design,
+        lambda rows, w: _errors(past[:, :, rows], w[:, :p], w[:, p:]),
+        lambda w: _inside(w[:, :p]) & _inside(-w[:, p:]),
+        steps,
+    )
     return params[:, :p], params[:, p:], errors
 
 

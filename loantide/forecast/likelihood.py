@@ -108,20 +108,30 @@ def maximised(
 ) -> tuple[np.ndarray, np.ndarray, Filtered]:
     """Weights of greatest likelihood near the given ones, and the filter at them, for all series at once.
 
-    Quasi-Newton steps (BFGS) on unbounded numbers that :func:`weights_of` maps inside the circle; slopes by central
-    differences, whole and halved steps tried side by side. A step is taken only where it improves.
+    The search runs on unbounded numbers that :func:`weights_of` maps inside the circle.
     """
-    p, q = ar.shape[1], ma.shape[1]
-    k, series = p + q, x.shape[1]
+    p = ar.shape[1]
 
     def loss(u: np.ndarray, rows: np.ndarray) -> np.ndarray:
         found = Filtered(x[:, rows], weights_of(u[:, :p]), -weights_of(u[:, p:]), with_mean[rows]).log_likelihood
         return np.where(np.isfinite(found), -found, np.inf)
 
-    u = np.concatenate([free_of(ar), free_of(-ma)], axis=1)
+    u = lowest(loss, np.concatenate([free_of(ar), free_of(-ma)], axis=1), 1.0 / max(1, len(x)), steps)
+    ar, ma = weights_of(u[:, :p]), -weights_of(u[:, p:])
+    return ar, ma, Filtered(x, ar, ma, with_mean)
+
+
+def lowest(loss, u: np.ndarray, scale: float, steps: int = 40) -> np.ndarray:
+    """Numbers near ``u`` (series x k) of lowest ``loss(numbers, rows)``, for all series at once.
+
+    Quasi-Newton steps (BFGS), the first ones of size ``scale`` times the slope; slopes by central differences, whole and halved steps tried side
+    by side. A step is taken only where it improves.
+    """
+    u = u.copy()
+    series, k = u.shape
     if k:
         value = loss(u, np.arange(series))
-        curve = np.broadcast_to(np.eye(k) / max(1, len(x)), (series, k, k)).copy()
+        curve = np.broadcast_to(np.eye(k) * scale, (series, k, k)).copy()
         slope = _slopes(loss, u, np.arange(series))
         active = np.arange(series)
         for _ in range(steps):
@@ -148,8 +158,7 @@ def maximised(
                 left = np.eye(k) - np.outer(s, g) / along[i]
                 curve[r] = left @ curve[r] @ left.T + np.outer(s, s) / along[i]
             active = rows[gained > 1e-9 * (1.0 + np.abs(value[rows]))]
-    ar, ma = weights_of(u[:, :p]), -weights_of(u[:, p:])
-    return ar, ma, Filtered(x, ar, ma, with_mean)
+    return u
 
 
 def _slopes(loss, u: np.ndarray, rows: np.ndarray, width: float = 1e-5) -> np.ndarray:

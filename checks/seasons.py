@@ -1,15 +1,15 @@
-"""Seasonal models of monthly charge-offs, one series per vehicle brand; a season is a year."""
+"""Seasonal models of monthly charge-offs and balances, one series per vehicle brand; a season is a year."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loantide.forecast import seasonal
+from loantide.forecast import seasonal, states
 from loantide.forecast.series import as_arrays
 from loantide.operators.series import with_position
 from loantide.schema import PERIOD
 
-from .forecasts import B, CHARGED, MONTH, P, arrays, series_sql
+from .forecasts import B, BALANCE, CHARGED, MONTH, P, arrays, series_sql
 from .panel import BRAND, monthly, monthly_sql
 from .registry import check, rounded, rounded_means
 
@@ -141,3 +141,66 @@ def f03_seasonal_arima_forecast(spark, sf):
     """No twin: see the fit."""
     fits = seasonal.select_seasonal_arima(arrays(spark, sf), [BRAND], 17, YEAR, max_order=3)
     return rounded(seasonal.seasonal_arima_forecast(fits, [BRAND]), 2, "mean", "lo80", "hi80", "lo95", "hi95")
+
+
+# Balances are positive wherever a brand has loans, so parts may be multiplied.
+BALANCES = f"""balances AS (
+  SELECT {B}, {P}, CAST(row_number() OVER w AS INTEGER) AS t, {BALANCE} AS y, count(*) OVER (PARTITION BY {B}) AS n
+  FROM monthly WINDOW w AS (PARTITION BY {B} ORDER BY {P})
+)"""
+HOLT_WINTERS = {"alpha": 0.4, "beta": 0.05, "gamma": 0.2, "phi": 0.95}
+
+
+def balances(spark, sf):
+    return as_arrays(monthly(spark, sf, BRAND), [BRAND], PERIOD, BALANCE)
+
+
+def holt_winters_sql() -> str:
+    """CTE ``ended``: last states of the multiplied errors, damped trend and multiplied season under fixed weights."""
+    a, b, g, f = (f"CAST({HOLT_WINTERS[k]} AS DOUBLE)" for k in ("alpha", "beta", "gamma", "phi"))
+    return f"""
+firsts AS (
+  SELECT {B}, avg(y) FILTER (t <= {YEAR}) AS level, avg(y) FILTER (t > {YEAR} AND t <= {2 * YEAR}) AS second,
+         list(y ORDER BY t) FILTER (t <= {YEAR}) AS season
+  FROM balances WHERE n >= {2 * YEAR} GROUP BY 1
+),
+fold AS (
+  SELECT {B}, 0 AS t, level AS l, (second - level) / {YEAR} AS b, list_transform(season, lambda v: v / level) AS s, true AS fine,
+         CAST(0 AS DOUBLE) AS squares, CAST(0 AS DOUBLE) AS logs
+  FROM firsts WHERE level <> 0
+  UNION ALL
+  SELECT {B}, t + 1, q + {a} * e / s1, {f} * b + {b} * e / s1, list_append(s[2:], s1 + {g} * e / q), fine AND q > 0 AND s1 > 0,
+         squares + (e / (q * s1)) * (e / (q * s1)), logs + ln(greatest(q * s1, 1e-300))
+  FROM (SELECT *, y - q * s1 AS e FROM (
+    SELECT f.*, f.l + {f} * f.b AS q, f.s[1] AS s1, m.y FROM fold f JOIN balances m ON m.{B} = f.{B} AND m.t = f.t + 1))
+),
+ended AS (SELECT * FROM fold WHERE t > 0 QUALIFY row_number() OVER (PARTITION BY {B} ORDER BY t DESC) = 1)"""
+
+
+@check(
+    monthly_sql(B), BALANCES, holt_winters_sql(),
+    sql=f"""SELECT {B}, 'ets(M,Ad,M)' AS model, round(l, 2) + 0.0 AS level, round(b, 2) + 0.0 AS trend, round(s[1], 6) + 0.0 AS next_season,
+            round(sqrt(squares / t), 6) + 0.0 AS spread, round(-0.5 * t * (ln(2 * pi() * squares / t) + 1) - logs, 4) + 0.0 AS log_likelihood
+            FROM ended WHERE fine""",
+)
+def f01_multiplied_smoothing_with_fixed_weights(spark, sf):
+    """Of monthly balances; brands with less than two years, or whose states turn negative, are left out."""
+    found = states.fixed_states(balances(spark, sf), [BRAND], states.Form("M", "Ad", "M"), **HOLT_WINTERS, season=YEAR).where("level IS NOT NULL")
+    found = found.select(
+        BRAND, "model", "level", "trend", F.element_at("seasons", 1).alias("next_season"), F.sqrt("sigma2").alias("spread"), "log_likelihood"
+    )
+    return rounded(rounded(rounded(found, 2, "level", "trend"), 6, "next_season", "spread"), 4, "log_likelihood")
+
+
+@check()
+def f01_state_space_selection(spark, sf):
+    """No twin: weights and states come from an iterative search; the recursion has one (f01_multiplied_smoothing_with_fixed_weights)."""
+    fits = states.select_states(balances(spark, sf), [BRAND], 17, YEAR)
+    return rounded(fits.select(BRAND, "model", "parameters", "alpha", "beta", "gamma", "phi", "aicc"), 4, "alpha", "beta", "gamma", "phi", "aicc")
+
+
+@check()
+def f03_state_space_forecast(spark, sf):
+    """No twin: see the fit. Of cumulative charge-offs; intervals of multiplied errors or seasons are simulated."""
+    forecast = states.states_forecast(states.select_states(arrays(spark, sf), [BRAND], 17, YEAR), [BRAND])
+    return rounded(forecast, 2, "mean", "lo80", "hi80", "lo95", "hi95")

@@ -165,4 +165,5 @@ def _slopes(loss, u: np.ndarray, rows: np.ndarray, width: float = 1e-5) -> np.nd
     k = u.shape[1]
     moves = np.concatenate([np.eye(k), -np.eye(k)]) * width
     values = loss((u[:, None] + moves).reshape(-1, k), np.repeat(rows, 2 * k)).reshape(-1, 2, k)
-    return np.nan_to_num((values[:, 0] - values[:, 1]) / (2 * width), nan=0.0, posinf=0.0, neginf=0.0)
+    with np.errstate(invalid="ignore"):
+        return np.nan_to_num((values[:, 0] - values[:, 1]) / (2 * width), nan=0.0, posinf=0.0, neginf=0.0)

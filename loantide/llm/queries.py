@@ -123,7 +123,8 @@ WITH RECURSIVE usable AS (
     SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
     WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
 ), links AS (
-    SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.9
+    SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+    WHERE list_cosine_similarity(a.e, b.e) >= 0.9
 ), reached AS (
     SELECT vec_id AS a, vec_id AS b FROM embeddings
     UNION

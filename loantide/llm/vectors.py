@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -66,10 +67,11 @@ def make_code(rng: np.random.Generator, width: int, size: int, caps: float) -> C
     return Code(rotation, books, low)
 
 
+@lru_cache(maxsize=4)
 def make_codes(
     width: int, rows: int, codes: int = CODES, caps: float = CAPS, directions: int = DIRECTIONS, seed: int = 42
 ) -> list[Code]:
-    """Codes for ``rows`` vectors of ``width`` numbers."""
+    """Codes for ``rows`` vectors of ``width`` numbers, the same in every worker."""
     rng = np.random.default_rng(seed)
     size = int(max(16, np.ceil((directions * max(rows, 1)) ** 0.5)))
     return [make_code(rng, width, size, caps) for _ in range(codes)]
@@ -137,8 +139,14 @@ def _compare(keys, filters, blocks, mine, copies, unit, lists, least):
 _OUT = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
 
 
-def _compared(batches: Iterator[pa.RecordBatch], width: int, least: float) -> Iterator[pa.RecordBatch]:
-    """Rows (a, NULL, links) and (a, b, 0) of each run of rows with one filter and pair of blocks; rows come sorted."""
+def _alike(lengths: np.ndarray) -> list[tuple[int, int]]:
+    """Start and size of each run of one length."""
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(lengths)) + 1, [len(lengths)]]).tolist()
+    return [(a, b - a) for a, b in zip(starts, starts[1:]) if b > a]
+
+
+def _compared(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Rows (a, NULL, links) and (a, b, 0) of each run of rows with one length, filter and pair of blocks; rows come sorted."""
     kept: pa.Table | None = None
 
     def runs(table: pa.Table) -> pa.RecordBatch:
@@ -146,7 +154,7 @@ def _compared(batches: Iterator[pa.RecordBatch], width: int, least: float) -> It
         filters, low, high, mine, keys, copies = (
             table.column(c).to_numpy() for c in ("filter", "low", "high", "mine", "key", "copies")
         )
-        unit = unit_rows(_flat(table.column("embedding").chunk(0)), width)
+        unit = unit_rows(_flat(table.column("embedding").chunk(0)), table.column("width")[0].as_py())
         listed = table.column("filters").chunk(0)
         offsets, values = listed.offsets.to_numpy(), listed.values.to_numpy(zero_copy_only=False)
         edges = np.flatnonzero((filters[1:] != filters[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])) + 1
@@ -172,11 +180,11 @@ def _compared(batches: Iterator[pa.RecordBatch], width: int, least: float) -> It
         rows = pa.Table.from_batches([batch])
         if kept is not None:
             rows = pa.concat_tables([kept, rows])
-        key = [rows.column(c).to_numpy() for c in ("filter", "low", "high")]
+        key = [rows.column(c).to_numpy() for c in ("width", "filter", "low", "high")]
         other = np.flatnonzero(np.any([c != c[-1] for c in key], axis=0))
         cut = int(other[-1]) + 1 if len(other) else 0
-        if cut:
-            yield runs(rows.slice(0, cut))
+        for at, n in _alike(key[0][:cut]):
+            yield runs(rows.slice(at, n))
         kept = rows.slice(cut)
     if kept is not None:
         yield runs(kept)
@@ -195,11 +203,12 @@ def near_vectors(
 
     Links are those found: two vectors that pass no common filter are not compared (the tests measure the recall by cosine).
     No false link is returned. Equal vectors are one class, compared once and counted as often as they occur. Vectors that
-    are NULL, zero, hold a NULL or non-finite component, or differ in length from the most frequent length of the table, link with
-    nothing. Repeated rows and ids give a row each; a NULL id never is a component id unless its component has no other. An empty
+    are NULL, zero or hold a NULL or non-finite component link with nothing. Vectors of one length are compared with each other, whatever
+    other lengths the table holds; those of different lengths have no cosine. Repeated rows and ids give a row each; a NULL id never is a component id unless its component has no other. An empty
     table gives no rows; other columns are not read.
 
-    The number of directions follows the number of vectors, so that chance meetings per vector stay level. Filters passed by
+    The number of directions follows the number of vectors of all lengths, so that chance meetings per vector stay level. Every worker
+    makes the codes of a length itself, from a seed. Filters passed by
     one vector only are dropped before any vector moves; a filter that many pass, such as that of a large group of near copies,
     is dealt out as pairs of blocks of bounded size, and such groups yield counts and a spanning forest instead of pairs.
     """
@@ -210,33 +219,33 @@ def near_vectors(
         & F.exists(given, lambda x: F.coalesce(x != 0, F.lit(False))),
         F.lit(False),
     )
-    lengths = vectors.where(fine).groupBy(F.size(given).alias("width")).count().orderBy(F.desc("count"), "width").first()
-    width, rows = lengths or (1, 0)
-    usable = fine & (F.size(given) == width)
+    rows = vectors.where(fine).count()
     keyed = vectors.select(
-        F.col(id_column).alias("id"), F.when(usable, F.xxhash64(given)).alias("key"), F.when(usable, given).alias("embedding")
+        F.col(id_column).alias("id"), F.when(fine, F.xxhash64(given)).alias("key"), F.when(fine, given).alias("embedding")
     )
     classes = stored(
         keyed.where("key IS NOT NULL")
         .groupBy("key")
-        .agg(F.count("*").alias("copies"), F.min("id").alias("least_id"), F.min("embedding").alias("embedding")),
+        .agg(F.count("*").alias("copies"), F.min("id").alias("least_id"), F.min("embedding").alias("embedding"))
+        .withColumn("width", F.size("embedding")),
         "vectors",
     )
-    made = spark.sparkContext.broadcast(make_codes(width, rows, codes, caps, directions))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                lists = filters_of(made.value, unit_rows(_flat(part.column(1)), width))
-                keys = np.repeat(part.column(0).to_numpy(), [len(x) for x in lists])
-                passed = np.concatenate(lists) if lists else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(passed)], names=["key", "filter"])
-
-    spread = classes.select("key", "embedding").repartition(spark.sparkContext.defaultParallelism * 2, "key")
-    passed = stored(spread.mapInArrow(decode, "key long, filter long"), "filters")
-    shared = passed.groupBy("filter").count().where("count > 1")
-    members = stored(passed.join(shared, "filter"), "filters")
+            for at, n in [(a + b, min(1000, size - b)) for a, size in _alike(batch.column(0).to_numpy()) for b in range(0, size, 1000)]:
+                part = batch.slice(at, n)
+                width = part.column(0)[0].as_py()
+                lists = filters_of(make_codes(width, rows, codes, caps, directions), unit_rows(_flat(part.column(2)), width))
+                keys = np.repeat(part.column(1).to_numpy(), [len(x) for x in lists])
+                passed = np.concatenate(lists)
+                widths = np.full(len(keys), width, np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(widths), pa.array(keys), pa.array(passed)], names=["width", "key", "filter"])
+
+    spread = classes.select("width", "key", "embedding").repartition(spark.sparkContext.defaultParallelism * 2, "key")
+    passed = stored(spread.sortWithinPartitions("width").mapInArrow(decode, "width int, key long, filter long"), "filters")
+    shared = passed.groupBy("width", "filter").count().where("count > 1")
+    members = stored(passed.join(shared, ["width", "filter"]), "filters")
     drop_stored(passed)
     payload = (
         members.groupBy("key")
@@ -249,13 +258,13 @@ def near_vectors(
         members.withColumn("blocks", blocks)
         .withColumn("mine", mine)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("filter", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "key")
+        .select("width", "filter", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"), "mine", "key")
         .join(payload, "key")
-        .repartition("filter", "low", "high")
-        .sortWithinPartitions("filter", "low", "high")
-        .select("filter", "low", "high", "mine", "key", "copies", "embedding", "filters")
+        .repartition("width", "filter", "low", "high")
+        .sortWithinPartitions("width", "filter", "low", "high")
+        .select("width", "filter", "low", "high", "mine", "key", "copies", "embedding", "filters")
     )
-    found = stored(dealt.mapInArrow(lambda b: _compared(b, width, least), "a long, b long, links long"), "links")
+    found = stored(dealt.mapInArrow(lambda b: _compared(b, least), "a long, b long, links long"), "links")
     counts = found.where("b IS NULL").groupBy(F.col("a").alias("counted")).agg(F.sum("links").alias("links"))
     roots = components(found.where("b IS NOT NULL").select("a", "b"))
     linked = roots.select(F.col("node").alias("key"), "root").unionByName(

@@ -176,6 +176,27 @@ def test_vectors(spark, monkeypatch, block):
     assert vectors.near_vectors(df.where("false")).count() == 0
 
 
+def test_vectors_of_all_lengths(spark):
+    rng = np.random.default_rng(16)
+    rows, want = [], {}
+    for base, width, n in ((0, 16, 120), (1000, 8, 50), (2000, 3, 1), (3000, 5, 40), (4000, 2, 2), (5000, 1, 3), (6000, 700, 12)):
+        centres = rng.standard_normal((max(1, n // 4), width))
+        own = [(base + i, (centres[i % len(centres)] + 0.1 * rng.standard_normal(width)).tolist()) for i in range(n)]
+        unit = np.array([np.array(v) / np.linalg.norm(v) for _, v in own])
+        near = unit @ unit.T >= 0.9
+        np.fill_diagonal(near, False)
+        group = np.arange(n)
+        for _ in range(n):
+            group = np.array([min([group[i], *group[near[i]]]) for i in range(n)])
+        want |= {base + i: (int(near[i].sum()), base + int(group[i])) for i in range(n)}
+        rows += own
+    # Equal numbers but for the zeros behind them are vectors of different lengths.
+    rows += [(7000, [1.0, 2.0, 3.0, 4.0]), (7001, [1.0, 2.0, 3.0, 4.0]), (7002, [1.0, 2.0, 3.0, 4.0, 0.0, 0.0])]
+    want |= {7000: (1, 7000), 7001: (1, 7000), 7002: (0, 7002)}
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("width", F.lit(9)).repartition(3)
+    assert {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_vectors(df).collect()} == want
+
+
 def test_recall_by_cosine():
     rng = np.random.default_rng(9)
     unit = rng.standard_normal((400, 64))

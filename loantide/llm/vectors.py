@@ -51,7 +51,8 @@ class Code:
 
 def make_code(rng: np.random.Generator, width: int, size: int, caps: float) -> Code:
     """A random code of ``size`` words per block, of whose directions a random unit vector passes ``caps`` on average."""
-    padded = max(width, 2)
+    # Turned into 16 dimensions at least: in fewer the words of a book fall together, and a vector would pass thousands of caps.
+    padded = max(width, 16)
     half = padded // 2
     rotation = np.linalg.qr(rng.standard_normal((padded, padded)))[0][:width]
     books = tuple(rng.standard_normal((size, n)) for n in (half, padded - half))

@@ -214,22 +214,36 @@ WITH templates(template, license, text) AS (VALUES {_TEMPLATE_ROWS}
 ), idf AS (
     SELECT term, ln(((SELECT count(text) FROM docs) + 1) / (coalesce(held.n, 0) + 1)) + 1 AS idf
     FROM (SELECT DISTINCT term FROM template_terms) LEFT JOIN held USING (term)
+), template_weights AS (
+    SELECT template, license, term, sum(n) OVER (PARTITION BY template) AS of_size, n * idf / sqrt(sum(pow(n * idf, 2)) OVER (PARTITION BY template)) AS w
+    FROM template_terms JOIN idf USING (term)
+), rare AS (
+    SELECT DISTINCT term FROM (SELECT term, coalesce(sum(w * w) OVER (PARTITION BY template ORDER BY w DESC, term ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above
+                               FROM template_weights) WHERE 1 - above >= 0.64 * (1 - 1e-9)
+), split AS (
+    SELECT doc_id, unnest(range(0, len(ls))) AS line, unnest(ls) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM docs)
+), flat AS (
+    SELECT doc_id, line, sum(len(ws)) OVER (PARTITION BY doc_id ORDER BY line) - len(ws) AS p
+    FROM (SELECT doc_id, line, {_WORDS.format("text")} AS ws FROM split) WHERE len(ws) > 0
 ), units AS (
-    SELECT doc_id, 0 AS kind, 0 AS line, text FROM docs
+    SELECT doc_id, 0 AS kind, 0 AS line, 0 AS size, {_WORDS.format("text")} AS ws FROM docs
     UNION ALL
-    SELECT doc_id, 1, unnest(range(0, len(ls))), unnest(ls) FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM docs)
+    SELECT doc_id, 1, line, 0, {_WORDS.format("text")} FROM split
     UNION ALL
-    SELECT * FROM (SELECT doc_id, 2, unnest(range(0, len(ls))), unnest(ls) AS text
+    SELECT doc_id, 2, line, 0, {_WORDS.format("text")} FROM (SELECT doc_id, unnest(range(0, len(ls))) AS line, unnest(ls) AS text
                    FROM (SELECT doc_id, string_split_regex(text, '\n\s*\n') AS ls FROM docs)) WHERE contains(trim(text), chr(10))
+    UNION ALL
+    SELECT doc_id, 3, line, size, ws[p + 1:p + size] FROM flat JOIN (SELECT doc_id, {_WORDS.format("text")} AS ws FROM docs) USING (doc_id),
+           (SELECT DISTINCT of_size AS size FROM template_weights)
 ), terms AS (
-    SELECT doc_id, kind, line, term, count(*) * coalesce(any_value(idf), ln((SELECT count(text) FROM docs) + 1) + 1) AS v
-    FROM (SELECT doc_id, kind, line, unnest({_WORDS.format("text")}) AS term FROM units) LEFT JOIN idf USING (term) GROUP BY doc_id, kind, line, term
-), template_weights AS (
-    SELECT template, license, term, n * idf / sqrt(sum(pow(n * idf, 2)) OVER (PARTITION BY template)) AS w FROM template_terms JOIN idf USING (term)
+    SELECT doc_id, kind, line, size, term, count(*) * coalesce(any_value(idf), ln((SELECT count(text) FROM docs) + 1) + 1) AS v
+    FROM (SELECT doc_id, kind, line, size, unnest(ws) AS term FROM units WHERE list_has_any(ws, (SELECT list(term) FROM rare)))
+    LEFT JOIN idf USING (term) GROUP BY doc_id, kind, line, size, term
 ), scored AS (
-    SELECT doc_id, kind, line, license, sum(v * w) / any_value(norm) AS similarity
-    FROM (SELECT *, sqrt(sum(v * v) OVER (PARTITION BY doc_id, kind, line)) AS norm FROM terms) JOIN template_weights USING (term)
-    GROUP BY doc_id, kind, line, template, license HAVING sum(v * w) / any_value(norm) >= 0.8
+    SELECT doc_id, kind, line, size, license, sum(v * w) / any_value(norm) AS similarity
+    FROM (SELECT *, sqrt(sum(v * v) OVER (PARTITION BY doc_id, kind, line, size)) AS norm FROM terms) JOIN template_weights USING (term)
+    WHERE kind <> 3 OR size = of_size
+    GROUP BY doc_id, kind, line, size, template, license HAVING sum(v * w) / any_value(norm) >= 0.8
 ), own AS (
     SELECT *, bool_or(kind = 0) OVER (PARTITION BY doc_id) AS whole FROM scored
     QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY -round(similarity, 9), license, kind, line) = 1

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from loantide.forecast.run_rate import balance_ratios, trailing_rates
 from loantide.functions.dates import monthly_date, next_month
 from loantide.functions.parsing import to_day
 from loantide.operators.columns import clean_names
-from loantide.plans.panel import FILED_PERIOD, ingest_filings, snapshot_panel, typed_panel
+from loantide.plans.panel import FILED_PERIOD, ingest_filings, restate_panel, snapshot_panel, typed_panel
 from loantide.plans.reports import monthly_table, value_source_records
 from loantide.schema import FILING_INDEX_COLUMNS, LOAN, PERIOD
 from loantide.session import new_path
-from loantide.sources import filings, loan_records, storage
+from loantide.sources import filings, loan_records, restated as restated_reader, storage
 
 from .columns import ACCESSION, accession
 from .forecasts import RUN_RATE, TYPE
@@ -260,6 +262,62 @@ def r01_ingest_filings_with_further_leaves(spark, sf):
     )
 
 
+def filed_batches(spark, sf):
+    """Each month filed 20 days after its end. Every third is amended 30 days later: doubled charge-offs, closed loans left out."""
+    raw = raw_panel(spark, sf).select(LOAN, PERIOD, "zeroBalanceCode", "chargedoffPrincipalAmount")
+    day = to_day(F.col(PERIOD))
+    first = raw.withColumns({"accession_number": filing_number(day), "filing_date": F.date_add(day, 20)})
+    amended = raw.where(F.col("zeroBalanceCode").isNull() & (F.month(day) % 3 == 0)).withColumns({
+        "accession_number": F.concat(filing_number(day), F.lit("A")),
+        "filing_date": F.date_add(day, 50),
+        "chargedoffPrincipalAmount": F.concat(F.lit("2*"), F.col("chargedoffPrincipalAmount")),
+    })
+    return first, amended
+
+
+def restated(spark, sf):
+    """Three batches: the amendments first, then every filing, then the first filings once more."""
+    first, amended = filed_batches(spark, sf)
+    path = new_path(spark, "restated")
+    for batch in (amended, first.unionByName(amended), first):
+        restate_panel(batch, path)
+    return path
+
+
+RESTATED = f"""numbered AS (
+  SELECT assetNumber, {P} AS filed_{P}, CAST(strptime({P}, '%m-%d-%Y') AS DATE) AS day, zeroBalanceCode, chargedoffPrincipalAmount FROM raw_panel
+),
+restated AS (
+  SELECT assetNumber, filed_{P}, day, zeroBalanceCode, '2*' || chargedoffPrincipalAmount AS chargedoffPrincipalAmount, day + 50 AS filed, 'A' AS mark
+  FROM numbered WHERE zeroBalanceCode IS NULL AND month(day) % 3 = 0
+),
+months AS (SELECT DISTINCT day FROM restated)"""
+RESTATED_ROWS = f"SELECT assetNumber, filed_{P}, zeroBalanceCode, chargedoffPrincipalAmount, CAST(day AS VARCHAR) AS {P}, CAST(CAST(filed AS DATE) AS VARCHAR) AS filing_date"
+NUMBER = "'0000012345-' || strftime(day, '%y-%m%d') || '01' || mark AS accession_number"
+
+
+@check(
+    RAW, RESTATED,
+    sql=f"""{RESTATED_ROWS}, {NUMBER} FROM (SELECT * FROM restated UNION ALL
+            SELECT *, day + 20 AS filed, '' AS mark FROM numbered WHERE day NOT IN (SELECT day FROM months))""",
+)
+def r01_restated_filings(spark, sf):
+    """The latest filing of a month counts, in whatever order and however often batches arrive."""
+    return restated_reader.read_restated(spark, restated(spark, sf))
+
+
+@check(
+    RAW, RESTATED,
+    sql=f"""{RESTATED_ROWS}, {NUMBER} FROM (
+            SELECT * FROM restated WHERE filed <= DATE '1996-01-15' UNION ALL
+            SELECT *, day + 20 AS filed, '' AS mark FROM numbered
+            WHERE day + 20 <= DATE '1996-01-15' AND day NOT IN (SELECT day FROM months WHERE day + 50 <= DATE '1996-01-15'))""",
+)
+def r01_restated_filings_as_of(spark, sf):
+    """The panel as it stood on a day on which the last amendment had not been filed."""
+    return restated_reader.read_restated(spark, restated(spark, sf), as_of=date(1996, 1, 15))
+
+
 @check(
     CLEAN,
     sql=f"""SELECT CASE vehicleValueSourceCode WHEN '1' THEN 'Invoice Price' WHEN '2' THEN 'MSRP'

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.parsing import if_else, remove_text, to_day, to_number
 from ..operators.grouping import measure_columns
 from ..operators.series import with_prior_period
 from ..schema import DATES, LOAN, PERIOD, loan_record_schema
-from ..sources.filings import asset_filings, read_filing_index
+from ..sources.filings import asset_filings, filing_day, read_filing_index
 from ..sources.loan_records import file_report, leaf_names, record_schema, scan_loan_records, widen_repeated
+from ..sources.restated import append_filings
 from ..sources.storage import write_snapshot
 
 ZERO_BALANCE = "zeroBalanceCode"
@@ -88,8 +91,10 @@ def ingest_filings(
     row_tag: str = "assets",
     schema: T.StructType | None = None,
     skip_missing: bool = False,
+    form: str | Sequence[str] = "ABS-EE",
+    dated: bool = False,
 ) -> DataFrame:
-    """Text panel of all loan data files that the filing index lists, with their links.
+    """Text panel of all loan data files that the filing index lists, with their links, and with ``filing_date`` if ``dated``.
 
     Downloading is left to the user, who lands each file under
     ``<landing>/accession_number=<number>/``, the number with or without dashes. Files that the index does not list
@@ -99,8 +104,11 @@ def ingest_filings(
     Without a ``schema`` every leaf of the files is kept: their names come from a pass of their own, known columns that no
     file has are NULL, and a leaf that repeats within a record becomes ``<leaf>_1``, ``<leaf>_2`` and so on. Write the
     result with :func:`snapshot_panel` before the panel is flagged, or the files are read again for the flags.
+
+    Amendments are filings of a form of their own: name both as ``form`` and add the ``dated`` panel with :func:`restate_panel`, which
+    lets the latest filing of a month count. A panel with both in a plain snapshot would hold the month twice.
     """
-    filings = asset_filings(read_filing_index(spark, index_path), base, exhibit)
+    filings = asset_filings(read_filing_index(spark, index_path), base, exhibit, form)
     if not skip_missing:
         lost = [r.accession_number for r in unlanded_filings(spark, filings, landing).limit(5).collect()]
         if lost:
@@ -114,7 +122,10 @@ def ingest_filings(
     records = scan_loan_records(spark, landing, row_tag, schema, "_file")
     for leaf, n in repeated.items():
         records = widen_repeated(records, leaf, n)
-    listed = filings.select("accession_number", "data_file_link", remove_text(F.col("accession_number"), "-").alias("_number"))
+    filed = [filing_day(F.col("filing_date")).alias("filing_date")] if dated else []
+    listed = filings.select(
+        "accession_number", "data_file_link", *filed, remove_text(F.col("accession_number"), "-").alias("_number")
+    )
     return records.join(listed, accession_of(F.col("_file")) == F.col("_number")).drop("_file", "_number")
 
 
@@ -126,4 +137,13 @@ def snapshot_panel(raw: DataFrame, path: str) -> None:
 
     Reports for a month then read its folder alone, and the flags read four columns again instead of the files.
     """
-    write_snapshot(raw.withColumns({FILED_PERIOD: F.col(PERIOD), PERIOD: to_day(F.col(PERIOD))}), path)
+    write_snapshot(with_filed_period(raw), path)
+
+
+def restate_panel(raw: DataFrame, path: str, by: Sequence[str] = ()) -> None:
+    """The same text panel, dated, added to a snapshot of filings that may be amended; ``sources.restated.read_restated`` reads it."""
+    append_filings(with_filed_period(raw), path, by)
+
+
+def with_filed_period(raw: DataFrame) -> DataFrame:
+    return raw.withColumns({FILED_PERIOD: F.col(PERIOD), PERIOD: to_day(F.col(PERIOD))})

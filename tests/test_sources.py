@@ -1,5 +1,6 @@
 """Readers on small hand-written files."""
 
+from datetime import date
 from types import SimpleNamespace
 
 import pytest
@@ -9,7 +10,7 @@ from loantide.operators.columns import stack_by_name
 from loantide.plans.panel import PERIOD, filing_report, ingest_filings, snapshot_panel
 from loantide.schema import FILING_INDEX_COLUMNS
 from loantide.session import shared_folder
-from loantide.sources import filings, loan_records
+from loantide.sources import filings, loan_records, restated
 
 INDEX = (
     ",".join(FILING_INDEX_COLUMNS)
@@ -136,3 +137,69 @@ def test_report_line_voids_on_missing(spark):
     df = spark.createDataFrame([(1.5,), (None,)], "v double").select(report_line("Rate: ", plain_number("v"), "%").alias("line"))
     assert [r.line for r in df.collect()] == ["Rate: 1.5%", None]
     assert df.where(F.col("line").isNull()).count() == 1
+
+
+def filed(spark, accession, day, rows, period="2031-01-31"):
+    df = spark.createDataFrame([(str(a), str(v)) for a, v in rows], "assetNumber string, amount string")
+    texts = {"accession_number": F.lit(accession), "filing_date": F.lit(day).cast("date"), PERIOD: F.lit(period).cast("date")}
+    return df.withColumns(texts)
+
+
+def values(df):
+    return sorted((r.assetNumber, r.amount, r.accession_number) for r in df.collect())
+
+
+def test_restated_months(spark, tmp_path):
+    path = str(tmp_path / "panel")
+    with pytest.raises(FileNotFoundError):
+        restated.read_restated(spark, path)
+    first = filed(spark, "a1", "2031-02-15", [(1, 10), (2, 20)])
+    restated.append_filings(first, path)
+    restated.append_filings(first, path)
+    assert values(restated.read_restated(spark, path)) == [("1", "10", "a1"), ("2", "20", "a1")]
+    # A later filing replaces the month, with a column more; an earlier one that arrives late does not.
+    restated.append_filings(filed(spark, "a3", "2031-03-15", [(1, 11)]).withColumn("extra", F.lit("x")), path)
+    restated.append_filings(filed(spark, "a2", "2031-02-20", [(1, 12), (3, 30)]), path)
+    restated.append_filings(filed(spark, "b1", "2031-03-15", [(1, 9)], "2031-02-28"), path)
+    assert values(restated.read_restated(spark, path)) == [("1", "11", "a3"), ("1", "9", "b1")]
+    assert values(restated.read_restated(spark, path, as_of=date(2031, 3, 1))) == [("1", "12", "a2"), ("3", "30", "a2")]
+    assert restated.read_restated(spark, path, as_of=date(2031, 1, 1)).count() == 0
+    # Same day: the greater number. Rows without a period are a month of their own.
+    restated.append_filings(filed(spark, "a4", "2031-03-15", [(5, 50)]).unionByName(filed(spark, "a4", "2031-03-15", [(6, 60)], None)), path)
+    assert values(restated.read_restated(spark, path)) == [("1", "9", "b1"), ("5", "50", "a4"), ("6", "60", "a4")]
+    plan = restated.read_restated(spark, path).where(F.col(PERIOD) == "2031-02-28")
+    assert "PartitionFilters: [isnotnull(reportingPeriodEndingDate" in plan._jdf.queryExecution().toString()
+
+
+def test_filings_of_a_lost_write_are_not_read(spark, tmp_path):
+    path = str(tmp_path / "panel")
+    restated.append_filings(filed(spark, "a1", "2031-02-15", [(1, 10)]), path)
+    lost = filed(spark, "a2", "2031-02-20", [(1, 99)])
+    lost.write.partitionBy(PERIOD).parquet(f"{path}/batches/batch=lost")
+    assert values(restated.read_restated(spark, path)) == [("1", "10", "a1")]
+    restated.append_filings(lost, path)
+    assert values(restated.read_restated(spark, path)) == [("1", "99", "a2")]
+    with pytest.raises(Exception, match="no accession number"):
+        restated.append_filings(filed(spark, None, "2031-02-20", [(1, 1)]), path)
+    assert values(restated.read_restated(spark, path)) == [("1", "99", "a2")]
+    empty = filed(spark, "a9", "2031-09-20", [(1, 1)]).where("false")
+    restated.append_filings(empty, str(tmp_path / "empty"))
+    assert restated.read_restated(spark, str(tmp_path / "empty"), schema=empty.schema).count() == 0
+
+
+def test_deals_are_restated_apart(spark, tmp_path):
+    path = str(tmp_path / "panel")
+    both = [filed(spark, f"{d}1", "2031-02-15", [(1, d)]).withColumn("deal", F.lit(d)) for d in "xy"]
+    restated.append_filings(both[0].unionByName(both[1]), path, by=["deal"])
+    restated.append_filings(filed(spark, "x2", "2031-03-15", [(2, "z")]).withColumn("deal", F.lit("x")), path, by=["deal"])
+    assert values(restated.read_restated(spark, path, by=["deal"])) == [("1", "y", "y1"), ("2", "z", "x2")]
+
+
+def test_amended_form_is_ingested_with_its_date(spark, archive):
+    index = archive / "index.csv"
+    index.write_text(index.read_text() + "ABS-EE/A,Loan data,2/9/2031,1/3/2031,7,12,,0000000009-24-000009,33,https://archive.test/c\n")
+    raw = ingest_filings(
+        spark, str(index), str(archive / "landing"), "https://archive.test/data/", "exhibit.xml", form=["ABS-EE", "ABS-EE/A"], dated=True
+    )
+    rows = sorted((r.accession_number, str(r.filing_date)) for r in raw.collect())
+    assert rows == [("0000000001-24-000001", "2031-02-04"), ("0000000009-24-000009", "2031-02-09")]

@@ -203,3 +203,21 @@ def test_amended_form_is_ingested_with_its_date(spark, archive):
     )
     rows = sorted((r.accession_number, str(r.filing_date)) for r in raw.collect())
     assert rows == [("0000000001-24-000001", "2031-02-04"), ("0000000009-24-000009", "2031-02-09")]
+
+
+def test_records_that_close_themselves(spark, tmp_path):
+    from xml.etree import ElementTree
+
+    some = ["<assets/>", "<assets />", "<assets a='1'/>", "<assets>\n</assets>", "<assets a='1'><assetNumber>7</assetNumber></assets>"]
+    some += ["<assets ><assetNumber>8</assetNumber><empty/></assets>", "<assetsOther>9</assetsOther>", "<assets\na='2' />"]
+    text = "<assetData>" + "".join(some + some[::-1]) + "<assets/></assetData>\n"
+    (tmp_path / "hostile.xml").write_text(text)
+    expected = sorted(str(r.findtext("assetNumber")) for r in ElementTree.fromstring(text).iter("assets"))
+    schema = loan_records.record_schema(["assetNumber"])
+    for read in (loan_records.scan_loan_records, loan_records.read_loan_records):
+        rows = read(spark, str(tmp_path / "hostile.xml"), schema=schema).collect()
+        assert sorted(str(r.assetNumber) for r in rows) == expected
+    report = loan_records.file_report(spark, str(tmp_path / "hostile.xml")).collect()
+    assert [(r.records, r.complete) for r in report] == [(len(expected), True)]
+    leaves = {r.leaf: r.most for r in loan_records.leaf_names(spark, str(tmp_path / "hostile.xml")).collect()}
+    assert leaves == {"assetNumber": 1, "empty": 1}

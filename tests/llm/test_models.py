@@ -283,6 +283,89 @@ def test_no_input_but_the_text():
     assert np.abs(quality.term_vector(long)[: quality._PAIRS] - quality.term_vector(short)[: quality._PAIRS]).max() < 0.05
 
 
+def plain_scores(voters, texts, neighbours):
+    """Counts by loops, weights, singular vectors of the sample, all cosines sorted; None where two voters are too alike to order."""
+    from collections import Counter
+
+    def kind(b):
+        c = chr(b)
+        if b > 127:
+            return 7
+        for k, held in enumerate((c.islower(), c.isupper(), c.isdigit(), c in " \t", c in "\r\n", c in ".,;:'\"?-()")):
+            if held:
+                return k
+        return 6
+
+    def terms(text):
+        pairs = Counter((((a << 8 | b) * 0x9E3779B97F4A7C15) % 2**64) >> 54 for a, b in zip(text, text[1:]))
+        kinds = [kind(b) for b in text]
+        triples = Counter(zip(kinds, kinds[1:], kinds[2:]))
+        words = text.split()
+        repeats, distinct = sum(a == b for a, b in zip(words, words[1:])), len(set(words))
+        out = {("pair", k): math.sqrt(n / sum(pairs.values())) for k, n in pairs.items()}
+        out |= {("kinds", k): math.sqrt(n / sum(triples.values())) for k, n in triples.items()}
+        if words:
+            shares = {"repeated": repeats, "moved": len(words) - repeats, "distinct": distinct, "again": len(words) - distinct}
+            out |= {("words", k): math.sqrt(n / len(words) / 2) for k, n in shares.items()}
+        return out
+
+    sample = [terms(t) for t, _ in voters]
+    names = sorted({k for v in sample for k, x in v.items() if x > 0}, key=str)
+    weight = {k: math.log((len(sample) + 1) / (sum(v.get(k, 0) > 0 for v in sample) + 1)) + 0.25 for k in names}
+    row = lambda v: np.array([v.get(k, 0.0) * weight[k] for k in names])
+    matrix = np.array([row(v) for v in sample])
+    mean = matrix.mean(axis=0)
+    leading = np.linalg.svd(matrix - mean, full_matrices=False)[2][: quality.RANK].T
+    unit = lambda v: v / (np.linalg.norm(v) or 1)
+    known = [unit((m - mean) @ leading) for m in matrix]
+    out = []
+    for text in texts:
+        if not text:
+            out.append(sum(label for _, label in voters) / len(voters))
+            continue
+        mine = unit((row(terms(text)) - mean) @ leading)
+        near = sorted(((float(mine @ k), label) for k, (_, label) in zip(known, voters)), reverse=True)
+        best = [(max(c, 0.0) ** 4, label) for c, label in near[:neighbours]]
+        clear = len(near) <= neighbours or near[neighbours - 1][0] - near[neighbours][0] > 2e-5
+        out.append(sum(w * label for w, label in best) / sum(w for w, _ in best) if clear else None)
+    return out
+
+
+def test_classifier_against_plain_votes(spark, prose, frame):
+    rng = random.Random(12)
+
+    def text(i):
+        words = prose(i, rng.randint(5, 120)).split()
+        if i % 3 == 0:
+            words = [w if rng.random() < 0.6 else "".join(rng.choices("0123456789#%$é|", k=rng.randint(1, 9))) for w in words]
+        if i % 5 == 0:
+            words = [w for w in words for _ in range(rng.randint(1, 3))]
+        return " ".join(w.capitalize() if rng.random() < 0.1 else w for w in words)
+
+    rows = [(i, text(i)) for i in range(420)]
+    label = {i: int(i % 3 != 0) if rng.random() < 0.85 else int(i % 2) for i, _ in rows}
+    said = [(i, label[i]) for i in range(360)]
+    said += said[:50] * 3  # repeated labels count once
+    said += [(i, 1 - label[i]) for i in range(0, 40, 2)] + [(i, None) for i in range(41, 60, 2)]  # contradicting; an unknown one beside a known one
+    said += [(None, 1), (100_000, 0)] + [(i, None) for i in range(360, 380)]  # of no document; unknown only
+    labels = spark.createDataFrame(said, "doc_id long, quality int")
+    odd = [(2000, None), (2001, ""), (2002, "word " * 40_000), (2003, "?"), (None, rows[5][1])]
+    docs = frame(rows + rows[:30] + odd)
+    fold = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    voters = [(t.encode(), label[i]) for i, t in rows[:360] if not fold(i) and not (i < 40 and i % 2 == 0)]
+    got = quality.classify(docs, labels).collect()
+    assert len(got) == len(rows) + 30 + len(odd)
+    every = dict(rows + odd)
+    expected = dict(zip(every, plain_scores(voters, [(t or "").encode() for t in every.values()], quality.NEIGHBOURS)))
+    checked = 0
+    for r in got:
+        assert r.held_out == (r.doc_id is not None and fold(r.doc_id)) and r.predicted == (r.score >= 0.5)
+        if expected[r.doc_id] is not None:
+            checked += 1
+            assert r.score == pytest.approx(expected[r.doc_id], abs=2e-3)
+    assert checked > 0.8 * len(got)
+
+
 # ---- pipeline
 
 

@@ -395,5 +395,5 @@ def test_pipeline(spark, sf_dir):
 
 def test_registered():
     numbers = [int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")]
-    assert sorted(numbers) == list(range(1, 11)) and set(SQL) <= set(QUERIES)
+    assert sorted(numbers) == list(range(1, 14)) and set(SQL) <= set(QUERIES)
 

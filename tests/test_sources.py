@@ -221,3 +221,20 @@ def test_records_that_close_themselves(spark, tmp_path):
     assert [(r.records, r.complete) for r in report] == [(len(expected), True)]
     leaves = {r.leaf: r.most for r in loan_records.leaf_names(spark, str(tmp_path / "hostile.xml")).collect()}
     assert leaves == {"assetNumber": 1, "empty": 1}
+
+
+def record_files(path):
+    return sorted(path.rglob("part-*"))
+
+
+def test_records_are_written_compressed(spark, tmp_path):
+    records = spark.range(2000, numPartitions=1).select(F.col("id").cast("string").alias("assetNumber"), (F.col("id") % 2).cast("string").alias("month"))
+    plain, small = tmp_path / "plain", tmp_path / "small"
+    loan_records.write_loan_records(records, str(plain), partition_by=["month"])
+    loan_records.write_loan_records(records, str(small), partition_by=["month"], compression="gzip")
+    size = lambda path: sum(f.stat().st_size for f in record_files(path))
+    assert 5 * size(small) < size(plain)
+    schema = loan_records.record_schema(["assetNumber"])
+    for read in (loan_records.read_loan_records, loan_records.scan_loan_records):
+        rows = read(spark, str(small), schema=schema)
+        assert sorted(int(r.assetNumber) for r in rows.select("assetNumber").collect()) == list(range(2000))

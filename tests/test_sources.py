@@ -238,3 +238,21 @@ def test_records_are_written_compressed(spark, tmp_path):
     for read in (loan_records.read_loan_records, loan_records.scan_loan_records):
         rows = read(spark, str(small), schema=schema)
         assert sorted(int(r.assetNumber) for r in rows.select("assetNumber").collect()) == list(range(2000))
+
+
+def test_a_task_goes_on_with_a_new_file(spark, tmp_path):
+    records = spark.range(1000, numPartitions=1).select(F.col("id").cast("string").alias("assetNumber"))
+    loan_records.write_loan_records(records, str(tmp_path / "bounded"), file_records=300)
+    files = record_files(tmp_path / "bounded")
+    assert sorted(f.read_text().count("<assets>") for f in files) == [100, 300, 300, 300]
+    assert all(f.read_text().rstrip().endswith("</assetData>") for f in files)
+    loan_records.write_loan_records(records, str(tmp_path / "whole"), file_records=0)
+    assert len(record_files(tmp_path / "whole")) == 1
+    rows = loan_records.read_loan_records(spark, str(tmp_path / "bounded"), schema=loan_records.record_schema(["assetNumber"])).collect()
+    assert sorted(int(r.assetNumber) for r in rows) == list(range(1000))
+
+
+def test_larger_panels_have_more_files_and_not_larger_ones(spark, tmp_path):
+    records = spark.range(loan_records.FILE_RECORDS + 1, numPartitions=1).select(F.col("id").cast("string").alias("assetNumber"))
+    loan_records.write_loan_records(records, str(tmp_path / "default"))
+    assert len(record_files(tmp_path / "default")) == 2

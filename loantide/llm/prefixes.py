@@ -15,12 +15,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from loantide.llm.common import stored
+from loantide.llm.common import stored, stored_more
 
 #: Turns of one conversation that a running sum handles in one task.
 BLOCK = 4096
-#: Search steps planned as one job.
-STEPS = 3
 
 
 def numbered(turns: DataFrame, key: str, order: list[Column]) -> DataFrame:
@@ -144,11 +142,12 @@ def _searched(pending: DataFrame, edges: DataFrame, turns: DataFrame) -> DataFra
         F.struct("rep", "low", "high").alias("found"), F.col("last"),
     )
     probes = pending.withColumn("f", F.when(F.expr(open_), two_fattest("low", "high")))
+    # The same columns by the same key in both joins, so that all steps read one shuffle of the turns.
     at = turns.select("conv_id", F.col("d").alias("f"), "h1", "h2")
-    met = probes.join(at, ["conv_id", "f"], "left").join(handles, ["f", "h1", "h2"], "left")
-    ends = turns.select("conv_id", F.col("d").alias("end"), F.struct("h1", "h2").alias("own"))
+    met = probes.join(at, ["conv_id", "f"], "left").join(handles, ["f", "h1", "h2"], "left").drop("h1", "h2")
+    ends = turns.select("conv_id", F.col("d").alias("end"), "h1", "h2")
     met = met.withColumn("end", F.col("found.high")).join(ends, ["conv_id", "end"], "left")
-    whole = F.coalesce(F.col("own") == F.col("last"), F.lit(False))
+    whole = F.coalesce(F.struct("h1", "h2") == F.col("last"), F.lit(False))
     found = F.col("found").isNotNull()
     return met.select(
         "conv_id", "length",
@@ -204,25 +203,25 @@ def insert_all(turns: DataFrame, lengths: DataFrame) -> tuple[DataFrame, DataFra
         else:
             edges = stored(_edges(_breaks(paths, ends), paths, turns), "edges")
             state = pending.select("*", F.col("length").alias("high"), F.lit(None).cast("struct<rep:bigint,low:int,high:int>").alias("edge"))
-            for step in range(1, int(span).bit_length() + 1):
-                state = _searched(state, edges, turns)
-                if step % STEPS == 0:
-                    state = stored(state, "search")
+            # A job of its own for each step: jobs of several steps set the most that the driver holds for stages and plans.
+            for _ in range(int(span).bit_length()):
+                state = stored(_searched(state, edges, turns), "search")
             exits = stored(_exits(state, edges, turns), "exits")
         leaving = exits.where("low < length").withColumn("d", F.col("low") + 1).join(turns.select("conv_id", "d", "h1", "h2"), ["conv_id", "d"])
         draw = F.struct(F.xxhash64("conv_id").alias("draw"), "conv_id", "length", "at")
         drawn = leaving.groupBy("d", "h1", "h2").agg(F.min(draw).alias("drawn"))
-        grown = stored(
+        paths = stored_more(
+            paths,
             drawn.select(
                 F.col("drawn.conv_id").alias("rep"), F.col("drawn.at").alias("up"), (F.col("d") - 1).alias("start"),
                 F.col("drawn.length").alias("length"), F.lit(rounds).alias("round"),
             ),
             "paths",
         )
+        grown = paths.where(F.col("round") == rounds)
         gone = exits.where("low = length").select("conv_id", F.col("at").alias("rep"), F.col("low").alias("depth"))
         gone = gone.unionByName(grown.select(F.col("rep").alias("conv_id"), "rep", F.col("length").alias("depth")))
-        paths = grown if paths is None else paths.unionByName(grown)
-        ends = gone if ends is None else ends.unionByName(gone)
+        ends = stored_more(ends, gone, "ends")
         rest = exits.where("low < length").join(grown.select(F.col("rep").alias("conv_id")), "conv_id", "left_anti")
         pending = stored(rest.select("conv_id", "length", "low", "at"), "pending")
     empty = "rep long, up long, start int, length int, round int"
@@ -264,7 +263,7 @@ def _summed(paths: DataFrame, ends: DataFrame, turns: DataFrame, rounds: int) ->
         zero = lambda c: F.coalesce(F.col(c), F.lit(0))
         last = F.col("depth") == F.col("length")
         own = own.select(
-            "rep", "low", "depth", "start", "length", "words", "words_0",
+            "rep", "low", "depth", "start", "length", "round", "words", "words_0",
             F.sum(zero("n") + zero("hung_n")).over(below).alias("n"),
             F.min(F.least("least", "hung_least")).over(below).alias("least"),
             F.sum(F.when(last & F.col("hung_n").isNull(), 1).otherwise(0) + zero("hung_leaves")).over(below).cast("long").alias("leaves"),
@@ -273,8 +272,8 @@ def _summed(paths: DataFrame, ends: DataFrame, turns: DataFrame, rounds: int) ->
         )
         edge = (F.col("n") - 1) * (F.col("words") - F.col("words_0"))
         own = own.withColumn("saved", F.sum(edge + F.col("hung_saved")).over(below)).withColumn("saved_below", F.col("saved") - edge)
-        own = stored(own, "summed")
-        done = own if done is None else done.unionByName(own)
+        done = stored_more(done, own, "summed")
+        own = done.where(F.col("round") == r)
         ups = paths.where(F.col("round") == r).select("rep", "up")
         tops = own.where("low = start").join(ups, "rep").groupBy("up", "start").agg(
             F.sum("n").alias("hung_n"), F.min("least").alias("hung_least"), F.sum("leaves").alias("hung_leaves"), F.sum("saved").alias("hung_saved"), F.count("*").alias("hung_paths")

@@ -166,3 +166,27 @@ def test_long_conversations_share_a_beginning(spark, monkeypatch):
     rows = [(c, t, "user", f"turn {t}") for c, length in ((1, 150), (2, 149), (3, 64), (4, 65), (5, 10), (6, 150)) for t in range(length)]
     rows += [(7, t, "user", f"turn {t}" if t < 100 else "other") for t in range(130)]
     assert set(trie(spark, rows)) == trie_by_force(rows)
+
+
+def test_plans_of_the_trie_do_not_grow_with_its_rounds(spark, monkeypatch):
+    """Tables that grow in rounds are one scan each, and every step of the search starts from a stored table."""
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    searched, inputs = prefixes._searched, []
+
+    def step(pending, *others):
+        inputs.append(plan(pending))
+        return searched(pending, *others)
+
+    monkeypatch.setattr(prefixes, "_searched", step)
+
+    def scans(convs):
+        # There is no conversation 20k to open like; up to three first turns go, so all open alike.
+        rows = [(20 * k + 16, t, "user", "same" if t < k + 4 else f"own {k}") for k in range(convs) for t in range(16)]
+        df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+        before = len(inputs)
+        out = prefixes.conversation_trie(df)
+        return plan(out).count("Relation ["), len(inputs) - before
+
+    (few, fewer_steps), (many, steps) = scans(2), scans(12)
+    assert 0 < fewer_steps < steps and few == many
+    assert not any("Join" in p for p in inputs)

@@ -6,6 +6,7 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
+from checks.sources import r01_ingest_filings
 from loantide.operators.columns import stack_by_name
 from loantide.plans.panel import PERIOD, filing_report, ingest_filings, snapshot_panel
 from loantide.schema import FILING_INDEX_COLUMNS
@@ -256,3 +257,31 @@ def test_larger_panels_have_more_files_and_not_larger_ones(spark, tmp_path):
     records = spark.range(loan_records.FILE_RECORDS + 1, numPartitions=1).select(F.col("id").cast("string").alias("assetNumber"))
     loan_records.write_loan_records(records, str(tmp_path / "default"))
     assert len(record_files(tmp_path / "default")) == 2
+
+
+def test_records_of_known_leaves_add_no_name(spark, tmp_path):
+    plain = "<assets><a>1</a><b x='1'>2</b></assets>"
+    (tmp_path / "plain.xml").write_text(f"<assetData><head>0</head>\n{plain}\n<assets/>\n{plain}\n</assetData>\n<tail>0</tail>")
+    odd = "<assets><a>1</a><a>2</a><a/></assets>", "<assets><b>1</b><c >2</c></assets>", "<assets></assets>"
+    (tmp_path / "odd.xml").write_text(f"<assetData>{plain}{''.join(odd)}</assetData>")
+
+    def names(file, known=()):
+        return {r.leaf: r.most for r in loan_records.leaf_names(spark, str(tmp_path / file), known=known).collect()}
+
+    assert names("plain.xml", ["a", "b", "z"]) == {}
+    assert names("plain.xml", ["b"]) == {"a": 1, "b": 1} == names("plain.xml")
+    assert names("odd.xml", ["a", "b"]) == {"a": 3, "b": 1, "c": 1}
+    assert names("odd.xml") == {"a": 3, "b": 1, "c": 1}
+
+
+def test_filing_numbers_are_made_behind_the_exchange(spark, sf_dir, monkeypatch):
+    plans, write = [], loan_records.write_loan_records
+
+    def noted(df, *args, **kwargs):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        write(df, *args, **kwargs)
+
+    monkeypatch.setattr(loan_records, "write_loan_records", noted)
+    r01_ingest_filings(spark, sf_dir)
+    above, _, below = plans[0].partition("RebalancePartitions")
+    assert "date_format" in above and below and "date_format" not in below
